@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readqc_spark.llm import exact_dedup, media, mixing, private_data, url_filter
+from readqc_spark.llm import exact_dedup, media, mixing, ngram_join, private_data, url_filter
 from readqc_spark.llm.common import table
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -31,5 +35,5 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_mixing, op5_private_data, op7_exact_dedup, op8_url_filter, op9_media)}
+QUERIES = {f.__name__: f for f in (op3_ngram_join, op4_mixing, op5_private_data, op7_exact_dedup, op8_url_filter, op9_media)}
 ORACLE: dict[str, str] = {}
