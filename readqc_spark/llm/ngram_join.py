@@ -27,6 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from readqc_spark.llm.common import batches_of, cut, mix64, texts, word_hashes
+from readqc_spark.llm.url_filter import BLOCKS, LANES, _lanes, bloom
 
 SKETCH, SLICE, SALTS, BINS = 1 << 18, 4096, 1024, 32
 _A, _B = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
@@ -66,12 +67,13 @@ def _signed(frames: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFrame
         ids, rows = f["doc_id"].to_numpy(object), []
         for i, tokens in shingle_sets(f["text"], words):
             np.add.at(counts, (tokens & np.uint64(SKETCH - 1)).astype(np.int64), np.uint32(1))
-            rows.append((ids[i], len(tokens), *signature(tokens)))
-        yield pd.DataFrame(rows, columns=["doc_id", "n", "na", "nb"]).assign(slice=None, salt=None, counts=None)
+            bins = np.bincount((tokens >> np.uint64(59)).astype(np.int64), minlength=BINS).astype(np.int32)
+            rows.append((ids[i], len(tokens), *signature(tokens), bins))
+        yield pd.DataFrame(rows, columns=["doc_id", "n", "na", "nb", "bins"]).assign(slice=None, salt=None, counts=None)
     salt = TaskContext.get().partitionId() % SALTS
     parts = counts.reshape(-1, SLICE)
     used = np.flatnonzero(parts.any(1))
-    yield pd.DataFrame({"doc_id": None, "n": None, "na": None, "nb": None, "slice": used, "salt": salt, "counts": [parts[i].tobytes() for i in used]})
+    yield pd.DataFrame({"doc_id": None, "n": None, "na": None, "nb": None, "bins": None, "slice": used, "salt": salt, "counts": [parts[i].tobytes() for i in used]})
 
 
 def _added(f: pd.DataFrame) -> pd.DataFrame:
@@ -106,14 +108,16 @@ def _prefixes(frames: Iterator[pd.DataFrame], words: int, percent: int, sketch)
 
 def _whole_sets(frames: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFrame]:
     for f in frames:
-        rows, size = [], 0
-        for _, tokens in shingle_sets(f["text"], words):
-            rows.append((*signature(tokens), tokens.view(np.int64), np.bincount((tokens >> np.uint64(59)).astype(np.int64), minlength=BINS).astype(np.int32)))
+        ids, keys, rows, size = f["nid"].to_numpy(), f[["na", "nb"]].to_numpy(), [], 0
+        for i, tokens in shingle_sets(f["text"], words):
+            if signature(tokens) != tuple(keys[i].tolist()):  # another text of the same doc_id
+                continue
+            rows.append((ids[i], tokens.view(np.int64)))
             size += len(tokens)
             if size > 500_000:
-                yield pd.DataFrame(rows, columns=["na", "nb", "tokens", "bins"])
+                yield pd.DataFrame(rows, columns=["nid", "tokens"])
                 rows, size = [], 0
-        yield pd.DataFrame(rows, columns=["na", "nb", "tokens", "bins"])
+        yield pd.DataFrame(rows, columns=["nid", "tokens"])
 
 
 def _needed(percent: int, n1: Column, n2: Column) -> Column:
@@ -126,15 +130,24 @@ def _may_link(percent: int, n1: Column, p1: Column, n2: Column, p2: Column) -> C
     return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (F.least(n1 - p1, n2 - p2) >= _needed(percent, n1, n2))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, after the suffix filter."""
-    side = lambda x, *cols: sets.select(F.col("nid").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols])
-    near = pairs.join(side("a", "n", "bins"), "a").join(side("b", "n", "bins"), "b")
+def _verified(pairs: DataFrame, nodes: DataFrame, text: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link: the suffix filter first, then the whole sets of the texts that are left in some pair."""
+    side = lambda x: nodes.select(F.col("nid").alias(x), F.col("n").alias(f"n_{x}"), F.col("bins").alias(f"bins_{x}"))
+    near = pairs.join(side("a"), "a").join(side("b"), "b")
     apart = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
-    near = near.filter(apart <= F.col("n_a") + F.col("n_b") - 2 * _needed(percent, F.col("n_a"), F.col("n_b"))).select("a", "b", "n_a", "n_b")
-    both = near.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b")
+    near = cut(near.filter(apart <= F.col("n_a") + F.col("n_b") - 2 * _needed(percent, F.col("n_a"), F.col("n_b"))).select("a", "b", (F.col("n_a") + F.col("n_b")).alias("sum")))
+    wanted = cut(nodes.join(near.select(F.explode(F.array("a", "b")).alias("nid")).distinct(), "nid", "left_semi").select("nid", "na", "nb", "rep"))
+    # A filter of fixed size keeps most other texts out of the shuffle.
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    listed = wanted.select(F.coalesce(F.col("rep").cast("string"), F.lit("null")).alias("url_key"))
+    some = text.withColumns({"block": F.pmod(F.xxhash64(key), F.lit(BLOCKS)).cast("int"), **{f"bit{k}": x for k, x in enumerate(_lanes(key))}}).join(F.broadcast(bloom(listed)), "block")
+    for k in range(LANES):
+        some = some.filter(F.col(f"lane{k}").bitwiseAND(F.col(f"bit{k}")) == F.col(f"bit{k}"))
+    some = some.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("nid", "na", "nb", "text")
+    sets = cut(some.mapInPandas(partial(_whole_sets, words=words), "nid long, tokens array<long>")).dropDuplicates(["nid"])
+    both = near.join(sets.select(F.col("nid").alias("a"), F.col("tokens").alias("tokens_a")), "a").join(sets.select(F.col("nid").alias("b"), F.col("tokens").alias("tokens_b")), "b")
     shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    return both.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("sum"), shared.alias("shared")).filter(100 * F.col("shared") >= percent * (F.col("sum") - F.col("shared"))).select("a", "b")
+    return both.select("a", "b", "sum", shared.alias("shared")).filter(100 * F.col("shared") >= percent * (F.col("sum") - F.col("shared"))).select("a", "b")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -162,15 +175,15 @@ def ngram_join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     link. Null doc_ids take part and count as no id. An empty table gives an empty result; other columns aren't looked at.
     """
     spark, text = docs.sparkSession, texts(docs)
-    first = cut(text.mapInPandas(partial(_signed, words=words), "doc_id long, n int, na long, nb long, slice int, salt int, counts binary"))
+    first = cut(text.mapInPandas(partial(_signed, words=words), "doc_id long, n int, na long, nb long, bins array<int>, slice int, salt int, counts binary"))
     kind = "slice int, salt int, counts binary"
     slices = first.filter("slice is not null").select("slice", "salt", "counts").groupBy("slice", "salt").applyInPandas(_added, kind).groupBy("slice").applyInPandas(_added, kind).collect()
     total = np.zeros((SKETCH // SLICE, SLICE), np.uint64)
     for r in slices:
         total[r["slice"]] = np.frombuffer(bytes(r["counts"]), np.uint64)
     sketch = spark.sparkContext.broadcast(total.ravel())
-    signed = first.filter("slice is null").select("doc_id", "n", "na", "nb")
-    nodes = cut(signed.filter("n > 0").groupBy("n", "na", "nb").agg(F.min("doc_id").alias("rep")).withColumn("nid", F.monotonically_increasing_id()))
+    signed = first.filter("slice is null")
+    nodes = cut(signed.filter("n > 0").groupBy("n", "na", "nb").agg(F.min("doc_id").alias("rep"), F.first("bins").alias("bins")).withColumn("nid", F.monotonically_increasing_id()))
 
     prefix = text.mapInPandas(partial(_prefixes, words=words, percent=percent, sketch=sketch), "token long, na long, nb long, at long")
     by = W.partitionBy("token").orderBy("at", "na", "nb")
@@ -179,15 +192,11 @@ def ngram_join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     shared = prefix.withColumns({"lo": F.first(here).over(whole), "hi": F.last(here).over(whole), "before": F.lag(here).over(by)}).filter((F.col("lo") != F.col("hi")) & (F.col("before").isNull() | (F.col("before") != here)))
     held = cut(shared.select("token", "na", "nb", F.shiftright("at", 32).cast("int").alias("p"), F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("n")).join(nodes.select("na", "nb", "nid"), ["na", "nb"]).select("token", "nid", "n", "p"))
 
-    involved = nodes.join(held.select("nid").distinct(), "nid", "left_semi")
-    again = text.join(involved.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInPandas(partial(_whole_sets, words=words), "na long, nb long, tokens array<long>, bins array<int>")
-    sets = cut(again.join(involved.select("na", "nb", "nid", "n"), ["na", "nb"]).dropDuplicates(["nid"]).select("nid", "n", "tokens", "bins"))
-
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     earliest = held.groupBy("token").agg(F.min(F.struct("p", "n", "nid")).alias("e"))
     star = held.join(earliest, "token").filter((F.col("nid") != F.col("e.nid")) & _may_link(percent, F.col("n"), F.col("p"), F.col("e.n"), F.col("e.p")))
     star = cut(star.select(*ordered(F.col("nid"), F.col("e.nid"))).distinct())
-    links = cut(_verified(star, sets, percent))
+    links = cut(_verified(star, nodes, text, words, percent))
     roots = components(links)
 
     marked = held.join(roots, held["nid"] == roots["node"], "left").select("token", "nid", "n", "p", F.coalesce("root", "nid").alias("root"))
@@ -196,12 +205,19 @@ def ngram_join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     x, y = rest.alias("x"), rest.alias("y")
     meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.nid") < F.col("y.nid")) & (F.col("x.root") != F.col("y.root")) & _may_link(percent, F.col("x.n"), F.col("x.p"), F.col("y.n"), F.col("y.p"))
     pairs = x.join(y, meet).select(F.col("x.nid").alias("a"), F.col("y.nid").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = cut(_verified(cut(pairs), sets, percent))
+    pairs = cut(pairs)
+    if pairs.isEmpty():
+        return _classed(signed, nodes, roots)
+    more = cut(_verified(pairs, nodes, text, words, percent))
     if not more.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
+    return _classed(signed, nodes, roots)
+
+
+def _classed(signed: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     classed = nodes.join(roots, nodes["nid"] == roots["node"], "left").select("na", "nb", "rep", F.coalesce("root", "nid").alias("root"))
     least = classed.groupBy("root").agg(F.min("rep").alias("component"))
     known = cut(classed.join(least, "root").select("na", "nb", "component"))
-    out = signed.join(known, ["na", "nb"], "left")
+    out = signed.select("doc_id", "n", "na", "nb").join(known, ["na", "nb"], "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
