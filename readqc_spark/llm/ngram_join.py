@@ -4,9 +4,9 @@
    sketch of fixed size (SKETCH counters, whatever the corpus). Texts with equal sets become one node.
 2. A node's shingles are put in one global order, rarest first by the sketch. Two sets that link must share a shingle within both
    prefixes, so prefixes alone are shuffled; shingles that one node has alone are dropped at once.
-3. Each shared prefix shingle links its nodes to the one that has it earliest. Candidates pass the length, positional and suffix
-   filters and are verified exactly, once per pair. What links is joined into components.
-4. Where a shingle's nodes are still in several components, all its pairs across components are formed, filtered and
+3. A prefix shingle of up to FEW nodes pairs them all; one of more nodes pairs each with the node that has it earliest. Candidates
+   pass the length, positional and suffix filters and are verified exactly, once per pair. What links is joined into components.
+4. Where such a larger shingle's nodes are still in several components, all its pairs across components are formed, filtered and
    verified. Pairs inside a component can't change the result and aren't formed, so a large group of near copies costs as
    many candidates as it has members, and no link between components is missed.
 
@@ -30,6 +30,8 @@ from readqc_spark.llm.common import batches_of, cut, mix64, texts, word_hashes
 from readqc_spark.llm.url_filter import BLOCKS, LANES, _lanes, bloom
 
 SKETCH, SLICE, SALTS, BINS = 1 << 18, 4096, 1024, 32
+#: Prefix shingles of at most so many nodes form all their pairs at once.
+FEW = 16
 _A, _B = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -67,7 +69,7 @@ def _signed(frames: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFrame
         ids, rows = f["doc_id"].to_numpy(object), []
         for i, tokens in shingle_sets(f["text"], words):
             np.add.at(counts, (tokens & np.uint64(SKETCH - 1)).astype(np.int64), np.uint32(1))
-            bins = np.bincount((tokens >> np.uint64(59)).astype(np.int64), minlength=BINS).astype(np.int32)
+            bins = np.bincount((tokens >> np.uint64(59)).astype(np.int64), minlength=BINS).clip(0, 32767).astype(np.int16)
             rows.append((ids[i], len(tokens), *signature(tokens), bins))
         yield pd.DataFrame(rows, columns=["doc_id", "n", "na", "nb", "bins"]).assign(slice=None, salt=None, counts=None)
     salt = TaskContext.get().partitionId() % SALTS
@@ -134,7 +136,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, text: DataFrame, words: int, p
     """The pairs (a, b) that link: the suffix filter first, then the whole sets of the texts that are left in some pair."""
     side = lambda x: nodes.select(F.col("nid").alias(x), F.col("n").alias(f"n_{x}"), F.col("bins").alias(f"bins_{x}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b")
-    apart = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+    apart = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
     near = cut(near.filter(apart <= F.col("n_a") + F.col("n_b") - 2 * _needed(percent, F.col("n_a"), F.col("n_b"))).select("a", "b", (F.col("n_a") + F.col("n_b")).alias("sum")))
     wanted = cut(nodes.join(near.select(F.explode(F.array("a", "b")).alias("nid")).distinct(), "nid", "left_semi").select("nid", "na", "nb", "rep"))
     # A filter of fixed size keeps most other texts out of the shuffle.
@@ -175,7 +177,7 @@ def ngram_join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     link. Null doc_ids take part and count as no id. An empty table gives an empty result; other columns aren't looked at.
     """
     spark, text = docs.sparkSession, texts(docs)
-    first = cut(text.mapInPandas(partial(_signed, words=words), "doc_id long, n int, na long, nb long, bins array<int>, slice int, salt int, counts binary"))
+    first = cut(text.mapInPandas(partial(_signed, words=words), "doc_id long, n int, na long, nb long, bins array<short>, slice int, salt int, counts binary"))
     kind = "slice int, salt int, counts binary"
     slices = first.filter("slice is not null").select("slice", "salt", "counts").groupBy("slice", "salt").applyInPandas(_added, kind).groupBy("slice").applyInPandas(_added, kind).collect()
     total = np.zeros((SKETCH // SLICE, SLICE), np.uint64)
@@ -189,13 +191,20 @@ def ngram_join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     by = W.partitionBy("token").orderBy("at", "na", "nb")
     whole = W.partitionBy("token").orderBy("at", "na", "nb").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     here = F.struct("na", "nb")
-    shared = prefix.withColumns({"lo": F.first(here).over(whole), "hi": F.last(here).over(whole), "before": F.lag(here).over(by)}).filter((F.col("lo") != F.col("hi")) & (F.col("before").isNull() | (F.col("before") != here)))
-    held = cut(shared.select("token", "na", "nb", F.shiftright("at", 32).cast("int").alias("p"), F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("n")).join(nodes.select("na", "nb", "nid"), ["na", "nb"]).select("token", "nid", "n", "p"))
+    shared = prefix.withColumns({"lo": F.first(here).over(whole), "hi": F.last(here).over(whole), "held_by": F.count(F.lit(1)).over(whole), "before": F.lag(here).over(by)}).filter((F.col("lo") != F.col("hi")) & (F.col("before").isNull() | (F.col("before") != here)))
+    shared = shared.select("token", "at", "na", "nb", F.shiftright("at", 32).cast("int").alias("p"), F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("n"), "held_by")
+    prior = F.collect_list(F.struct("na", "nb", "n", "p")).over(by.rowsBetween(-FEW, -1))
+    prior = F.filter(prior, lambda x: (F.col("held_by") <= FEW) & ((x["na"] != F.col("na")) | (x["nb"] != F.col("nb"))) & _may_link(percent, F.col("n"), F.col("p"), x["n"], x["p"]))
+    shared = cut(shared.withColumn("prior", prior).filter((F.size("prior") > 0) | (F.col("held_by") > FEW)).drop("at"))
 
+    key, other = nodes.select("na", "nb", "nid"), nodes.select(F.col("na").alias("ma"), F.col("nb").alias("mb"), F.col("nid").alias("mid"))
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    few = shared.select("na", "nb", F.explode("prior").alias("x")).select("na", "nb", F.col("x.na").alias("ma"), F.col("x.nb").alias("mb")).distinct()
+    few = few.join(key, ["na", "nb"]).join(other, ["ma", "mb"]).select(*ordered(F.col("nid"), F.col("mid")))
+    held = cut(shared.filter(F.col("held_by") > FEW).select("token", "na", "nb", "n", "p").join(key, ["na", "nb"]).select("token", "nid", "n", "p"))
     earliest = held.groupBy("token").agg(F.min(F.struct("p", "n", "nid")).alias("e"))
     star = held.join(earliest, "token").filter((F.col("nid") != F.col("e.nid")) & _may_link(percent, F.col("n"), F.col("p"), F.col("e.n"), F.col("e.p")))
-    star = cut(star.select(*ordered(F.col("nid"), F.col("e.nid"))).distinct())
+    star = cut(star.select(*ordered(F.col("nid"), F.col("e.nid"))).unionByName(few).distinct())
     links = cut(_verified(star, nodes, text, words, percent))
     roots = components(links)
 
