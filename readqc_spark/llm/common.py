@@ -80,10 +80,10 @@ def batches_of(strings, limit: int = 4 << 20):
         yield some
 
 
-def word_hashes(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, how many words each part has); A-Z count as a-z."""
+def word_hashes(parts: list[bytes], parting: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, how many words each part has); A-Z count as a-z. parting: for each byte, whether it parts words."""
     buf = np.frombuffer(b" ".join(parts) + b" ", np.uint8)
-    space = _SPACE[buf]
+    space = parting[buf]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], space]).view(np.int8)))
     starts, ends = edge[0::2], edge[1::2]
     sizes = np.fromiter((len(p) + 1 for p in parts), np.int64, len(parts))

@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readqc_spark.llm import exact_dedup, media, mixing, ngram_join, private_data, url_filter
+from readqc_spark.llm import exact_dedup, media, mixing, ngram_join, pieces, private_data, quality, token_shards, toxicity, url_filter
 from readqc_spark.llm.common import table
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"))
+
+
+def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards.shard_digest(table(spark, sf_dir, "documents"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"), words=3, percent=90)
 
@@ -21,19 +29,59 @@ def op5_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private_data.digest(private_data.find_private(table(spark, sf_dir, "documents")))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("n_chunks")
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The list: the URLs of pages whose page_id is divisible by 50."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return url_filter.url_verdicts(pages, pages.filter(F.col("page_id") % 50 == 0).select("url"))
+    return url_filter.url_verdicts(pages, pages.filter(F.col("page_id") % 50 == 0).select("url")).drop("listed", "passed")
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_join, op4_mixing, op5_private_data, op7_exact_dedup, op8_url_filter, op9_media)}
-ORACLE: dict[str, str] = {}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_token_shards, op3_ngram_join, op4_mixing, op5_private_data, op6_toxicity, op7_exact_dedup, op8_url_filter, op9_media, op10_quality, pipeline)}
+_OP7 = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+g AS (SELECT doc_id, t, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM d)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM g
+"""
+
+_OP8 = r"""
+WITH p AS (
+  SELECT page_id, url,
+    coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^?#]*\?([^#]*)', 1), '') AS query
+  FROM pages),
+k AS (
+  SELECT *, list_sort(list_filter(string_split(query, '&'), x -> x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))) AS q FROM p),
+c AS (
+  SELECT *, CASE WHEN contains(url, '://') THEN regexp_replace(host, ':(80|443)$', '') || regexp_replace(path, '/+$', '') || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS url_key FROM k),
+l AS (SELECT DISTINCT url_key FROM c WHERE page_id % 50 = 0 AND url_key IS NOT NULL),
+r AS (
+  SELECT c.page_id, c.host, c.path, c.url_key, x.rule, x.verdict,
+    row_number() OVER (PARTITION BY c.page_id ORDER BY length(x.rule) DESC NULLS LAST) AS n
+  FROM c LEFT JOIN (VALUES ('com', '/', 'allow', 'com/'), ('example.com', '/en/', 'block', 'example.com/en/'), ('www.example.com', '/en/', 'allow', 'www.example.com/en/'), ('net', '/es/', 'block', 'net/es/'), ('net', '/fr/', 'block', 'net/fr/')) AS x(h, u, verdict, rule)
+  ON (c.host = x.h OR ends_with(c.host, '.' || x.h)) AND starts_with(c.path, x.u))
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN url_key IN (SELECT url_key FROM l) THEN 'block' ELSE 'allow' END) AS verdict FROM r WHERE n = 1
+"""
+
+ORACLE: dict[str, str] = {"op7_exact_dedup": _OP7, "op8_url_filter": _OP8}
