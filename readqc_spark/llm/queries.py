@@ -72,7 +72,7 @@ WITH p AS (
     coalesce(regexp_extract(url, '(?s)^.*?://[^?#]*\?([^#]*)', 1), '') AS query
   FROM pages),
 k AS (
-  SELECT *, list_sort(list_filter(string_split(query, '&'), x -> x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))) AS q FROM p),
+  SELECT *, list_sort(list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))) AS q FROM p),
 c AS (
   SELECT *, CASE WHEN contains(url, '://') THEN regexp_replace(host, ':(80|443)$', '') || regexp_replace(path, '/+$', '') || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS url_key FROM k),
 l AS (SELECT DISTINCT url_key FROM c WHERE page_id % 50 = 0 AND url_key IS NOT NULL),
