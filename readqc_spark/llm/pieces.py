@@ -65,7 +65,7 @@ class Pieces:
         key = (a or "", b)
         found = self._fits.get(key)
         if found is None:
-            if len(self._fits) > 500_000:
+            if len(self._fits) > 100_000:
                 self._fits.clear()
             found = self._fits[key] = self.merged(key[0] + b) == ([a, b] if a else [b])
         return found
@@ -273,8 +273,8 @@ def _backtraced(frames: Iterator[pd.DataFrame], model) -> Iterator[pd.DataFrame]
 def _encoded(frames: Iterator[pd.DataFrame], model) -> Iterator[pd.DataFrame]:
     m = loaded(model)
     for f in frames:
-        for k in range(0, len(f), 500):
-            part = f.iloc[k : k + 500]
+        for k in range(0, len(f), 100):
+            part = f.iloc[k : k + 100]
             yield pd.DataFrame({"doc_id": part["doc_id"], "chunk": 0, "n_chunks": 1, "ids": [np.asarray(x, np.int32) for x in m.sp.encode(part["text"].tolist(), num_threads=1)]})
 
 
@@ -311,8 +311,10 @@ def _decoded(frames: Iterator[pd.DataFrame], model) -> Iterator[pd.DataFrame]:
     for f in frames:
         out = [""] * len(f)
         alone = np.flatnonzero((f["n_chunks"] == 1).to_numpy())
-        for i, t in zip(alone, m.sp.decode([f["ids"].iloc[i].tolist() for i in alone]) if len(alone) else [], strict=True):
-            out[i] = t
+        for k in range(0, len(alone), 100):
+            some = alone[k : k + 100]
+            for i, t in zip(some, m.sp.decode([f["ids"].iloc[i].tolist() for i in some]), strict=True):
+                out[i] = t
         for i in np.flatnonzero((f["n_chunks"] > 1).to_numpy()):
             out[i] = m.text(f["ids"].iloc[i].tolist(), f["chunk"].iloc[i] == 0)
         yield pd.DataFrame({"doc_id": f["doc_id"], "chunk": f["chunk"], "n_chunks": f["n_chunks"], "text": out, "n_tokens": [len(x) for x in f["ids"]], "ids_crc32": [_crc(x) for x in f["ids"]]})
