@@ -24,7 +24,8 @@ def sam(spark: SparkSession, path: str) -> DataFrame:
     """Alignments from SAM text."""
     rows = spark.read.text(path).filter(~F.startswith("value", F.lit("@")) & (F.length("value") > 0)).withColumn("aln_id", F.monotonically_increasing_id())
     p = F.split("value", "\t")
-    at = lambda k: F.get(p, F.lit(k))
+    # Header lines are filtered, but a cast may be planned ahead of that filter, so it must not see them.
+    at = lambda k: F.when(~F.startswith("value", F.lit("@")), F.get(p, F.lit(k)))
     tags = F.slice(p, 12, F.greatest(F.size(p) - 11, F.lit(0)))
     tag = lambda name: F.get(F.transform(F.filter(tags, lambda t: F.startswith(t, F.lit(name + ":"))), lambda t: F.substring(t, 6, 1_000_000)), F.lit(0))
     quals = F.when(at(10) == "*", F.expr("cast(array() as array<int>)")).otherwise(F.transform(F.filter(F.split(at(10), ""), lambda c: c != ""), lambda c: F.ascii(c) - 33))
