@@ -114,7 +114,7 @@ def test_media(docs, empty):
     block = np.random.default_rng(0).integers(0, 256, (3, 576), dtype=np.uint8)
     out = media.adpcm_decode(block)
     for b, samples in zip(block, out, strict=True):
-        value, at = int(np.int16(b[0] | int(b[1]) << 8 if b[1] < 128 else (b[0] | int(b[1]) << 8) - 65536)), min(int(b[2]), 88)
+        value, at = int.from_bytes(b[:2].tobytes(), "little", signed=True), min(int(b[2]), 88)
         for k, code in enumerate(x for byte in b[4:].tolist() for x in (byte & 15, byte >> 4)):
             assert samples[k] == value
             step = media.STEPS[at]
