@@ -55,6 +55,7 @@ _RADIX = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _LETTER = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
 _LETTER[65:91] = _LETTER[97:123]  # A-Z count as a-z
+_SLAB = 1 << 20
 _powers: list[np.ndarray] = []
 
 
@@ -88,7 +89,15 @@ def word_hashes(parts: list[bytes], parting: np.ndarray = _SPACE) -> tuple[np.nd
     starts, ends = edge[0::2], edge[1::2]
     sizes = np.fromiter((len(p) + 1 for p in parts), np.int64, len(parts))
     counts = np.diff(np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)])))
-    power, inverse = _power_tables(len(buf))
+    out, i = np.empty(len(starts), np.uint64), 0
     with np.errstate(over="ignore"):
-        total = np.concatenate([[np.uint64(0)], np.cumsum(_LETTER[buf] * power[: len(buf)])])
-        return mix64((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)), counts
+        while i < len(starts):  # some words at a time, so that the tables stay small whatever the text's length
+            base = int(starts[i])
+            j = max(i + 1, int(np.searchsorted(ends, base + _SLAB, "right")))
+            some = buf[base : int(ends[j - 1])]
+            power, inverse = _power_tables(len(some) + 1)
+            total = np.concatenate([[np.uint64(0)], np.cumsum(_LETTER[some] * power[: len(some)])])
+            a, b = starts[i:j] - base, ends[i:j] - base
+            out[i:j] = mix64((total[b] - total[a]) * inverse[a] + (b - a).astype(np.uint64))
+            i = j
+    return out, counts
