@@ -32,6 +32,8 @@ from readqc_spark.llm.url_filter import BLOCKS, LANES, _lanes, bloom
 SKETCH, SLICE, SALTS, BINS = 1 << 18, 4096, 1024, 32
 #: Prefix shingles of at most so many nodes form all their pairs at once.
 FEW = 16
+#: So many candidates of one node at most are verified in one place.
+LEAVES = 256
 _A, _B = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -66,16 +68,16 @@ def signature(tokens: np.ndarray) -> tuple[int, int]:
 def _signed(frames: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFrame]:
     counts = np.zeros(SKETCH, np.uint32)
     for f in frames:
-        ids, rows = f["doc_id"].to_numpy(object), []
+        ids, keys, rows = f["doc_id"].to_numpy(object), f["text_key"].to_numpy(), []
         for i, tokens in shingle_sets(f["text"], words):
             np.add.at(counts, (tokens & np.uint64(SKETCH - 1)).astype(np.int64), np.uint32(1))
             bins = np.bincount((tokens >> np.uint64(59)).astype(np.int64), minlength=BINS).clip(0, 32767).astype(np.int16)
-            rows.append((ids[i], len(tokens), *signature(tokens), bins))
-        yield pd.DataFrame(rows, columns=["doc_id", "n", "na", "nb", "bins"]).assign(slice=None, salt=None, counts=None)
+            rows.append((ids[i], keys[i], len(tokens), *signature(tokens), bins))
+        yield pd.DataFrame(rows, columns=["doc_id", "text_key", "n", "na", "nb", "bins"]).assign(slice=None, salt=None, counts=None)
     salt = TaskContext.get().partitionId() % SALTS
     parts = counts.reshape(-1, SLICE)
     used = np.flatnonzero(parts.any(1))
-    yield pd.DataFrame({"doc_id": None, "n": None, "na": None, "nb": None, "bins": None, "slice": used, "salt": salt, "counts": [parts[i].tobytes() for i in used]})
+    yield pd.DataFrame({"doc_id": None, "text_key": None, "n": None, "na": None, "nb": None, "bins": None, "slice": used, "salt": salt, "counts": [parts[i].tobytes() for i in used]})
 
 
 def _added(f: pd.DataFrame) -> pd.DataFrame:
@@ -88,7 +90,7 @@ def _added(f: pd.DataFrame) -> pd.DataFrame:
 def _prefixes(frames: Iterator[pd.DataFrame], words: int, percent: int, sketch) -> Iterator[pd.DataFrame]:
     count, seen = sketch.value, set()
     for f in frames:
-        tokens_, a_, b_, at_ = [], [], [], []
+        tokens_, a_, at_ = [], [], []
         for _, tokens in shingle_sets(f["text"], words):
             n = len(tokens)
             if not n or (key := signature(tokens)) in seen:
@@ -100,26 +102,29 @@ def _prefixes(frames: Iterator[pd.DataFrame], words: int, percent: int, sketch)
             order = np.argsort(count[(tokens & np.uint64(SKETCH - 1)).astype(np.int64)], kind="stable")[:p]
             tokens_.append(tokens[order].view(np.int64))
             a_.append(np.full(p, key[0]))
-            b_.append(np.full(p, key[1]))
             at_.append((np.arange(p) << 32) + n)
         if tokens_:
-            cols = [np.concatenate(x) for x in (tokens_, a_, b_, at_)]
+            cols = [np.concatenate(x) for x in (tokens_, a_, at_)]
             for k in range(0, len(cols[0]), 200_000):
-                yield pd.DataFrame({name: c[k : k + 200_000] for name, c in zip(("token", "na", "nb", "at"), cols, strict=True)})
+                yield pd.DataFrame({name: c[k : k + 200_000] for name, c in zip(("token", "na", "at"), cols, strict=True)})
 
 
-def _whole_sets(frames: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFrame]:
+def _linked(frames: Iterator[pd.DataFrame], words: int, percent: int) -> Iterator[pd.DataFrame]:
+    """The pairs of a hub and one of its leaves that link; the rows of a hub and salt follow each other, the hub first."""
+    at, mine = None, np.empty(0, np.uint64)
     for f in frames:
-        ids, keys, rows, size = f["nid"].to_numpy(), f[["na", "nb"]].to_numpy(), [], 0
+        hubs, salts, leafy, ids, keys, rows = f["hub"].tolist(), f["salt"].tolist(), f["leafy"].tolist(), f["nid"].tolist(), f[["na", "nb"]].to_numpy(), []
         for i, tokens in shingle_sets(f["text"], words):
             if signature(tokens) != tuple(keys[i].tolist()):  # another text of the same doc_id
                 continue
-            rows.append((ids[i], tokens.view(np.int64)))
-            size += len(tokens)
-            if size > 500_000:
-                yield pd.DataFrame(rows, columns=["nid", "tokens"])
-                rows, size = [], 0
-        yield pd.DataFrame(rows, columns=["nid", "tokens"])
+            if not leafy[i]:
+                at, mine = (hubs[i], salts[i]), tokens
+            elif at == (hubs[i], salts[i]):
+                place = np.searchsorted(mine, tokens)
+                shared = int((mine[np.minimum(place, len(mine) - 1)] == tokens).sum())
+                if 100 * shared >= percent * (len(mine) + len(tokens) - shared):
+                    rows.append((min(hubs[i], ids[i]), max(hubs[i], ids[i])))
+        yield pd.DataFrame(rows, columns=["a", "b"])
 
 
 def _needed(percent: int, n1: Column, n2: Column) -> Column:
@@ -137,19 +142,23 @@ def _verified(pairs: DataFrame, nodes: DataFrame, text: DataFrame, words: int, p
     side = lambda x: nodes.select(F.col("nid").alias(x), F.col("n").alias(f"n_{x}"), F.col("bins").alias(f"bins_{x}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b")
     apart = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x)
-    near = cut(near.filter(apart <= F.col("n_a") + F.col("n_b") - 2 * _needed(percent, F.col("n_a"), F.col("n_b"))).select("a", "b", (F.col("n_a") + F.col("n_b")).alias("sum")))
-    wanted = cut(nodes.join(near.select(F.explode(F.array("a", "b")).alias("nid")).distinct(), "nid", "left_semi").select("nid", "na", "nb", "rep"))
+    near = cut(near.filter(apart <= F.col("n_a") + F.col("n_b") - 2 * _needed(percent, F.col("n_a"), F.col("n_b"))).select("a", "b"))
+    # Of a pair, the node of more candidates is the hub. A leaf's text goes to its hub alone, a hub's text once for LEAVES leaves or so.
+    degree = near.select(F.explode(F.array("a", "b")).alias("nid")).groupBy("nid").agg(F.count(F.lit(1)).alias("d"))
+    dealt = near.join(degree.select(F.col("nid").alias("a"), F.col("d").alias("d_a")), "a").join(degree.select(F.col("nid").alias("b"), F.col("d").alias("d_b")), "b")
+    dealt = dealt.select(F.when(F.col("d_a") >= F.col("d_b"), F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(F.col("d_a") >= F.col("d_b"), F.col("b")).otherwise(F.col("a")).alias("nid"), F.greatest("d_a", "d_b").alias("d"))
+    dealt = dealt.select("hub", F.pmod(F.xxhash64("nid"), F.ceil(F.col("d") / LEAVES)).alias("salt"), F.lit(True).alias("leafy"), "nid")
+    roles = dealt.unionByName(dealt.select("hub", "salt", F.lit(False).alias("leafy"), F.col("hub").alias("nid")).distinct())
+    wanted = cut(roles.join(nodes.select("nid", "na", "nb", "rep", "rep_key"), "nid"))
     # A filter of fixed size keeps most other texts out of the shuffle.
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     listed = wanted.select(F.coalesce(F.col("rep").cast("string"), F.lit("null")).alias("url_key"))
     some = text.withColumns({"block": F.pmod(F.xxhash64(key), F.lit(BLOCKS)).cast("int"), **{f"bit{k}": x for k, x in enumerate(_lanes(key))}}).join(F.broadcast(bloom(listed)), "block")
     for k in range(LANES):
         some = some.filter(F.col(f"lane{k}").bitwiseAND(F.col(f"bit{k}")) == F.col(f"bit{k}"))
-    some = some.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("nid", "na", "nb", "text")
-    sets = cut(some.mapInPandas(partial(_whole_sets, words=words), "nid long, tokens array<long>")).dropDuplicates(["nid"])
-    both = near.join(sets.select(F.col("nid").alias("a"), F.col("tokens").alias("tokens_a")), "a").join(sets.select(F.col("nid").alias("b"), F.col("tokens").alias("tokens_b")), "b")
-    shared = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    return both.select("a", "b", "sum", shared.alias("shared")).filter(100 * F.col("shared") >= percent * (F.col("sum") - F.col("shared"))).select("a", "b")
+    some = some.select("doc_id", "text_key", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_key") == F.col("rep_key")))
+    some = some.select("hub", "salt", "leafy", "nid", "na", "nb", "text").repartition("hub", "salt").sortWithinPartitions("hub", "salt", "leafy")
+    return some.mapInPandas(partial(_linked, words=words, percent=percent), "a long, b long").distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -176,8 +185,8 @@ def ngram_join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     links reach. A text without words, null included, has the empty set and links with nothing. Repeated rows are equal texts, which
     link. Null doc_ids take part and count as no id. An empty table gives an empty result; other columns aren't looked at.
     """
-    spark, text = docs.sparkSession, texts(docs)
-    first = cut(text.mapInPandas(partial(_signed, words=words), "doc_id long, n int, na long, nb long, bins array<short>, slice int, salt int, counts binary"))
+    spark, text = docs.sparkSession, texts(docs).withColumn("text_key", F.xxhash64("text"))
+    first = cut(text.mapInPandas(partial(_signed, words=words), "doc_id long, text_key long, n int, na long, nb long, bins array<short>, slice int, salt int, counts binary"))
     kind = "slice int, salt int, counts binary"
     slices = first.filter("slice is not null").select("slice", "salt", "counts").groupBy("slice", "salt").applyInPandas(_added, kind).groupBy("slice").applyInPandas(_added, kind).collect()
     total = np.zeros((SKETCH // SLICE, SLICE), np.uint64)
@@ -185,23 +194,25 @@ def ngram_join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
         total[r["slice"]] = np.frombuffer(bytes(r["counts"]), np.uint64)
     sketch = spark.sparkContext.broadcast(total.ravel())
     signed = first.filter("slice is null")
-    nodes = cut(signed.filter("n > 0").groupBy("n", "na", "nb").agg(F.min("doc_id").alias("rep"), F.first("bins").alias("bins")).withColumn("nid", F.monotonically_increasing_id()))
-
-    prefix = text.mapInPandas(partial(_prefixes, words=words, percent=percent, sketch=sketch), "token long, na long, nb long, at long")
-    by = W.partitionBy("token").orderBy("at", "na", "nb")
-    whole = W.partitionBy("token").orderBy("at", "na", "nb").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    here = F.struct("na", "nb")
+    nodes = signed.filter("n > 0").groupBy("n", "na", "nb").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("rep"), F.first("bins").alias("bins"))
+    nodes = cut(nodes.select("n", "na", "nb", F.col("rep.doc_id").alias("rep"), F.col("rep.text_key").alias("rep_key"), "bins").withColumn("nid", F.monotonically_increasing_id()))
+
+    # A node goes by the first half of its signature here, and by its size; the few that share both are told apart on verifying.
+    prefix = text.select("text").mapInPandas(partial(_prefixes, words=words, percent=percent, sketch=sketch), "token long, na long, at long")
+    by = W.partitionBy("token").orderBy("at", "na")
+    whole = W.partitionBy("token").orderBy("at", "na").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    here = F.struct("na", F.col("at").bitwiseAND(0xFFFFFFFF).alias("n"))
     shared = prefix.withColumns({"lo": F.first(here).over(whole), "hi": F.last(here).over(whole), "held_by": F.count(F.lit(1)).over(whole), "before": F.lag(here).over(by)}).filter((F.col("lo") != F.col("hi")) & (F.col("before").isNull() | (F.col("before") != here)))
-    shared = shared.select("token", "at", "na", "nb", F.shiftright("at", 32).cast("int").alias("p"), F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("n"), "held_by")
-    prior = F.collect_list(F.struct("na", "nb", "n", "p")).over(by.rowsBetween(-FEW, -1))
-    prior = F.filter(prior, lambda x: (F.col("held_by") <= FEW) & ((x["na"] != F.col("na")) | (x["nb"] != F.col("nb"))) & _may_link(percent, F.col("n"), F.col("p"), x["n"], x["p"]))
+    shared = shared.select("token", "at", "na", F.shiftright("at", 32).cast("int").alias("p"), F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("n"), "held_by")
+    prior = F.collect_list(F.struct("na", "n", "p")).over(by.rowsBetween(-FEW, -1))
+    prior = F.filter(prior, lambda x: (F.col("held_by") <= FEW) & ((x["na"] != F.col("na")) | (x["n"] != F.col("n"))) & _may_link(percent, F.col("n"), F.col("p"), x["n"], x["p"]))
     shared = cut(shared.withColumn("prior", prior).filter((F.size("prior") > 0) | (F.col("held_by") > FEW)).drop("at"))
 
-    key, other = nodes.select("na", "nb", "nid"), nodes.select(F.col("na").alias("ma"), F.col("nb").alias("mb"), F.col("nid").alias("mid"))
+    key, other = nodes.select("na", "n", "nid"), nodes.select(F.col("na").alias("ma"), F.col("n").alias("mn"), F.col("nid").alias("mid"))
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    few = shared.select("na", "nb", F.explode("prior").alias("x")).select("na", "nb", F.col("x.na").alias("ma"), F.col("x.nb").alias("mb")).distinct()
-    few = few.join(key, ["na", "nb"]).join(other, ["ma", "mb"]).select(*ordered(F.col("nid"), F.col("mid")))
-    held = cut(shared.filter(F.col("held_by") > FEW).select("token", "na", "nb", "n", "p").join(key, ["na", "nb"]).select("token", "nid", "n", "p"))
+    few = shared.select("na", "n", F.explode("prior").alias("x")).select("na", "n", F.col("x.na").alias("ma"), F.col("x.n").alias("mn")).distinct()
+    few = few.join(key, ["na", "n"]).join(other, ["ma", "mn"]).select(*ordered(F.col("nid"), F.col("mid")))
+    held = cut(shared.filter(F.col("held_by") > FEW).select("token", "na", "n", "p").join(key, ["na", "n"]).select("token", "nid", "n", "p"))
     earliest = held.groupBy("token").agg(F.min(F.struct("p", "n", "nid")).alias("e"))
     star = held.join(earliest, "token").filter((F.col("nid") != F.col("e.nid")) & _may_link(percent, F.col("n"), F.col("p"), F.col("e.n"), F.col("e.p")))
     star = cut(star.select(*ordered(F.col("nid"), F.col("e.nid"))).unionByName(few).distinct())
