@@ -88,8 +88,16 @@ def _near(text: Column, spans: Column) -> Column:
 def disclosing(near: DataFrame, docs: DataFrame, n: int, support: int = SUPPORT, share: float = SHARE) -> DataFrame:
     """entity, term, n_both, pmi, content of the pairs whose information passes the threshold. near: row, entity, term, distinct."""
     both = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).filter(F.col("n_both") >= support)
-    both = cut(both)
     n_entity = near.select("row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    n_near = near.select("row", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
+    content = F.log2(F.lit(float(n)) / F.col("n_entity"))
+
+    def pmi(n_term: Column) -> Column:
+        return F.log2(F.col("n_both") * F.lit(float(n)) / (n_term * F.col("n_entity")))
+
+    # A term stands in at least as many texts as it stands near entities in, so what fails with that count needs no other.
+    both = both.join(n_entity, "entity").join(n_near, "term").withColumn("content", content)
+    both = cut(both.filter((F.col("content") > 0) & (pmi(F.greatest("n_near", "n_both")) >= share * F.col("content"))))
     wanted = both.select(F.col("term").alias("url_key")).distinct()
     # The words of all texts are counted, but only those that a filter of fixed size lets through are shuffled.
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(NAME), F.lit(0)))).alias("term"))
@@ -98,10 +106,8 @@ def disclosing(near: DataFrame, docs: DataFrame, n: int, support: int = SUPPORT,
     for k in range(LANES):
         let = let.filter(F.col(f"lane{k}").bitwiseAND(F.col(f"bit{k}")) == F.col(f"bit{k}"))
     n_term = let.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    counted = both.join(n_term, "term").join(n_entity, "entity")
-    pmi = F.log2(F.col("n_both") * F.lit(float(n)) / (F.greatest("n_term", "n_both") * F.col("n_entity")))
-    content = F.log2(F.lit(float(n)) / F.col("n_entity"))
-    return counted.withColumns({"pmi": pmi, "content": content}).filter((F.col("content") > 0) & (F.col("pmi") >= share * F.col("content"))).select("entity", "term", "n_both", "pmi", "content")
+    counted = both.join(n_term, "term").withColumn("pmi", pmi(F.greatest("n_term", "n_both")))
+    return counted.filter(F.col("pmi") >= share * F.col("content")).select("entity", "term", "n_both", "pmi", "content")
 
 
 def find_private(docs: DataFrame, support: int = SUPPORT, share: float = SHARE) -> DataFrame:
