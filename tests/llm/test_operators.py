@@ -50,7 +50,9 @@ def test_ngram_join(docs, empty):
     assert ngram_join.ngram_join(empty).count() == 0
 
 
-def test_large_group_of_near_copies(spark):
+@pytest.mark.parametrize("leaves", [256, 4])
+def test_large_group_of_near_copies(spark, monkeypatch, leaves):
+    monkeypatch.setattr(ngram_join, "LEAVES", leaves)
     r = random.Random(1)
     base = [f"w{r.randrange(400)}" for _ in range(200)]
     texts = []
@@ -76,6 +78,28 @@ def test_large_group_of_near_copies(spark):
     assert got == {i: find(i) for i in range(120)}
 
 
+def test_near_copies_that_share_an_id(spark):
+    base = [f"w{k}" for k in range(100)]
+    near = [" ".join([*base[:k], "other", *base[k + 1 :]]) for k in (20, 50, 80)]
+    rows = [(5, " ".join(base)), (5, near[0]), (None, near[1]), (None, near[1]), (3, near[2]), (5, "none of these words")]
+    got = [tuple(x) for x in ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted([(5, 98, 3), (5, 98, 3), (None, 98, 3), (None, 98, 3), (3, 98, 3), (5, 2, 5)], key=str)
+
+
+def test_disclosing_terms_against_brute_force(spark):
+    r = random.Random(5)
+    texts = [" ".join(r.choice([f"name{i % 7}", f"name{r.randrange(7)}", "the", "and", "house"]) for _ in range(6)) for i in range(60)]
+    near = [(i, f"e{i % 7}", w) for i, t in enumerate(texts) for w in sorted({*t.split()[:2]})]
+    told = private_data.disclosing(spark.createDataFrame(near, "row long, entity string, term string"), spark.createDataFrame([(t,) for t in texts], "text string"), 60, 2, 0.3)
+    want = set()
+    for e, w in {(e, w) for _, e, w in near}:
+        both = sum(x[1:] == (e, w) for x in near)
+        of_e, of_w = len({i for i, x, _ in near if x == e}), sum(w in t.split() for t in texts)
+        if both >= 2 and np.log2(both * 60 / (of_w * of_e)) >= 0.3 * np.log2(60 / of_e):
+            want.add((e, w, both))
+    assert 0 < len(want) < len({x[1:] for x in near}) and {(x["entity"], x["term"], x["n_both"]) for x in told.collect()} == want
+
+
 def test_mixing(docs, empty):
     assert mixing.targets([10, 10, 100], [3, 1, 2], 180, 2.0) == [20.0, 20.0, 140.0]
     got = mixing.mix(docs).collect()
