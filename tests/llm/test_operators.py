@@ -87,8 +87,8 @@ def test_near_copies_that_share_an_id(spark):
 
 
 def test_disclosing_terms_against_brute_force(spark):
-    r = random.Random(5)
-    texts = [" ".join(r.choice([f"name{i % 7}", f"name{r.randrange(7)}", "the", "and", "house"]) for _ in range(6)) for i in range(60)]
+    r, names = random.Random(5), "anna bert carl dora emil fritz gerda".split()
+    texts = [" ".join(r.choice([names[i % 7], r.choice(names), "the", "and", "house"]) for _ in range(6)) for i in range(60)]
     near = [(i, f"e{i % 7}", w) for i, t in enumerate(texts) for w in sorted({*t.split()[:2]})]
     told = private_data.disclosing(spark.createDataFrame(near, "row long, entity string, term string"), spark.createDataFrame([(t,) for t in texts], "text string"), 60, 2, 0.3)
     want = set()
