@@ -2,32 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from readqc_spark.functions.numeric import concordance_qv, fdiv, mean_qual
+from readqc_spark.operators import pileup
 from readqc_spark.operators.pileup import REVERSE, SUPPLEMENTARY, flag
 
 COUNTS = ("matches", "mismatches", "non_hp_ins", "non_hp_del", "hp_ins", "hp_del")
 
 
-def _total(kind: str, hp: bool | None = None) -> Column:
-    wanted = lambda e: (e["kind"] == kind) & (F.lit(True) if hp is None else e["hp"] == hp)
-    return F.aggregate(F.filter("events", wanted), F.lit(0).cast("long"), lambda a, e: a + e["n"])
-
-
-def counts(rows: DataFrame) -> DataFrame:
-    """rows of events with the six counts, gc_bases, and the numbers of insertions and deletions."""
-    return rows.withColumns({
-        "matches": _total("match"), "mismatches": _total("mismatch"), "non_hp_ins": _total("ins", False), "non_hp_del": _total("del", False), "hp_ins": _total("ins", True), "hp_del": _total("del", True),
-        "gc_bases": F.aggregate("events", F.lit(0).cast("long"), lambda a, e: a + e["gc"]),
-        "gap_ins": F.size(F.filter("ops", lambda o: o["op"] == "I")).cast("long"), "gap_del": F.size(F.filter("ops", lambda o: o["op"] == "D")).cast("long"),
-    })
-
-
-def stats(counted: DataFrame) -> DataFrame:
-    """The per-alignment table: identity columns, counts and what derives from them."""
-    c = F.col
+def stats(rows: DataFrame) -> DataFrame:
+    """The per-alignment table of rows of with_contig: identity columns, counts and what derives from them."""
+    counted, c = pileup.tallies(rows), F.col
     errors = c("mismatches") + c("non_hp_ins") + c("non_hp_del") + c("hp_ins") + c("hp_del")
     read_len = c("matches") + c("mismatches") + c("non_hp_del") + c("hp_del")
     out = counted.withColumns({

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -23,20 +23,31 @@ def _guarded(when: Column, value: Column) -> Column:
     return F.when(when, value.cast(KIND)).otherwise(F.expr(f"cast(array() as {KIND})"))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), value computed once for the row though lambdas within use read it often."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _aligned() -> Column:
+    """The reference's bases along the alignment, as an array."""
+    span = F.substring(F.col("ref"), F.col("pos") - F.col("slice_start") + 1, F.col("aln_end") - F.col("pos"))
+    return F.filter(F.split(span, ""), lambda b: b != "")
+
+
 def homopolymers() -> Column:
     """Runs of two or more equal bases, clipped to the alignment; the label is the length, five wide, and the base on the read's strand."""
-    first = F.col("pos") - F.col("slice_start")
-    mine = F.array_join(F.slice("ref", first + 1, F.col("aln_end") - F.col("pos")), "")
-    runs, gaps = F.regexp_extract_all(mine, F.lit(r"(.)\1+"), F.lit(0)), F.split(mine, r"(.)\1+", -1)
-    begun = F.struct(F.col("pos").cast("int").alias("at"), F.expr(f"cast(array() as {KIND})").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        start, n = a["at"] + F.length(x["gap"]), F.length(x["run"])
-        base = F.substring(x["run"], F.lit(1), F.lit(1))
+
+    def runs(b: Column) -> Column:
+        n = F.size(b)
+        begun = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (i == 0) | (F.get(b, i) != F.get(b, i - 1)))
+        spans = _let(begun, lambda s: F.transform(s, lambda x, k: F.struct(x.alias("at"), (F.coalesce(F.get(s, k + 1), n) - x).alias("n"))))
+        return F.transform(F.filter(spans, lambda x: x["n"] > 1), lambda x: one(x["at"], x["n"], F.get(b, x["at"])))
+
+    def one(at: Column, n: Column, base: Column) -> Column:
         label = F.concat(F.when(n < 100_000, F.lpad(n.cast("string"), 5, " ")).otherwise(n.cast("string")), F.when(flag(REVERSE), F.translate(base, "ACGTN", "TGCAN")).otherwise(base))
-        return F.when(x["run"].isNull(), a).otherwise(F.struct((start + n).alias("at"), F.array_append(a["out"], _one(start, start + n, label)).alias("out")))
+        return _one(F.col("pos") + at, F.col("pos") + at + n, label)
 
-    return _guarded(F.col("aln_end") > F.col("pos"), F.aggregate(F.arrays_zip(gaps.alias("gap"), runs.alias("run")), begun, step)["out"])
+    return _guarded(F.col("aln_end") > F.col("pos"), _let(_aligned(), runs))
 
 
 def windows(width: int, positions: bool = False) -> Column:
@@ -66,9 +77,9 @@ def matches(pattern: str) -> Column:
     pattern, n = pattern.upper(), len(pattern)
     other = pattern[::-1].translate(str.maketrans({c: dict(zip("ACGTN", "TGCAN", strict=True)).get(c, "\0") for c in set(pattern)}))
     s, e = F.col("pos"), F.col("aln_end")
-    here = lambda i: F.array_join(F.slice("ref", i - F.col("slice_start") + 1, F.lit(n)), "")
-    places = F.filter(F.sequence(s, F.greatest(e - n, s)), lambda i: here(i) == F.when(flag(REVERSE), other).otherwise(pattern))
-    return _guarded(e - s >= n, F.transform(places, lambda i: _one(i, i + n, F.lit(pattern))))
+    wanted = F.when(flag(REVERSE), other).otherwise(pattern)
+    places = _let(_aligned(), lambda b: F.filter(F.sequence(F.lit(0), F.greatest(F.size(b) - n, F.lit(0))), lambda i: F.array_join(F.slice(b, i + 1, F.lit(n)), "") == wanted))
+    return _guarded(e - s >= n, F.transform(places, lambda i: _one(s + i, s + i + n, F.lit(pattern))))
 
 
 def generated(rows: DataFrame, kinds: Sequence[Column]) -> DataFrame:
@@ -93,7 +104,7 @@ def numbered(intervals: DataFrame) -> DataFrame:
 
 
 def stab(events: DataFrame, intervals: DataFrame, width: int = STAB_BIN) -> DataFrame:
-    """Events (exploded) with each interval (numbered) of their alignment that holds their place."""
+    """Events with each interval (numbered) of their alignment that holds their place."""
     last = F.greatest(F.col("stop") - 1, F.col("start"))
     i = intervals.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(last / width))))
     return events.withColumn("bin", F.floor(F.col("ref_pos") / width)).join(i, ["aln_id", "bin"]).filter("ref_pos >= start and ref_pos < stop").drop("bin")

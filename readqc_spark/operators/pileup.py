@@ -1,25 +1,30 @@
-"""Each aligned base, insertion and deleted base of a read, classified, as an array in the read's own row.
+"""Each aligned base, insertion and deleted base of a read, classified.
 
 A read carries only the slice of its contig from one base before to two after its span, so neighbours are at hand and nothing
-larger than a read moves after the join.
+larger than a read moves after the join. Reads are classified in Arrow batches: numpy works on all bases of a slab of reads at
+once, so a base costs no row, struct or function call. A slab holds about SLAB bases, or one longer read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from readqc_spark.operators import cigar
 
 UNMAPPED, REVERSE, SECONDARY, SUPPLEMENTARY = 0x4, 0x10, 0x100, 0x800
 #: Contigs of so many bases together are broadcast; larger assemblies are joined by a shuffle on the contig's name.
 BROADCAST_BASES = 64 << 20
-
-
-def evaluated(df: DataFrame, **columns: Column) -> DataFrame:
-    """df with columns that are computed once for each row: the optimizer doesn't copy them into lambdas that use them."""
-    one = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_once")
-    return df.select(*[c for c in df.columns if c not in columns], one).select("*", "_once.*").drop("_once")
+SLAB = 1 << 20
+KINDS = ("match", "mismatch", "ins", "del")
+MATCH, MISMATCH, INS, DEL = range(4)
+TALLIES = ("matches", "mismatches", "non_hp_ins", "non_hp_del", "hp_ins", "hp_del", "gc_bases", "gap_ins", "gap_del")
 
 
 def flag(bit: int) -> Column:
@@ -36,57 +41,164 @@ def primary(stats: DataFrame) -> DataFrame:
 
 
 def with_contig(alignments: DataFrame, contigs: DataFrame, total_bases: int | None = None) -> DataFrame:
-    """alignments with ops, aln_end, contig_length, slice_start and ref (the slice's bases as an array). A contig that isn't there raises."""
+    """alignments with ops, aln_end, contig_length, slice_start and ref (the slice's bases). A contig that isn't there raises."""
     c = contigs.select(F.col("chr").alias("_chr"), F.upper("seq").alias("_seq"))
     c = F.broadcast(c) if total_bases is not None and total_bases <= BROADCAST_BASES else c
     rows = alignments.withColumn("ops", cigar.ops(F.col("cigar"))).withColumn("aln_end", F.col("pos") + cigar.span(F.col("ops")))
     joined = rows.join(c, F.col("chr") == F.col("_chr"), "left").withColumn("slice_start", F.greatest(F.col("pos") - 1, F.lit(1)))
     checked = F.when(F.col("_seq").isNull(), F.raise_error(F.concat(F.lit("contig not in the reference: "), F.coalesce("chr", F.lit("null"))))).otherwise(F.col("_seq"))
     piece = F.substring(checked, F.col("slice_start"), F.col("aln_end") - F.col("slice_start") + 3)
-    return joined.withColumn("ref", F.filter(F.split(piece, ""), lambda b: b != "")).withColumn("contig_length", F.length("_seq")).drop("_chr", "_seq")
+    return joined.withColumns({"ref": piece, "contig_length": F.length("_seq")}).drop("_chr", "_seq")
 
 
-def events(rows: DataFrame) -> DataFrame:
-    """rows of with_contig and an array events of struct<kind, hp, n, ref_pos, qual, gc>.
+class Walk(NamedTuple):
+    """Events in the order of the reads: the read's index, kind, whether a homopolymer's, bases, place, place in the slab's quals (-1: none), GC."""
+
+    row: np.ndarray
+    kind: np.ndarray
+    hp: np.ndarray
+    n: np.ndarray
+    ref_pos: np.ndarray
+    qual_at: np.ndarray
+    gc: np.ndarray
+    gaps: tuple[np.ndarray, np.ndarray]
+
+
+def _marks(letters: tuple[str, ...] | str) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[[ord(x) for x in letters]] = True
+    return out
 
-    kind is match, mismatch, ins (once for each operation, n bases) or del (once for each base). An insertion is a homopolymer's if all its
-    bases equal the reference base at its place, or all equal the one after that; a deleted base if it equals either neighbour.
-    """
-    ref_at = lambda p: F.get(F.col("ref"), p - F.col("slice_start"))
-    same = lambda a, b: F.coalesce(a == b, F.lit(False))
-    gc = lambda b: F.coalesce(b.isin("C", "G"), F.lit(False)).cast("int")
-    shape = "array<struct<kind:string,hp:boolean,n:int,ref_pos:int,qual:int,gc:int>>"
 
-    def event(kind: Column, hp: Column, n: Column, at: Column, qual: Column, is_gc: Column) -> Column:
-        return F.struct(kind.alias("kind"), hp.alias("hp"), n.cast("int").alias("n"), at.cast("int").alias("ref_pos"), qual.cast("int").alias("qual"), is_gc.alias("gc"))
+_ON_REFERENCE, _ON_READ, _COUNTED, _GC = _marks(cigar.ON_REFERENCE), _marks(cigar.ON_READ), _marks(cigar.COUNTED), _marks("CG")
 
-    def aligned(o: Column) -> Column:
-        def one(j: Column) -> Column:
-            at, q = o["ref_start"] + j, o["query_start"] + j - 1
-            hit = (o["op"] == "=") | ((o["op"] == "M") & same(ref_at(at), F.get(F.col("bases"), q)))
-            return event(F.when(hit, "match").otherwise("mismatch"), F.lit(False), F.lit(1), at, F.get(F.col("quals"), q), gc(ref_at(at)))
 
-        return F.transform(F.sequence(F.lit(0), o["len"] - 1), one)
+def _bytes(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all bytes, where each string begins and the last ends); null as empty."""
+    a = strings.fill_null("").cast(pa.large_string())
+    _, offsets, data = a.buffers()
+    at = np.frombuffer(offsets, np.int64)[a.offset : a.offset + len(a) + 1]
+    return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), at
 
-    def inserted(o: Column) -> Column:
-        new, at = F.slice(F.col("bases"), o["query_start"], o["len"]), o["ref_start"]
-        all_are = lambda b: F.coalesce(F.forall(new, lambda x: same(x, b)), F.lit(False))
-        return F.array(event(F.lit("ins"), all_are(ref_at(at)) | all_are(ref_at(at + 1)), o["len"], at, F.lit(None), F.lit(0)))
 
-    def deleted(o: Column) -> Column:
-        def one(j: Column) -> Column:
-            at = o["ref_start"] + j
-            return event(F.lit("del"), same(ref_at(at), ref_at(at - 1)) | same(ref_at(at), ref_at(at + 1)), F.lit(1), at, F.lit(None), gc(ref_at(at)))
+def _longs(numbers: pa.Array) -> np.ndarray:
+    return numbers.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
 
-        return F.transform(F.sequence(F.lit(0), o["len"] - 1), one)
 
-    present = F.when((F.length("seq") == 0) | (F.col("seq") == "*") | (F.coalesce(F.size("quals"), F.lit(0)) <= 0), F.raise_error(F.lit("Read sequence or quality scores do not exist!"))).otherwise(F.upper("seq"))
-    walked = F.filter(cigar.coords(F.col("ops"), F.col("pos")), lambda o: (o["len"] > 0) & o["op"].isin(*cigar.COUNTED))
-    each = F.transform(F.col("_walk"), lambda o: F.when(o["op"] == "I", inserted(o)).when(o["op"] == "D", deleted(o)).otherwise(aligned(o)).cast(shape))
-    ready = evaluated(rows, ref=F.col("ref"), bases=F.split(present, ""), _walk=walked)
-    return evaluated(ready, events=F.flatten(each)).drop("_walk")
+def _letter(data: np.ndarray, first: np.ndarray, end: np.ndarray, at: np.ndarray, missing: int) -> np.ndarray:
+    """data[first + at], missing where that lies outside of first to end."""
+    place = first + at
+    good = (at >= 0) & (place < end)
+    if not len(data):
+        return np.full(len(place), missing, np.uint8)
+    return np.where(good, data[np.where(good, place, 0)], np.uint8(missing))
 
 
-def exploded(rows: DataFrame) -> DataFrame:
-    """aln_id and the fields of each event."""
-    return rows.select("aln_id", F.explode("events").alias("e")).select("aln_id", "e.*")
+def _operations(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(read, letter, length) of each operation of CIGAR strings; * has none."""
+    base, text = at[0], text[at[0] : at[-1]]
+    letters = np.flatnonzero((text > ord("9")) | (text == ord("*")))
+    digits = np.flatnonzero((text >= ord("0")) & (text <= ord("9")))
+    of = np.searchsorted(letters, digits)
+    weight = 10.0 ** (letters[of] - digits - 1) if len(of) else np.zeros(0)
+    length = np.bincount(of, (text[digits] - ord("0")) * weight, minlength=len(letters)).astype(np.int64)
+    row, op = np.searchsorted(at[1:] - base, letters, "right"), text[letters]
+    real = op != ord("*")
+    return row[real], op[real], length[real]
+
+
+def walk(pos: pa.Array, cigars: pa.Array, seq: pa.Array, ref: pa.Array, slice_start: pa.Array) -> Walk:
+    """The events of a slab of reads. seq and ref are in upper case; ref begins at slice_start.
+
+    `=` is a match and `X` a mismatch whatever the bases. An insertion is one event; it is a homopolymer's if all its bases equal the
+    reference base at its place, or all equal the one after that. A deleted base is one if it equals either neighbour.
+    A missing base equals nothing.
+    """
+    rows = len(pos)
+    (reads, read_at), (refs, ref_at) = _bytes(seq), _bytes(ref)
+    row, op, length = _operations(*_bytes(cigars))
+    gaps = tuple(np.bincount(row[op == ord(x)], minlength=rows) for x in "ID")
+    starts = []
+    for moves in (_ON_REFERENCE, _ON_READ):
+        step = length * moves[op]
+        before = np.cumsum(step) - step
+        first = np.searchsorted(row, np.arange(rows))
+        starts.append(before - before[first[row]] if len(row) else before)
+    place, query = starts[0] + _longs(pos)[row], starts[1]
+
+    kept = _COUNTED[op] & (length > 0)
+    row, op, length, place, query = row[kept], op[kept], length[kept], place[kept], query[kept]
+    units = np.where(op == ord("I"), 1, length)
+    of = np.repeat(np.arange(len(op)), units)
+    j = np.arange(len(of)) - np.repeat(np.cumsum(units) - units, units)
+    r, o, p, q = row[of], op[of], place[of] + j, query[of] + j
+    shift = _longs(slice_start)
+    on_ref = lambda rr, pp: _letter(refs, ref_at[:-1][rr], ref_at[1:][rr], pp - shift[rr], 0)
+    on_read = lambda rr, qq: _letter(reads, read_at[:-1][rr], read_at[1:][rr], qq, 1)
+
+    here = on_ref(r, p)
+    ins, dels = o == ord("I"), o == ord("D")
+    hit = (o == ord("=")) | ((o == ord("M")) & (here == on_read(r, q)))
+    kind = np.where(ins, INS, np.where(dels, DEL, np.where(hit, MATCH, MISMATCH))).astype(np.int8)
+    hp = np.zeros(len(of), bool)
+    d = np.flatnonzero(dels)
+    hp[d] = (here[d] != 0) & ((here[d] == on_ref(r[d], p[d] - 1)) | (here[d] == on_ref(r[d], p[d] + 1)))
+    i = np.flatnonzero(ins)
+    if len(i):
+        size = length[of[i]]
+        begin = np.cumsum(size) - size
+        each = np.repeat(i, size)
+        new = on_read(r[each], q[each] + np.arange(len(each)) - np.repeat(begin, size))
+        hp[i] = np.logical_and.reduceat(new == here[each], begin) | np.logical_and.reduceat(new == on_ref(r[each], p[each] + 1), begin)
+    return Walk(r, kind, hp, np.where(ins, length[of], 1), p, np.where(ins | dels, -1, q), _GC[here] & ~ins, gaps)
+
+
+def _slabs(seq: pa.Array, ref: pa.Array) -> Iterator[slice]:
+    """Slices of reads of about SLAB bases together, or of one longer read."""
+    size = np.diff(_bytes(seq)[1]) + np.diff(_bytes(ref)[1])
+    i, total = 0, np.concatenate([[0], np.cumsum(size)])
+    while i < len(size):
+        j = max(i + 1, int(np.searchsorted(total, total[i] + SLAB, "right")) - 1)
+        yield slice(i, j)
+        i = j
+
+
+def _present() -> Column:
+    nothing = (F.coalesce(F.length("seq"), F.lit(0)) == 0) | (F.col("seq") == "*") | (F.coalesce(F.size("quals"), F.lit(0)) <= 0)
+    return F.when(nothing, F.raise_error(F.lit("Read sequence or quality scores do not exist!"))).otherwise(F.upper("seq"))
+
+
+def _tally(pos: pa.Array, cigars: pa.Array, seq: pa.Array, ref: pa.Array, slice_start: pa.Array) -> pa.Array:
+    columns, parts = (pos, cigars, seq, ref, slice_start), []
+    for some in _slabs(seq, ref):
+        w, rows = walk(*[c[some] for c in columns]), some.stop - some.start
+        wanted = (w.kind == MATCH, w.kind == MISMATCH, (w.kind == INS) & ~w.hp, (w.kind == DEL) & ~w.hp, (w.kind == INS) & w.hp, (w.kind == DEL) & w.hp, w.gc)
+        parts.append(np.stack([np.bincount(w.row[x], w.n[x], rows) for x in wanted] + list(w.gaps)).astype(np.int64))
+    all_rows = np.concatenate(parts, axis=1) if parts else np.zeros((len(TALLIES), 0), np.int64)
+    return pa.StructArray.from_arrays([pa.array(x) for x in all_rows], list(TALLIES))
+
+
+def tallies(rows: DataFrame) -> DataFrame:
+    """rows of with_contig with each read's TALLIES; no shuffle, and only the bases go to Python."""
+    count = F.arrow_udf(_tally, ", ".join(f"{t} long" for t in TALLIES))
+    return rows.withColumn("_t", count("pos", "cigar", _present(), "ref", "slice_start")).select("*", "_t.*").drop("_t")
+
+
+def _classified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names, strings = ["aln_id", "kind", "hp", "n", "ref_pos", "qual", "gc"], pa.array(KINDS)
+    for b in batches:
+        for some in _slabs(b["seq"], b["ref"]):
+            c = {n: b[n][some] for n in b.schema.names}
+            w = walk(c["pos"], c["cigar"], c["seq"], c["ref"], c["slice_start"])
+            q = c["quals"].fill_null([]) if c["quals"].null_count else c["quals"]
+            ends = np.concatenate([[0], np.cumsum(q.value_lengths().to_numpy(zero_copy_only=False))])
+            at = ends[w.row] + w.qual_at
+            qual = q.flatten().cast(pa.int32()).take(pa.array(at, mask=(w.qual_at < 0) | (at >= ends[w.row + 1])))
+            kind = pa.DictionaryArray.from_arrays(pa.array(w.kind), strings).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([c["aln_id"].take(pa.array(w.row)), kind, pa.array(w.hp), pa.array(w.n.astype(np.int32)), pa.array(w.ref_pos.astype(np.int32)), qual, pa.array(w.gc.astype(np.int32))], names)
+
+
+def events(rows: DataFrame) -> DataFrame:
+    """One row for each event of rows of with_contig: aln_id, kind, hp, n (bases), ref_pos, qual (null for gaps), gc (of the reference's base)."""
+    shape = T.StructType([rows.schema["aln_id"], *T._parse_datatype_string("kind string, hp boolean, n int, ref_pos int, qual int, gc int").fields])
+    return rows.select("aln_id", "pos", "cigar", _present().alias("seq"), "ref", "slice_start", "quals").mapInArrow(_classified, shape)

@@ -70,7 +70,7 @@ def _kinds() -> list[Column]:
 
 
 def features(events: DataFrame, intervals: DataFrame) -> DataFrame:
-    """One row for each feature. events: exploded, of primary alignments; intervals: numbered."""
+    """One row for each feature. events: of primary alignments; intervals: numbered."""
     hit = iv.stab(events, intervals)
     total = hit.groupBy("feature_key").agg(*_kinds(), F.sum(F.when(F.col("kind").isin("match", "mismatch"), error_of(F.col("qual")) * F.col("n_same"))).alias("error"))
     over = iv.identical(intervals, events).groupBy("feature_key").agg(F.sum("n_same").alias("intervals"), F.sum(F.when(F.col("identical"), F.col("n_same")).otherwise(0)).alias("same"))

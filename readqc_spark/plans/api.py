@@ -57,9 +57,9 @@ def analyze(alignments: DataFrame, contigs: DataFrame, intervals: Intervals | No
     """per_aln, yield, identity, cigar, qual_score; feature with intervals; bin with bins."""
     bases = contigs.agg(F.sum("length")).first()[0] or 0
     rows = pileup.with_contig(pileup.mapped_primary(alignments), contigs, bases)
-    stats = aln_stats.stats(aln_stats.counts(pileup.events(rows)))
+    stats = aln_stats.stats(rows)
     main, mine = pileup.primary(stats), rows.filter(~pileup.flag(pileup.SUPPLEMENTARY))
-    events = pileup.exploded(pileup.events(mine))
+    events = pileup.events(mine)
     within = intervals.of(mine) if intervals else None
     numbered = iv.numbered(within) if within is not None else None
     out = {"per_aln": stats, "yield": summaries.yields(main), "identity": summaries.identity(main, alignments.agg(F.count(F.lit(1)).alias("total_alns"))), "cigar": summaries.cigars(mine), "qual_score": summaries.qual_scores(events, numbered)}

@@ -46,15 +46,15 @@ def primary_rows(spark, d):
 
 
 def events(spark, d):
-    return pileup.exploded(pileup.events(rows(spark, d)))
+    return pileup.events(rows(spark, d))
 
 
 def primary_events(spark, d):
-    return pileup.exploded(pileup.events(primary_rows(spark, d)))
+    return pileup.events(primary_rows(spark, d))
 
 
 def stats(spark, d):
-    return aln_stats.stats(aln_stats.counts(pileup.events(rows(spark, d))))
+    return aln_stats.stats(rows(spark, d))
 
 
 def all_intervals(spark, d, r=None):
@@ -156,7 +156,7 @@ def aln_mean_qual(spark, d):
 
 @query
 def join_contig(spark, d):
-    return rows(spark, d).select("aln_id", "contig_length", F.array_join("ref", "").alias("slice"))
+    return rows(spark, d).select("aln_id", "contig_length", F.col("ref").alias("slice"))
 
 
 @query

@@ -13,7 +13,7 @@ STATE = (*aln_stats.COUNTS, "gap_ins", "gap_del")
 
 def batch_state(alignments: DataFrame, contigs: DataFrame) -> DataFrame:
     """One row of integer sums over a batch's primary alignments."""
-    stats = pileup.primary(aln_stats.stats(aln_stats.counts(pileup.events(pileup.with_contig(pileup.mapped_primary(alignments), contigs)))))
+    stats = pileup.primary(aln_stats.stats(pileup.with_contig(pileup.mapped_primary(alignments), contigs)))
     return stats.agg(F.count(F.lit(1)).alias("primary_alns"), *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in STATE])
 
 
