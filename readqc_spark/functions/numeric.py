@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,11 +28,16 @@ def concordance_qv(identity: Column, has_errors: Column) -> Column:
     return F.when(has_errors, F.when(identity == 1, F.lit(float("inf"))).otherwise(-10.0 * F.log10(1.0 - identity))).otherwise(F.lit(PERFECT_QV))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), value computed once for the row however often use reads it, in lambdas too."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def mean_qual(quals: Column) -> Column:
     """Mean error of all bases as a Phred value, rounded, 0 to 255."""
     total = F.aggregate(quals, F.lit(0.0), lambda a, q: a + error_of(q))
-    q = F.round(qual_of(fdiv(total, F.size(quals))))
-    return F.when(F.isnan(q), F.lit(0)).otherwise(F.least(F.greatest(q, F.lit(0.0)), F.lit(255.0)).cast("int"))
+    whole = lambda q: F.when(F.isnan(q), F.lit(0)).otherwise(F.least(F.greatest(q, F.lit(0.0)), F.lit(255.0)).cast("int"))
+    return let(fdiv(total, F.size(quals)), lambda e: let(F.round(qual_of(e)), whole))
 
 
 def per(n: Column, d: Column, scale: float = 1.0) -> Column:

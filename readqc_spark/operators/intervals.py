@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from readqc_spark.functions.numeric import let
 from readqc_spark.operators.pileup import REVERSE, flag
 
 KIND = "array<struct<start:int,stop:int,feature_key:string>>"
@@ -23,11 +24,6 @@ def _guarded(when: Column, value: Column) -> Column:
     return F.when(when, value.cast(KIND)).otherwise(F.expr(f"cast(array() as {KIND})"))
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), value computed once for the row though lambdas within use read it often."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _aligned() -> Column:
     """The reference's bases along the alignment, as an array."""
     span = F.substring(F.col("ref"), F.col("pos") - F.col("slice_start") + 1, F.col("aln_end") - F.col("pos"))
@@ -40,14 +36,14 @@ def homopolymers() -> Column:
     def runs(b: Column) -> Column:
         n = F.size(b)
         begun = F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: (i == 0) | (F.get(b, i) != F.get(b, i - 1)))
-        spans = _let(begun, lambda s: F.transform(s, lambda x, k: F.struct(x.alias("at"), (F.coalesce(F.get(s, k + 1), n) - x).alias("n"))))
+        spans = let(begun, lambda s: F.transform(s, lambda x, k: F.struct(x.alias("at"), (F.coalesce(F.get(s, k + 1), n) - x).alias("n"))))
         return F.transform(F.filter(spans, lambda x: x["n"] > 1), lambda x: one(x["at"], x["n"], F.get(b, x["at"])))
 
     def one(at: Column, n: Column, base: Column) -> Column:
         label = F.concat(F.when(n < 100_000, F.lpad(n.cast("string"), 5, " ")).otherwise(n.cast("string")), F.when(flag(REVERSE), F.translate(base, "ACGTN", "TGCAN")).otherwise(base))
         return _one(F.col("pos") + at, F.col("pos") + at + n, label)
 
-    return _guarded(F.col("aln_end") > F.col("pos"), _let(_aligned(), runs))
+    return _guarded(F.col("aln_end") > F.col("pos"), let(_aligned(), runs))
 
 
 def windows(width: int, positions: bool = False) -> Column:
@@ -78,7 +74,7 @@ def matches(pattern: str) -> Column:
     other = pattern[::-1].translate(str.maketrans({c: dict(zip("ACGTN", "TGCAN", strict=True)).get(c, "\0") for c in set(pattern)}))
     s, e = F.col("pos"), F.col("aln_end")
     wanted = F.when(flag(REVERSE), other).otherwise(pattern)
-    places = _let(_aligned(), lambda b: F.filter(F.sequence(F.lit(0), F.greatest(F.size(b) - n, F.lit(0))), lambda i: F.array_join(F.slice(b, i + 1, F.lit(n)), "") == wanted))
+    places = let(_aligned(), lambda b: F.filter(F.sequence(F.lit(0), F.greatest(F.size(b) - n, F.lit(0))), lambda i: F.array_join(F.slice(b, i + 1, F.lit(n)), "") == wanted))
     return _guarded(e - s >= n, F.transform(places, lambda i: _one(s + i, s + i + n, F.lit(pattern))))
 
 
@@ -103,14 +99,30 @@ def numbered(intervals: DataFrame) -> DataFrame:
     return intervals.groupBy("aln_id", "start", "stop", "feature_key").agg(F.count(F.lit(1)).alias("n_same"))
 
 
+def _binned(intervals: DataFrame, events: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    last = F.greatest(F.col("stop") - 1, F.col("start"))
+    bins = F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(last / width)))
+    return intervals.withColumn("bin", bins), events.withColumn("bin", F.floor(F.col("ref_pos") / width))
+
+
 def stab(events: DataFrame, intervals: DataFrame, width: int = STAB_BIN) -> DataFrame:
     """Events with each interval (numbered) of their alignment that holds their place."""
-    last = F.greatest(F.col("stop") - 1, F.col("start"))
-    i = intervals.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(last / width))))
-    return events.withColumn("bin", F.floor(F.col("ref_pos") / width)).join(i, ["aln_id", "bin"]).filter("ref_pos >= start and ref_pos < stop").drop("bin")
+    i, e = _binned(intervals, events, width)
+    return e.join(i, ["aln_id", "bin"]).filter("ref_pos >= start and ref_pos < stop").drop("bin")
+
+
+def over_intervals(intervals: DataFrame, events: DataFrame, sums: Sequence[Column], width: int = STAB_BIN) -> DataFrame:
+    """One row for each interval (numbered): its fields, sums over the events in it, and whether all of them are matches.
+
+    An interval without events is identical, and its sums are null. One join serves the sums and the test.
+    """
+    i, e = _binned(intervals, events.withColumnsRenamed({"aln_id": "_aln", "n": "_n"}), width)
+    e = e.withColumnRenamed("bin", "_bin")
+    on = (F.col("aln_id") == F.col("_aln")) & (F.col("bin") == F.col("_bin")) & (F.col("ref_pos") >= F.col("start")) & (F.col("ref_pos") < F.col("stop"))
+    wrong = F.coalesce(F.max(F.col("kind") != "match"), F.lit(False))
+    return i.join(e, on, "left").groupBy("aln_id", "start", "stop", "feature_key", "n_same").agg((~wrong).alias("identical"), *sums)
 
 
 def identical(intervals: DataFrame, events: DataFrame) -> DataFrame:
     """intervals (numbered) with whether no error event lies in them; uncovered and empty ones count as identical."""
-    wrong = stab(events.filter("kind <> 'match'"), intervals).select("aln_id", "start", "stop", "feature_key").distinct().withColumn("wrong", F.lit(True))
-    return intervals.join(wrong, ["aln_id", "start", "stop", "feature_key"], "left").withColumn("identical", F.col("wrong").isNull()).drop("wrong")
+    return over_intervals(intervals, events.filter("kind <> 'match'"), [])

@@ -64,17 +64,19 @@ def bins(stats: DataFrame, specs: list[tuple[str, float]]) -> DataFrame:
 
 
 def _kinds() -> list[Column]:
-    w = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n") * F.col("n_same"))), F.lit(0)).cast("long")
+    w = lambda cond: F.sum(F.when(cond, F.col("_n")))
     k, hp = F.col("kind"), F.col("hp")
     return [w(k == "match").alias("matches"), w(k == "mismatch").alias("mismatches"), w((k == "ins") & ~hp).alias("non_hp_ins"), w((k == "del") & ~hp).alias("non_hp_del"), w((k == "ins") & hp).alias("hp_ins"), w((k == "del") & hp).alias("hp_del")]
 
 
 def features(events: DataFrame, intervals: DataFrame) -> DataFrame:
     """One row for each feature. events: of primary alignments; intervals: numbered."""
-    hit = iv.stab(events, intervals)
-    total = hit.groupBy("feature_key").agg(*_kinds(), F.sum(F.when(F.col("kind").isin("match", "mismatch"), error_of(F.col("qual")) * F.col("n_same"))).alias("error"))
-    over = iv.identical(intervals, events).groupBy("feature_key").agg(F.sum("n_same").alias("intervals"), F.sum(F.when(F.col("identical"), F.col("n_same")).otherwise(0)).alias("same"))
-    j = over.join(total, "feature_key", "left").fillna(0).withColumn("identity", fdiv(F.col("matches"), F.col("matches") + _errors()))
+    error = F.sum(F.when(F.col("kind").isin("match", "mismatch"), error_of(F.col("qual")))).alias("error")
+    each = iv.over_intervals(intervals, events, [*_kinds(), error])
+    weighted = lambda c: F.coalesce(F.sum(F.col(c) * F.col("n_same")), F.lit(0))
+    same = F.sum(F.when(F.col("identical"), F.col("n_same")).otherwise(0)).alias("same")
+    g = each.groupBy("feature_key").agg(F.sum("n_same").alias("intervals"), same, *[weighted(c).cast("long").alias(c) for c in COUNTS], weighted("error").alias("error"))
+    j = g.withColumn("identity", fdiv(F.col("matches"), F.col("matches") + _errors()))
     return j.orderBy("feature_key").select(
         F.trim("feature_key").alias("feature"), "intervals", fdiv(F.col("same"), F.col("intervals")).alias("identical_intervals"), "identity", concordance_qv(F.col("identity"), F.col("identity") != 1.0).alias("identity_qv"),
         qual_of(fdiv(F.col("error"), F.col("matches") + F.col("mismatches"))).alias("mean_qual"), per(_bases(), F.col("intervals")).alias("bases_per_interval"), *[per(F.col(c), F.col("intervals")).alias(f"{c}_per_interval") for c in COUNTS],

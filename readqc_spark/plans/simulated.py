@@ -11,9 +11,18 @@ CIGARS = [("60M", 60), ("5S20M2I20M3D10M4S", 61), ("20=1X19=", 40), ("10M30N10M1
 SHORTEST, COPIES = 200, 4
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """df over all cores where its scan has fewer tasks than there are cores (a file of one row group); else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.regexp_replace(F.translate(F.lower("text"), LETTERS, BASES), "[^ACGTN]", "").alias("seq"))
-    return d.withColumn("length", F.length("seq")).filter(F.col("length") >= SHORTEST).select(F.concat(F.lit("ctg"), F.col("doc_id").cast("string")).alias("chr"), "doc_id", "seq", "length")
+    d = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id")
+    seq = F.translate(F.regexp_replace(F.lower("text"), "[^a-z]+", ""), LETTERS, BASES)
+    # Through explode, as a filter on a length pushed to the scan would derive the bases again.
+    d = d.select("doc_id", F.explode(F.filter(F.array(seq), lambda s: F.length(s) >= SHORTEST)).alias("seq"))
+    return d.select(F.concat(F.lit("ctg"), F.col("doc_id").cast("string")).alias("chr"), "doc_id", "seq", F.length("seq").alias("length"))
 
 
 def alignments(contig: DataFrame) -> DataFrame:
