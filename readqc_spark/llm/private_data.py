@@ -1,9 +1,9 @@
 """Personal data: patterns, and terms that disclose what the patterns found.
 
-Base spans come from four patterns. Each protected value (an address, a number) is an entity. Words that stand close to an entity
-are its candidate terms; over the whole corpus, a term's pointwise mutual information with an entity is compared to the
-entity's own information content, log2(N / n(e)). Terms that disclose at least SHARE of it, in at least SUPPORT documents,
-are marked as spans too, and sanitise() puts a general word in their place or removes them. DataFrame functions alone are used:
+Base spans come from four patterns. Each protected value (an address, a number) is an entity. The words of the texts that hold an
+entity, outside base spans, are its candidate terms; over the whole corpus, a term's pointwise mutual information with an entity is
+compared to the entity's own information content, log2(N / n(e)), all counts being of whole texts. Terms that disclose at least SHARE
+of it, in at least SUPPORT documents, are marked as spans wherever they stand in any text, and sanitise() puts a general word in their place or removes them. DataFrame functions alone are used:
 matches come from regexp_extract_all and their places from the lengths of what split() leaves between them.
 """
 
@@ -23,8 +23,7 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 #: A whole run of digits with single separators, if it has 14 to 19 digits.
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: Words are looked for in so many characters on either side of an entity.
-REACH, SUPPORT, SHARE = 48, 3, 0.9
+SUPPORT, SHARE = 3, 0.9
 NAME = r"\p{L}[\p{L}\p{M}'\x2d]{2,}+"
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
 
@@ -66,64 +65,114 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(of(0, F.contains(text, F.lit("@")), EMAIL, None), of(1, F.rlike(text, F.lit(r"[0-9]\.[0-9]")), IP, _octets), of(2, F.rlike(text, F.lit(CARD)), CARD, _luhn), of(3, F.contains(text, F.lit("+")), PHONE, digits)))
 
 
-def _near(text: Column, spans: Column) -> Column:
-    """entity, term, start, end of the whole words within REACH characters of each span; words within a span aside."""
-    size = F.length(text)
+def _entities(spans: Column) -> Column:
+    """The distinct protected values of spans, spellings brought together."""
+    return F.array_distinct(F.transform(spans, lambda s: F.concat(s["kind"], F.lit(":"), F.when(s["kind"] == "email", F.lower(s["value"])).otherwise(F.regexp_replace(s["value"], "[^0-9.]", "")))))
 
-    def around(s: Column) -> Column:
-        low = F.greatest(s["start"] - REACH, F.lit(0))
-        high = F.least(s["end"] + REACH, size)
-        entity = F.concat(s["kind"], F.lit(":"), F.when(s["kind"] == "email", F.lower(s["value"])).otherwise(F.regexp_replace(s["value"], "[^0-9.]", "")))
 
-        def side(start: Column, end: Column) -> Column:
-            words = places(F.substring(text, start + 1, end - start), NAME)
-            whole = F.filter(words, lambda w: ((w["start"] > 0) | (start == 0) | (start == s["end"])) & ((w["end"] < end - start) | (end == size) | (end == s["start"])))
-            return F.transform(whole, lambda w: F.struct(entity.alias("entity"), F.lower(w["value"]).alias("term"), (w["start"] + start).alias("start"), (w["end"] + start).alias("end"), w["value"].alias("value")))
+def _blanked(text: Column, spans: Column) -> Column:
+    """text with spaces in place of base spans: what is left stays where it is."""
+    begun = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+
+    def step(a: Column, s: Column) -> Column:
+        low, high = F.greatest(a["at"], s["start"]), F.greatest(a["at"], s["end"])
+        return F.struct(high.alias("at"), F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, low - a["at"]), F.repeat(F.lit(" "), high - low))).alias("out"))
+
+    done = F.aggregate(spans, begun, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, done).otherwise(text)
+
 
-        return F.concat(side(low, s["start"]), side(s["end"], high))
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(NAME), F.lit(0)), F.lower))
 
-    return F.filter(F.flatten(F.transform(spans, around)), lambda t: ~F.exists(spans, lambda s: (t["start"] < s["end"]) & (t["end"] > s["start"])))
+
+def _let(df: DataFrame, column: str, listed: DataFrame) -> DataFrame:
+    """The rows of df that a filter of fixed size lets through: all whose column is in listed (url_key), and a few others."""
+    names = df.columns
+    let = df.withColumns({"block": F.pmod(F.xxhash64(column), F.lit(BLOCKS)).cast("int"), **{f"bit{k}": x for k, x in enumerate(_lanes(F.col(column)))}}).join(F.broadcast(bloom(listed)), "block")
+    for k in range(LANES):
+        let = let.filter(F.col(f"lane{k}").bitwiseAND(F.col(f"bit{k}")) == F.col(f"bit{k}"))
+    return let.select(names)
 
 
-def disclosing(near: DataFrame, docs: DataFrame, n: int, support: int = SUPPORT, share: float = SHARE) -> DataFrame:
-    """entity, term, n_both, pmi, content of the pairs whose information passes the threshold. near: row, entity, term, distinct."""
-    both = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).filter(F.col("n_both") >= support)
-    n_entity = near.select("row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    n_near = near.select("row", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near"))
+def disclosing(near: DataFrame, docs: DataFrame, n: int, support: int = SUPPORT, share: float = SHARE, n_entity: DataFrame | None = None) -> DataFrame:
+    """entity, term, n_both, pmi, content of the pairs whose information passes the threshold. near: row, entity, term, distinct.
+
+    n_entity: entity, n_entity, where some rows of an entity have no term and so aren't in near.
+    """
+    if n_entity is None:
+        n_entity = near.select("row", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    n_near = cut(near.select("row", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_near")).filter(F.col("n_near") >= support))
     content = F.log2(F.lit(float(n)) / F.col("n_entity"))
 
     def pmi(n_term: Column) -> Column:
         return F.log2(F.col("n_both") * F.lit(float(n)) / (n_term * F.col("n_entity")))
 
-    # A term stands in at least as many texts as it stands near entities in, so what fails with that count needs no other.
+    # As n_both is n_entity at most, a term of more texts than this can't pass for any entity; a tenth more, for rounding.
+    top = n_entity.agg(F.max("n_entity")).first()[0] or 1
+    most = 1.1 * top * (n / top) ** (1 - share) + 1 if share <= 1 else float(n)
+    both = _let(near, "term", n_near.filter(F.col("n_near") <= most).select(F.col("term").alias("url_key")))
+    both = both.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).filter(F.col("n_both") >= support)
+    # A term stands in at least as many texts as it stands in with entities, so what fails with that count needs no other.
     both = both.join(n_entity, "entity").join(n_near, "term").withColumn("content", content)
     both = cut(both.filter((F.col("content") > 0) & (pmi(F.greatest("n_near", "n_both")) >= share * F.col("content"))))
-    wanted = both.select(F.col("term").alias("url_key")).distinct()
     # The words of all texts are counted, but only those that a filter of fixed size lets through are shuffled.
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(NAME), F.lit(0)))).alias("term"))
-    words = words.withColumns({"block": F.pmod(F.xxhash64("term"), F.lit(BLOCKS)).cast("int"), **{f"bit{k}": x for k, x in enumerate(_lanes(F.col("term")))}})
-    let = words.join(F.broadcast(bloom(wanted)), "block")
-    for k in range(LANES):
-        let = let.filter(F.col(f"lane{k}").bitwiseAND(F.col(f"bit{k}")) == F.col(f"bit{k}"))
-    n_term = let.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    n_term = _let(docs.select(F.explode(_words(F.col("text"))).alias("term")), "term", both.select(F.col("term").alias("url_key")).distinct()).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
     counted = both.join(n_term, "term").withColumn("pmi", pmi(F.greatest("n_term", "n_both")))
     return counted.filter(F.col("pmi") >= share * F.col("content")).select("entity", "term", "n_both", "pmi", "content")
 
 
+def _marked(text: DataFrame, rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """key, terms: the places of terms outside base spans, for each text that has any. text: key, text. rows: key, spans."""
+    listed = terms.select(F.col("term").alias("url_key"))
+    clear = text.withColumn("spans", base_spans(F.col("text"))).select("key", _blanked(F.col("text"), F.col("spans")).alias("text"))
+    # Inner joins with distinct columns: the optimizer would put a semi join before the filter.
+    hits = _let(clear.select("key", F.explode(_words(F.col("text"))).alias("term")), "term", listed).join(terms, "term")
+    hits = cut(hits.groupBy("key").agg(F.collect_set("term").alias("told")))
+    some = _let(text, "key", hits.select(F.col("key").alias("url_key"))).dropDuplicates(["key"])
+    held = some.join(hits.join(rows.select("key", "spans").dropDuplicates(["key"]), "key"), "key")
+    held = held.select("key", "told", _blanked(F.col("text"), F.col("spans")).alias("text"))
+    found, gaps = F.regexp_extract_all("text", F.lit(NAME), F.lit(0)), F.split("text", NAME, -1)
+    begun = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        start = a["at"] + F.length(x["gap"])
+        end = start + F.coalesce(F.length(x["value"]), F.lit(0))
+        span = F.struct(start.alias("start"), F.lit(4).alias("rank"), end.alias("end"), F.lit("term").alias("kind"), x["value"].alias("value"))
+        return F.struct(end.alias("at"), F.when(F.array_contains("told", F.lower(x["value"])), F.array_append(a["out"], span)).otherwise(a["out"]).alias("out"))
+
+    return held.select("key", F.aggregate(F.arrays_zip(gaps.alias("gap"), found.alias("value")), begun, step)["out"].alias("terms"))
+
+
 def find_private(docs: DataFrame, support: int = SUPPORT, share: float = SHARE) -> DataFrame:
     """doc_id and spans (start, rank, end, kind, value; sorted) for each row of docs (doc_id, text).
 
     Base spans are as the patterns say; spans of kind term come from the corpus. A null text is empty. Repeated rows each get their
     row and each count as a document. An empty table gives an empty result; other columns aren't looked at.
     """
+    return _found(docs, support, share).select("doc_id", "spans")
+
+
+def _key() -> Column:
+    """A digest of doc_id and text, null ids told apart from others."""
+    return F.unhex(F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.col("text")), 256))
+
+
+def _found(docs: DataFrame, support: int, share: float) -> DataFrame:
     text = texts(docs)
-    rows = cut(text.withColumn("spans", base_spans(F.col("text"))).select("doc_id", "spans", F.when(F.size("spans") > 0, _near(F.col("text"), F.col("spans"))).alias("near")).withColumn("row", F.monotonically_increasing_id()))
+    spanned = text.withColumn("spans", base_spans(F.col("text")))
+    clear = spanned.withColumn("clear", _blanked(F.col("text"), F.col("spans")))
+    rows = clear.select("doc_id", _key().alias("key"), "spans", F.when(F.size("spans") > 0, _entities(F.col("spans"))).alias("entities"), F.when(F.size("spans") > 0, _words(F.col("clear"))).alias("words"))
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
     n = rows.count()
-    near = rows.filter(F.size("near") > 0).select("row", F.explode("near").alias("t")).select("row", "t.*")
-    pairs = disclosing(near.select("row", "entity", "term").distinct(), text, max(n, 1), support, share)
-    term = F.struct(F.col("start"), F.lit(4).alias("rank"), F.col("end"), F.lit("term").alias("kind"), F.col("value"))
-    marked = near.join(pairs.select("entity", "term"), ["entity", "term"], "left_semi").groupBy("row").agg(F.collect_set(term).alias("terms"))
-    return rows.join(marked, "row", "left").select("doc_id", F.when(F.col("terms").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", "terms"))).alias("spans"))
+    owned = rows.filter(F.size("entities") > 0).select("row", F.explode("entities").alias("entity"))
+    n_entity = cut(owned.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).filter(F.col("n_entity") >= support))
+    # An entity of fewer texts than support has no term of so many: its words aren't paired.
+    held = _let(owned, "entity", n_entity.select(F.col("entity").alias("url_key"))).join(n_entity, "entity").groupBy("row").agg(F.collect_set("entity").alias("entities"))
+    near = cut(held.join(rows.select("row", "words"), "row")).select("row", "entities", F.explode("words").alias("term")).select("row", F.explode("entities").alias("entity"), "term")
+    pairs = disclosing(near, clear.select(F.col("clear").alias("text")), max(n, 1), support, share, n_entity)
+    marked = _marked(text.select(_key().alias("key"), "text"), rows, cut(pairs.select("term").distinct()))
+    return rows.select("doc_id", "key", "spans").join(marked, "key", "left").select("doc_id", "key", F.when(F.col("terms").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", "terms"))).alias("spans"))
 
 
 def as_text(spans: Column) -> Column:

@@ -1,6 +1,7 @@
 import hashlib
 import os
 import random
+import re
 
 import numpy as np
 import pytest
@@ -118,6 +119,14 @@ def test_private_data(spark, docs, empty):
     assert private_data.sanitise(told, spans).filter("doc_id = 1").first()["text"].startswith("[NAME]")
 
 
+def test_disclosing_terms_are_marked_wherever_they_stand(spark):
+    far = "words between the name and the address " * 5
+    some = [(1, "Zorblax " + far + "z@q.example.org"), (2, "z@q.example.org " + far + "zorblax"), (3, "z@q.example.org " + far + "Zorblax zorblax"), (4, "Zorblax alone"), (None, "q@r.example.org, Zorblax")]
+    told = spark.createDataFrame(some + [(i, "plain words today") for i in range(5, 3000)], "doc_id long, text string")
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "term" and s["value"].lower() == "zorblax"] for r in private_data.find_private(told).filter("doc_id < 6 or doc_id is null").collect()}
+    assert got == {i: [(m.start(), m.end()) for m in re.finditer("(?i)zorblax", t)] for i, t in some} | {5: []}
+
+
 def test_url_filter(spark):
     urls = ["http://www.Example.com/en/1", "https://a.example.com/en/x?q#f", "x.net/es/1", "http://b.net/es/1?p", None, "http://x.org/a/?utm_source=f", "http://x.org/a#z", "http://x.org/b"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
