@@ -9,6 +9,8 @@
 4. Where such a larger shingle's nodes are still in several components, all its pairs across components are formed, filtered and
    verified. Pairs inside a component can't change the result and aren't formed, so a large group of near copies costs as
    many candidates as it has members, and no link between components is missed.
+5. For the number of links, every pair within a component is verified: a component's nodes are dealt into parts, and each two parts
+   meet in one place, so a node's text is sent once per part, not once per pair.
 
 The suffix filter is the one-level form: shingles are dealt into BINS parts by hash, and the sum of differences of the parts' sizes
 bounds the sets' symmetric difference from below.
@@ -34,6 +36,8 @@ SKETCH, SLICE, SALTS, BINS = 1 << 18, 4096, 1024, 32
 FEW = 16
 #: So many candidates of one node at most are verified in one place.
 LEAVES = 256
+#: A part of a component has about so many nodes and so many shingles at most; SLAB shingles are compared at once.
+PART, PART_SHINGLES, SLAB = 128, 1 << 20, 8192
 _A, _B = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -150,15 +154,59 @@ def _verified(pairs: DataFrame, nodes: DataFrame, text: DataFrame, words: int, p
     dealt = dealt.select("hub", F.pmod(F.xxhash64("nid"), F.ceil(F.col("d") / LEAVES)).alias("salt"), F.lit(True).alias("leafy"), "nid")
     roles = dealt.unionByName(dealt.select("hub", "salt", F.lit(False).alias("leafy"), F.col("hub").alias("nid")).distinct())
     wanted = cut(roles.join(nodes.select("nid", "na", "nb", "rep", "rep_key"), "nid"))
+    some = _texts_of(wanted, text).select("hub", "salt", "leafy", "nid", "na", "nb", "text").repartition("hub", "salt").sortWithinPartitions("hub", "salt", "leafy")
+    return some.mapInPandas(partial(_linked, words=words, percent=percent), "a long, b long").distinct()
+
+
+def _texts_of(wanted: DataFrame, text: DataFrame) -> DataFrame:
+    """wanted with the texts of its rep and rep_key; other texts of the same key and repeated rows may be among them."""
     # A filter of fixed size keeps most other texts out of the shuffle.
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     listed = wanted.select(F.coalesce(F.col("rep").cast("string"), F.lit("null")).alias("url_key"))
     some = text.withColumns({"block": F.pmod(F.xxhash64(key), F.lit(BLOCKS)).cast("int"), **{f"bit{k}": x for k, x in enumerate(_lanes(key))}}).join(F.broadcast(bloom(listed)), "block")
     for k in range(LANES):
         some = some.filter(F.col(f"lane{k}").bitwiseAND(F.col(f"bit{k}")) == F.col(f"bit{k}"))
-    some = some.select("doc_id", "text_key", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_key") == F.col("rep_key")))
-    some = some.select("hub", "salt", "leafy", "nid", "na", "nb", "text").repartition("hub", "salt").sortWithinPartitions("hub", "salt", "leafy")
-    return some.mapInPandas(partial(_linked, words=words, percent=percent), "a long, b long").distinct()
+    return some.select("doc_id", "text_key", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_key") == F.col("rep_key")))
+
+
+def _met(f: pd.DataFrame, words: int, percent: int, slab: int) -> pd.DataFrame:
+    """nid, n_links: rows that the nodes of two parts (or of one with itself) link to in the other."""
+    low, high = int(f["low"].iloc[0]), int(f["high"].iloc[0])
+    keys, ids, parts, weights, sets = f[["na", "nb"]].to_numpy(), f["nid"].tolist(), f["part"].tolist(), f["w"].tolist(), {}
+    for i, tokens in shingle_sets(f["text"], words):
+        if signature(tokens) == tuple(keys[i].tolist()):
+            sets[ids[i]] = (parts[i], weights[i], tokens)
+    nids, found = np.array(list(sets), np.int64), list(sets.values())
+    part, w, n = (np.array(x, np.int64) for x in ([x[0] for x in found], [x[1] for x in found], [len(x[2]) for x in found]))
+    left, right = np.flatnonzero(part == low), np.flatnonzero(part == high)
+    shared = np.zeros((len(left), len(right)), np.int64)
+    if shared.size:
+        _, column, held_by = np.unique(np.concatenate([x[2] for x in found]), return_inverse=True, return_counts=True)
+        row, often = np.repeat(np.arange(len(n)), n), held_by[column] > 1
+        row, column = row[often], (np.cumsum(held_by > 1) - 1)[column[often]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for c in range(0, int(column[-1]) + 1 if len(column) else 0, slab):
+            a, b = np.searchsorted(column, [c, c + slab])
+            has = np.zeros((len(n), slab), np.float32)
+            has[row[a:b], column[a:b] - c] = 1
+            shared += (has[left] @ has[right].T).astype(np.int64)
+    linked = 100 * shared >= percent * (n[left][:, None] + n[right][None, :] - shared)
+    if low == high:
+        np.fill_diagonal(linked, False)
+    out = pd.DataFrame({"nid": nids[left], "n_links": linked @ w[right]})
+    return out if low == high else pd.concat([out, pd.DataFrame({"nid": nids[right], "n_links": linked.T @ w[left]})])
+
+
+def _n_links(nodes: DataFrame, roots: DataFrame, text: DataFrame, words: int, percent: int) -> DataFrame:
+    """nid, n_links of the nodes that link with others: how many rows of docs those are. All links are within components."""
+    member = nodes.join(roots, nodes["nid"] == roots["node"], "left").select("nid", "n", "na", "nb", "rep", "rep_key", "w", F.coalesce("root", "nid").alias("root"))
+    size = member.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum(F.col("n").cast("long")).alias("all_n")).filter("m > 1")
+    size = size.select("root", F.greatest(F.ceil(F.col("m") / PART), F.ceil(F.col("all_n") / PART_SHINGLES)).alias("parts"))
+    dealt = member.join(size, "root").withColumn("part", F.pmod(F.xxhash64("nid"), F.col("parts"))).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    wanted = cut(dealt.select("root", F.least("part", "q").alias("low"), F.greatest("part", "q").alias("high"), "part", "nid", "na", "nb", "w", "rep", "rep_key"))
+    met = _texts_of(wanted, text).select("root", "low", "high", "part", "nid", "na", "nb", "w", "text").groupBy("root", "low", "high")
+    return met.applyInPandas(partial(_met, words=words, percent=percent, slab=SLAB), "nid long, n_links long").groupBy("nid").agg(F.sum("n_links").alias("n_links"))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -178,11 +226,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def ngram_join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs (doc_id, text).
+def ngram_join(docs: DataFrame, words: int = 3, percent: int = 90, links: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, and with links also n_links, for each row of docs (doc_id, text).
 
     Two rows link when 100 * |intersection| >= percent * |union| of their shingle sets; component_id is the smallest doc_id that
-    links reach. A text without words, null included, has the empty set and links with nothing. Repeated rows are equal texts, which
+links reach; n_links is how many other rows the row links with. A text without words, null included, has the empty set and links with nothing. Repeated rows are equal texts, which
     link. Null doc_ids take part and count as no id. An empty table gives an empty result; other columns aren't looked at.
     """
     spark, text = docs.sparkSession, texts(docs).withColumn("text_key", F.xxhash64("text"))
@@ -194,8 +242,8 @@ def ngram_join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
         total[r["slice"]] = np.frombuffer(bytes(r["counts"]), np.uint64)
     sketch = spark.sparkContext.broadcast(total.ravel())
     signed = first.filter("slice is null")
-    nodes = signed.filter("n > 0").groupBy("n", "na", "nb").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("rep"), F.first("bins").alias("bins"))
-    nodes = cut(nodes.select("n", "na", "nb", F.col("rep.doc_id").alias("rep"), F.col("rep.text_key").alias("rep_key"), "bins").withColumn("nid", F.monotonically_increasing_id()))
+    nodes = signed.filter("n > 0").groupBy("n", "na", "nb").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("rep"), F.first("bins").alias("bins"), F.count(F.lit(1)).alias("w"))
+    nodes = cut(nodes.select("n", "na", "nb", F.col("rep.doc_id").alias("rep"), F.col("rep.text_key").alias("rep_key"), "bins", "w").withColumn("nid", F.monotonically_increasing_id()))
 
     # A node goes by the first half of its signature here, and by its size; the few that share both are told apart on verifying.
     prefix = text.select("text").mapInPandas(partial(_prefixes, words=words, percent=percent, sketch=sketch), "token long, na long, at long")
@@ -216,8 +264,7 @@ def ngram_join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     earliest = held.groupBy("token").agg(F.min(F.struct("p", "n", "nid")).alias("e"))
     star = held.join(earliest, "token").filter((F.col("nid") != F.col("e.nid")) & _may_link(percent, F.col("n"), F.col("p"), F.col("e.n"), F.col("e.p")))
     star = cut(star.select(*ordered(F.col("nid"), F.col("e.nid"))).unionByName(few).distinct())
-    links = cut(_verified(star, nodes, text, words, percent))
-    roots = components(links)
+    roots = components(cut(_verified(star, nodes, text, words, percent)))
 
     marked = held.join(roots, held["nid"] == roots["node"], "left").select("token", "nid", "n", "p", F.coalesce("root", "nid").alias("root"))
     open_ = marked.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("token")
@@ -226,18 +273,18 @@ def ngram_join(docs: DataFrame, words: int = 3, percent: int = 90) -> DataFrame:
     meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.nid") < F.col("y.nid")) & (F.col("x.root") != F.col("y.root")) & _may_link(percent, F.col("x.n"), F.col("x.p"), F.col("y.n"), F.col("y.p"))
     pairs = x.join(y, meet).select(F.col("x.nid").alias("a"), F.col("y.nid").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     pairs = cut(pairs)
-    if pairs.isEmpty():
-        return _classed(signed, nodes, roots)
-    more = cut(_verified(pairs, nodes, text, words, percent))
-    if not more.isEmpty():
-        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-
-    return _classed(signed, nodes, roots)
+    if not pairs.isEmpty():
+        more = cut(_verified(pairs, nodes, text, words, percent))
+        if not more.isEmpty():
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    if not links:
+        return _classed(signed, nodes.withColumn("n_links", F.lit(0)), roots).drop("n_links")
+    return _classed(signed, nodes.join(_n_links(nodes, roots, text, words, percent), "nid", "left"), roots)
 
 
 def _classed(signed: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    classed = nodes.join(roots, nodes["nid"] == roots["node"], "left").select("na", "nb", "rep", F.coalesce("root", "nid").alias("root"))
+    classed = nodes.join(roots, nodes["nid"] == roots["node"], "left").select("na", "nb", "rep", F.coalesce("root", "nid").alias("root"), (F.col("w") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"))
     least = classed.groupBy("root").agg(F.min("rep").alias("component"))
-    known = cut(classed.join(least, "root").select("na", "nb", "component"))
+    known = cut(classed.join(least, "root").select("na", "nb", "component", "n_links"))
     out = signed.select("doc_id", "n", "na", "nb").join(known, ["na", "nb"], "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("n_links")).otherwise(0).cast("long").alias("n_links"))

@@ -18,7 +18,7 @@ def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_join(table(spark, sf_dir, "documents"), words=3, percent=90)
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"), words=3, percent=90, links=True)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

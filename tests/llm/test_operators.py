@@ -79,6 +79,27 @@ def test_large_group_of_near_copies(spark, monkeypatch, leaves):
     assert got == {i: find(i) for i in range(120)}
 
 
+@pytest.mark.parametrize("part, slab", [(128, 8192), (16, 64)])
+def test_number_of_links_against_brute_force(spark, monkeypatch, part, slab):
+    monkeypatch.setattr(ngram_join, "PART", part)
+    monkeypatch.setattr(ngram_join, "SLAB", slab)
+    r = random.Random(2)
+    base = [f"w{r.randrange(400)}" for _ in range(200)]
+    texts = ["", "of its own", None]
+    for i in range(60):
+        w = list(base)
+        for k in r.sample(range(200), r.randrange(1, 6)):
+            w[k] = f"n{i}x{k}"
+        texts += [" ".join(w)] * (1 + (i % 7 == 0))
+    ids = [None if i == 9 else i // 2 if 20 < i < 30 else i for i in range(len(texts))]
+    sets = [{tuple(w[k : k + 3]) for k in range(len(w) - 2)} for w in ((t or "").split() for t in texts)]
+    links = [sum(a != b and len(x) > 0 and 100 * len(x & y) >= 90 * len(x | y) for b, y in enumerate(sets)) for a, x in enumerate(sets)]
+    assert 0 < max(links) and len(set(links)) > 5
+    # two rows of one id and one text look alike, so the rows are compared as a whole
+    got = ngram_join.ngram_join(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string"), links=True).collect()
+    assert sorted(((x["doc_id"], x["n_links"]) for x in got), key=str) == sorted(zip(ids, links, strict=True), key=str)
+
+
 def test_near_copies_that_share_an_id(spark):
     base = [f"w{k}" for k in range(100)]
     near = [" ".join([*base[:k], "other", *base[k + 1 :]]) for k in (20, 50, 80)]
