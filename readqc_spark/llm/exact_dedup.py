@@ -12,13 +12,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from readqc_spark.llm.common import cut, texts
+from readqc_spark.llm.common import cut, parts_of, texts
 
 SHORTEST, LONGEST, ZERO_BITS, WINDOW = 512, 65536, 12, 8
 _SLAB = 4 << 20
@@ -47,23 +46,34 @@ def cut_points(data: bytes) -> list[int]:
     return ends
 
 
-def _recipes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        rows = []
-        for text in f["text"]:
-            data, last, ids, digests = text.encode("utf-8", "surrogatepass"), 0, [], []
-            for end in cut_points(data):
-                chunk = data[last:end]
-                ids.append(xxhash.xxh3_64_intdigest(chunk) - (1 << 63))
-                digests.append(hashlib.sha256(chunk).digest() + len(chunk).to_bytes(4, "big"))
-                last = end
-            rows.append((hashlib.sha256(data).hexdigest(), len(data), ids, digests))
-        yield pd.concat([f[["doc_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=["text_sha256", "n_bytes", "chunk_ids", "chunk_digests"])], axis=1)
+RECIPE = "doc_id long, text_sha256 string, n_bytes long, chunk_ids array<long>, chunk_digests array<binary>"
+
+
+def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        whole, sizes, ids, digests = [], [], [], []
+        for some in parts_of(b["text"]):
+            for _, data in some:
+                last, mine, told = 0, [], []
+                for end in cut_points(data):
+                    chunk = data[last:end]
+                    mine.append(xxhash.xxh3_64_intdigest(chunk) - (1 << 63))
+                    told.append(hashlib.sha256(chunk).digest() + len(chunk).to_bytes(4, "big"))
+                    last = end
+                whole.append(hashlib.sha256(data).hexdigest())
+                sizes.append(len(data))
+                ids.append(mine)
+                digests.append(told)
+        columns = [pa.array(whole, pa.string()), pa.array(sizes, pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(digests, pa.list_(pa.binary()))]
+        yield pa.RecordBatch.from_arrays([b["doc_id"], *columns], [x.split()[0] for x in RECIPE.split(", ")])
 
 
 def recipes(docs: DataFrame) -> DataFrame:
-    """doc_id, text_sha256, n_bytes, and the ordered lists chunk_ids and chunk_digests, a row for each row of docs."""
-    return texts(docs).mapInPandas(_recipes, "doc_id long, text_sha256 string, n_bytes long, chunk_ids array<long>, chunk_digests array<binary>")
+    """doc_id, text_sha256, n_bytes, and the ordered lists chunk_ids and chunk_digests, a row for each row of docs.
+
+    A null text counts as empty and has no chunks. Very long texts are read whole, one at a time. An empty table gives an empty result.
+    """
+    return texts(docs).mapInArrow(_recipes, RECIPE)
 
 
 def unverified(lists: DataFrame) -> DataFrame:
@@ -76,10 +86,11 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, n_chunks for each row of docs (doc_id, text).
 
     A null text counts as empty; empty texts are equal. The largest doc_id of equal texts stays (a null doc_id counts as
-    smallest); of rows that repeat both doc_id and text, one stays. An empty table gives an empty result. Further columns of docs
-    aren't looked at. Hot groups are counted before the shuffle; the join back is one that adaptive execution splits.
+    smallest); of rows that repeat both doc_id and text, one stays. Very long texts are read whole. An empty table gives an empty
+    result. Further columns of docs, whatever their names, aren't looked at. Hot groups are counted before the shuffle; the join
+    back is one that adaptive execution splits.
     """
-    lists = cut(recipes(docs))
+    lists = cut(recipes(docs).withColumn("row", F.monotonically_increasing_id()))
     wrong = cut(unverified(lists))
     recipe = F.transform("chunk_ids", lambda x: x.cast("string"))
     if wrong.isEmpty():
@@ -87,7 +98,6 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     else:
         hit = lists.select("text_sha256", F.explode("chunk_ids").alias("chunk_id")).join(wrong, "chunk_id", "left_semi").select("text_sha256").distinct().withColumn("hit", F.lit(True))
         keyed = lists.join(hit, "text_sha256", "left").withColumn("recipe", F.when(F.col("hit"), F.transform("chunk_digests", lambda x: F.hex(x))).otherwise(recipe))
-    keyed = keyed.select("doc_id", "text_sha256", "recipe", F.size("chunk_ids").alias("n_chunks"))
-    groups = keyed.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    again = F.row_number().over(W.partitionBy("doc_id", "text_sha256").orderBy(F.lit(1)))
-    return keyed.withColumn("again", again).join(groups, "recipe").select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("again") == 1)).alias("kept"), "text_sha256", "n_chunks")
+    keyed = keyed.select("row", "doc_id", "text_sha256", "recipe", F.size("chunk_ids").alias("n_chunks"))
+    groups = keyed.groupBy("recipe").agg(F.max(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "row")).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    return keyed.join(groups, "recipe").select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256", "n_chunks")

@@ -3,12 +3,13 @@
 1. Each text becomes a set of 64-bit shingle hashes, of which only its size and a 128-bit signature leave the task, and a count
    sketch of fixed size (SKETCH counters, whatever the corpus). Texts with equal sets become one node.
 2. A node's shingles are put in one global order, rarest first by the sketch. Two sets that link must share a shingle within both
-   prefixes, so prefixes alone are shuffled; shingles that one node has alone are dropped at once.
+   prefixes, so prefixes alone are shuffled; shingles that one node has alone are dropped at once. A shingle that the sketch shows to
+   be frequent is dealt over several tasks by its nodes.
 3. A prefix shingle of up to FEW nodes pairs them all; one of more nodes pairs each with the node that has it earliest. Candidates
    pass the length, positional and suffix filters and are verified exactly, once per pair. What links is joined into components.
-4. Where such a larger shingle's nodes are still in several components, all its pairs across components are formed, filtered and
-   verified. Pairs inside a component can't change the result and aren't formed, so a large group of near copies costs as
-   many candidates as it has members, and no link between components is missed.
+4. Where such a larger shingle's nodes are still in several components, its pairs across components are formed between classes of
+   neighbouring lengths, in blocks, filtered and verified. Pairs inside a component can't change the result and aren't formed, so a
+   large group of near copies costs as many candidates as it has members, and no link between components is missed.
 5. For the number of links, every pair within a component is verified: a component's nodes are dealt into parts, and each two parts
    meet in one place, so a node's text is sent once per part, not once per pair.
 
@@ -18,20 +19,27 @@ bounds the sets' symmetric difference from below.
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from readqc_spark.llm.common import batches_of, cut, mix64, texts, word_hashes
+from readqc_spark.llm.common import cut, mix64, parts_of, texts, word_hashes
 from readqc_spark.llm.url_filter import BLOCKS, LANES, _lanes, bloom
 
-SKETCH, SLICE, SALTS, BINS = 1 << 18, 4096, 1024, 32
+SKETCH, SLICE, SALTS, BINS = 1 << 22, 1 << 16, 64, 32
+#: A shingle of more texts than this, and than sixteen times what a counter holds on average, is dealt over several tasks.
+HOT = 1024
+#: Nodes of a shared shingle are compared in blocks of about so many.
+BLOCK = 512
 #: Prefix shingles of at most so many nodes form all their pairs at once.
 FEW = 16
 #: So many candidates of one node at most are verified in one place.
@@ -41,9 +49,9 @@ PART, PART_SHINGLES, SLAB = 128, 1 << 20, 8192
 _A, _B = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
-def shingle_sets(strings, words: int) -> Iterator[tuple[int, np.ndarray]]:
+def shingle_sets(strings: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray]]:
     """(index, sorted distinct shingle hashes) of each string; a text of fewer words is one shingle, one without words none."""
-    for some in batches_of(strings):
+    for some in parts_of(strings):
         each, counts = word_hashes([b for _, b in some])
         with np.errstate(over="ignore"):
             full = np.zeros(max(0, len(each) - words + 1), np.uint64)
@@ -69,57 +77,95 @@ def signature(tokens: np.ndarray) -> tuple[int, int]:
         return tuple(int(mix64(tokens ^ salt).sum(dtype=np.uint64).astype(np.int64)) for salt in (_A, _B))
 
 
-def _signed(frames: Iterator[pd.DataFrame], words: int) -> Iterator[pd.DataFrame]:
-    counts = np.zeros(SKETCH, np.uint32)
-    for f in frames:
-        ids, keys, rows = f["doc_id"].to_numpy(object), f["text_key"].to_numpy(), []
-        for i, tokens in shingle_sets(f["text"], words):
+SIGNED = "doc_id long, text_key long, n int, na long, nb long, bins array<short>, slice int, salt int, counts binary"
+
+
+def _signed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    counts, names = np.zeros(SKETCH, np.uint32), [x.split()[0] for x in SIGNED.split(", ")]
+    none = lambda n: [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int16()))]
+    for b in batches:
+        rows, bins = [], []
+        for _, tokens in shingle_sets(b["text"], words):
             np.add.at(counts, (tokens & np.uint64(SKETCH - 1)).astype(np.int64), np.uint32(1))
-            bins = np.bincount((tokens >> np.uint64(59)).astype(np.int64), minlength=BINS).clip(0, 32767).astype(np.int16)
-            rows.append((ids[i], keys[i], len(tokens), *signature(tokens), bins))
-        yield pd.DataFrame(rows, columns=["doc_id", "text_key", "n", "na", "nb", "bins"]).assign(slice=None, salt=None, counts=None)
+            bins.append(np.bincount((tokens >> np.uint64(59)).astype(np.int64), minlength=BINS).clip(0, 32767).astype(np.int16))
+            rows.append((len(tokens), *signature(tokens)))
+        if rows:
+            n, na, nb = np.array(rows, np.int64).T
+            dealt = pa.ListArray.from_arrays(pa.array(np.arange(0, BINS * len(rows) + 1, BINS, dtype=np.int32)), pa.array(np.concatenate(bins)))
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_key"], pa.array(n.astype(np.int32)), pa.array(na), pa.array(nb), dealt, *[pa.nulls(len(rows), t) for t in (pa.int32(), pa.int32(), pa.binary())]], names)
     salt = TaskContext.get().partitionId() % SALTS
-    parts = counts.reshape(-1, SLICE)
-    used = np.flatnonzero(parts.any(1))
-    yield pd.DataFrame({"doc_id": None, "text_key": None, "n": None, "na": None, "nb": None, "bins": None, "slice": used, "salt": salt, "counts": [parts[i].tobytes() for i in used]})
+    for i, part in enumerate(counts.reshape(-1, SLICE)):
+        if part.any():
+            yield pa.RecordBatch.from_arrays([*none(1), pa.array([i], pa.int32()), pa.array([salt], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names)
 
 
-def _added(f: pd.DataFrame) -> pd.DataFrame:
+def _total(counts) -> np.ndarray:
     total = np.zeros(SLICE, np.uint64)
-    for b in f["counts"]:
-        total += np.frombuffer(b, np.uint32 if len(b) == 4 * SLICE else np.uint64)
-    return f.iloc[:1].assign(counts=[total.tobytes()])
+    for b in counts:
+        raw = zlib.decompress(b)
+        total += np.frombuffer(raw, np.uint32 if len(raw) == 4 * SLICE else np.uint64)
+    return total
+
+
+def _added(f: pd.DataFrame) -> pd.DataFrame:
+    return f.iloc[:1].assign(counts=[zlib.compress(_total(f["counts"]).tobytes(), 1)])
+
 
+def _ranked(f: pd.DataFrame) -> pd.DataFrame:
+    """A slice's counters as ranks, four for each doubling, a byte each."""
+    return f.iloc[:1].assign(counts=[np.floor(4 * np.log2(1 + _total(f["counts"]).astype(np.float64))).astype(np.uint8).tobytes()])
 
-def _prefixes(frames: Iterator[pd.DataFrame], words: int, percent: int, sketch) -> Iterator[pd.DataFrame]:
-    count, seen = sketch.value, set()
-    for f in frames:
-        tokens_, a_, at_ = [], [], []
-        for _, tokens in shingle_sets(f["text"], words):
+
+def _sketch(first: DataFrame) -> np.ndarray:
+    """How frequent the shingles of each counter are, as ranks in bytes: SKETCH bytes, whatever the corpus."""
+    kind = "slice int, salt int, counts binary"
+    some = first.filter("slice is not null").select("slice", "salt", "counts").groupBy("slice", "salt").applyInPandas(_added, kind)
+    total = np.zeros((SKETCH // SLICE, SLICE), np.uint8)
+    for r in some.groupBy("slice").applyInPandas(_ranked, kind).collect():
+        total[r["slice"]] = np.frombuffer(bytes(r["counts"]), np.uint8)
+    return total.ravel()
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], words: int, percent: int, sketch) -> Iterator[pa.RecordBatch]:
+    rank, seen, names = sketch.value, set(), ["token", "na", "at", "salts"]
+    often = np.exp2(np.arange(256) / 4)
+    salts = 1 + (often / max(HOT, 16 * float(often[rank].mean() - 1))).astype(np.int64).clip(0, 1 << 20)
+    for b in batches:
+        tokens_, a_, at_, size = [], [], [], 0
+        for _, tokens in shingle_sets(b["text"], words):
             n = len(tokens)
             if not n or (key := signature(tokens)) in seen:
                 continue
-            if len(seen) >= 100_000:  # copies are dropped here to save shuffle; those that slip through are dropped after it
+            if len(seen) >= 50_000:  # copies are dropped here to save shuffle; those that slip through are dropped after it
                 seen.clear()
             seen.add(key)
             p = n - -(-percent * n // 100) + 1
-            order = np.argsort(count[(tokens & np.uint64(SKETCH - 1)).astype(np.int64)], kind="stable")[:p]
+            order = np.argsort(rank[(tokens & np.uint64(SKETCH - 1)).astype(np.int64)], kind="stable")[:p]
             tokens_.append(tokens[order].view(np.int64))
             a_.append(np.full(p, key[0]))
             at_.append((np.arange(p) << 32) + n)
-        if tokens_:
-            cols = [np.concatenate(x) for x in (tokens_, a_, at_)]
-            for k in range(0, len(cols[0]), 200_000):
-                yield pd.DataFrame({name: c[k : k + 200_000] for name, c in zip(("token", "na", "at"), cols, strict=True)})
+            size += p
+            if size > 200_000:
+                yield _batch(names, tokens_, a_, at_, salts, rank)
+                tokens_, a_, at_, size = [], [], [], 0
+        if size:
+            yield _batch(names, tokens_, a_, at_, salts, rank)
+
+
+def _batch(names, tokens, a, at, salts: np.ndarray, rank: np.ndarray) -> pa.RecordBatch:
+    token = np.concatenate(tokens)
+    dealt = salts[rank[(token.view(np.uint64) & np.uint64(SKETCH - 1)).astype(np.int64)]]
+    return pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.concatenate(a)), pa.array(np.concatenate(at)), pa.array(dealt.astype(np.int32))], names)
 
 
-def _linked(frames: Iterator[pd.DataFrame], words: int, percent: int) -> Iterator[pd.DataFrame]:
+def _linked(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[pa.RecordBatch]:
     """The pairs of a hub and one of its leaves that link; the rows of a hub and salt follow each other, the hub first."""
     at, mine = None, np.empty(0, np.uint64)
-    for f in frames:
-        hubs, salts, leafy, ids, keys, rows = f["hub"].tolist(), f["salt"].tolist(), f["leafy"].tolist(), f["nid"].tolist(), f[["na", "nb"]].to_numpy(), []
-        for i, tokens in shingle_sets(f["text"], words):
-            if signature(tokens) != tuple(keys[i].tolist()):  # another text of the same doc_id
+    for b in batches:
+        hubs, salts, leafy, ids, na, nb = (b[c].to_pylist() for c in ("hub", "salt", "leafy", "nid", "na", "nb"))
+        rows = []
+        for i, tokens in shingle_sets(b["text"], words):
+            if signature(tokens) != (na[i], nb[i]):  # another text of the same doc_id
                 continue
             if not leafy[i]:
                 at, mine = (hubs[i], salts[i]), tokens
@@ -128,7 +174,7 @@ def _linked(frames: Iterator[pd.DataFrame], words: int, percent: int) -> Iterato
                 shared = int((mine[np.minimum(place, len(mine) - 1)] == tokens).sum())
                 if 100 * shared >= percent * (len(mine) + len(tokens) - shared):
                     rows.append((min(hubs[i], ids[i]), max(hubs[i], ids[i])))
-        yield pd.DataFrame(rows, columns=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
 def _needed(percent: int, n1: Column, n2: Column) -> Column:
@@ -155,7 +201,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, text: DataFrame, words: int, p
     roles = dealt.unionByName(dealt.select("hub", "salt", F.lit(False).alias("leafy"), F.col("hub").alias("nid")).distinct())
     wanted = cut(roles.join(nodes.select("nid", "na", "nb", "rep", "rep_key"), "nid"))
     some = _texts_of(wanted, text).select("hub", "salt", "leafy", "nid", "na", "nb", "text").repartition("hub", "salt").sortWithinPartitions("hub", "salt", "leafy")
-    return some.mapInPandas(partial(_linked, words=words, percent=percent), "a long, b long").distinct()
+    return some.mapInArrow(partial(_linked, words=words, percent=percent), "a long, b long").distinct()
 
 
 def _texts_of(wanted: DataFrame, text: DataFrame) -> DataFrame:
@@ -173,7 +219,7 @@ def _met(f: pd.DataFrame, words: int, percent: int, slab: int) -> pd.DataFrame:
     """nid, n_links: rows that the nodes of two parts (or of one with itself) link to in the other."""
     low, high = int(f["low"].iloc[0]), int(f["high"].iloc[0])
     keys, ids, parts, weights, sets = f[["na", "nb"]].to_numpy(), f["nid"].tolist(), f["part"].tolist(), f["w"].tolist(), {}
-    for i, tokens in shingle_sets(f["text"], words):
+    for i, tokens in shingle_sets(pa.array(f["text"], pa.string()), words):
         if signature(tokens) == tuple(keys[i].tolist()):
             sets[ids[i]] = (parts[i], weights[i], tokens)
     nids, found = np.array(list(sets), np.int64), list(sets.values())
@@ -209,10 +255,10 @@ def _n_links(nodes: DataFrame, roots: DataFrame, text: DataFrame, words: int, pe
     return met.applyInPandas(partial(_met, words=words, percent=percent, slab=SLAB), "nid long, n_links long").groupBy("nid").agg(F.sum("n_links").alias("n_links"))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, root (the component's smallest node) of every node of edges (a, b) but the roots: large and small stars in turn."""
+def components(edges: DataFrame) -> DataFrame:
+    """node, root (the component's smallest node) of every node of edges (a, b) but the roots: large and small stars in turn, until nothing changes."""
     now, last = cut(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("u <> v").distinct()), None
-    for _ in range(rounds):
+    while True:
         both = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
         lowest = both.groupBy(F.col("v").alias("k")).agg(F.min("u").alias("m")).select("k", F.least("k", "m").alias("m"))
         large = both.join(lowest, both["v"] == lowest["k"]).filter("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
@@ -223,65 +269,97 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if state == last:
             return now.select(F.col("v").alias("node"), F.col("u").alias("root"))
         last = state
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def ngram_join(docs: DataFrame, words: int = 3, percent: int = 90, links: bool = False) -> DataFrame:
-    """doc_id, n_shingles, component_id, and with links also n_links, for each row of docs (doc_id, text).
+def _across(marked: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes that share a token, are in different components and pass the length and positional filters.
 
-    Two rows link when 100 * |intersection| >= percent * |union| of their shingle sets; component_id is the smallest doc_id that
-links reach; n_links is how many other rows the row links with. A text without words, null included, has the empty set and links with nothing. Repeated rows are equal texts, which
-    link. Null doc_ids take part and count as no id. An empty table gives an empty result; other columns aren't looked at.
+    marked: token, nid, n, p, root. A token's nodes meet by classes of length, of which a link's ends are at most one apart, and in
+    blocks: each node goes to one block, and meets there the other nodes of its class and the class below.
     """
-    spark, text = docs.sparkSession, texts(docs).withColumn("text_key", F.xxhash64("text"))
-    first = cut(text.mapInPandas(partial(_signed, words=words), "doc_id long, text_key long, n int, na long, nb long, bins array<short>, slice int, salt int, counts binary"))
-    kind = "slice int, salt int, counts binary"
-    slices = first.filter("slice is not null").select("slice", "salt", "counts").groupBy("slice", "salt").applyInPandas(_added, kind).groupBy("slice").applyInPandas(_added, kind).collect()
-    total = np.zeros((SKETCH // SLICE, SLICE), np.uint64)
-    for r in slices:
-        total[r["slice"]] = np.frombuffer(bytes(r["counts"]), np.uint64)
-    sketch = spark.sparkContext.broadcast(total.ravel())
-    signed = first.filter("slice is null")
+    some = marked.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).filter("r0 <> r1").select("token", "blocks")
+    rest = cut(marked.join(some, "token").withColumn("class", F.floor(F.log("n") / F.lit(math.log(100 / percent) + 1e-9)) if percent < 100 else F.col("n")))
+    x = rest.withColumn("block", F.pmod(F.xxhash64("nid"), F.col("blocks"))).alias("x")
+    y = rest.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("near", F.explode(F.array(F.col("class"), F.col("class") + 1))).alias("y")
+    meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.class") == F.col("y.near")) & (F.col("x.root") != F.col("y.root"))
+    once = (F.col("x.class") != F.col("y.class")) | (F.col("x.nid") < F.col("y.nid"))
+    pairs = x.join(y, meet & once & _may_link(percent, F.col("x.n"), F.col("x.p"), F.col("y.n"), F.col("y.p")))
+    return pairs.select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b")).distinct()
+
+
+def _graph(text: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(each row's signature, nodes, their components' roots) of text: doc_id, text, text_key."""
+    spark = text.sparkSession
+    first = cut(text.mapInArrow(partial(_signed, words=words), SIGNED))
+    sketch = spark.sparkContext.broadcast(_sketch(first))
+    signed = first.filter("slice is null").select("doc_id", "text_key", "n", "na", "nb", "bins")
     nodes = signed.filter("n > 0").groupBy("n", "na", "nb").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("rep"), F.first("bins").alias("bins"), F.count(F.lit(1)).alias("w"))
     nodes = cut(nodes.select("n", "na", "nb", F.col("rep.doc_id").alias("rep"), F.col("rep.text_key").alias("rep_key"), "bins", "w").withColumn("nid", F.monotonically_increasing_id()))
 
     # A node goes by the first half of its signature here, and by its size; the few that share both are told apart on verifying.
-    prefix = text.select("text").mapInPandas(partial(_prefixes, words=words, percent=percent, sketch=sketch), "token long, na long, at long")
-    by = W.partitionBy("token").orderBy("at", "na")
-    whole = W.partitionBy("token").orderBy("at", "na").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    prefix = text.select("text").mapInArrow(partial(_prefixes, words=words, percent=percent, sketch=sketch), "token long, na long, at long, salts int").withColumn("salt", F.pmod("na", "salts"))
+    by = W.partitionBy("token", "salt").orderBy("at", "na")
+    whole = by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     here = F.struct("na", F.col("at").bitwiseAND(0xFFFFFFFF).alias("n"))
-    shared = prefix.withColumns({"lo": F.first(here).over(whole), "hi": F.last(here).over(whole), "held_by": F.count(F.lit(1)).over(whole), "before": F.lag(here).over(by)}).filter((F.col("lo") != F.col("hi")) & (F.col("before").isNull() | (F.col("before") != here)))
-    shared = shared.select("token", "at", "na", F.shiftright("at", 32).cast("int").alias("p"), F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("n"), "held_by")
+    shared = prefix.withColumns({"lo": F.first(here).over(whole), "hi": F.last(here).over(whole), "held_by": F.count(F.lit(1)).over(whole), "before": F.lag(here).over(by)})
+    shared = shared.filter(((F.col("salts") > 1) | (F.col("lo") != F.col("hi"))) & (F.col("before").isNull() | (F.col("before") != here)))
+    shared = shared.select("token", "at", "na", "salts", "salt", F.shiftright("at", 32).cast("int").alias("p"), F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("n"), ((F.col("salts") == 1) & (F.col("held_by") <= FEW)).alias("few"))
     prior = F.collect_list(F.struct("na", "n", "p")).over(by.rowsBetween(-FEW, -1))
-    prior = F.filter(prior, lambda x: (F.col("held_by") <= FEW) & ((x["na"] != F.col("na")) | (x["n"] != F.col("n"))) & _may_link(percent, F.col("n"), F.col("p"), x["n"], x["p"]))
-    shared = cut(shared.withColumn("prior", prior).filter((F.size("prior") > 0) | (F.col("held_by") > FEW)).drop("at"))
+    prior = F.filter(prior, lambda x: F.col("few") & ((x["na"] != F.col("na")) | (x["n"] != F.col("n"))) & _may_link(percent, F.col("n"), F.col("p"), x["n"], x["p"]))
+    shared = cut(shared.withColumn("prior", prior).filter((F.size("prior") > 0) | ~F.col("few")).drop("at"))
 
     key, other = nodes.select("na", "n", "nid"), nodes.select(F.col("na").alias("ma"), F.col("n").alias("mn"), F.col("nid").alias("mid"))
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     few = shared.select("na", "n", F.explode("prior").alias("x")).select("na", "n", F.col("x.na").alias("ma"), F.col("x.n").alias("mn")).distinct()
     few = few.join(key, ["na", "n"]).join(other, ["ma", "mn"]).select(*ordered(F.col("nid"), F.col("mid")))
-    held = cut(shared.filter(F.col("held_by") > FEW).select("token", "na", "n", "p").join(key, ["na", "n"]).select("token", "nid", "n", "p"))
-    earliest = held.groupBy("token").agg(F.min(F.struct("p", "n", "nid")).alias("e"))
-    star = held.join(earliest, "token").filter((F.col("nid") != F.col("e.nid")) & _may_link(percent, F.col("n"), F.col("p"), F.col("e.n"), F.col("e.p")))
+    held = cut(shared.filter(~F.col("few")).select("token", "salt", "salts", "na", "n", "p").join(key, ["na", "n"]).select("token", "salt", "salts", "nid", "n", "p"))
+    earliest = held.groupBy("token", "salts").agg(F.min(F.struct("p", "n", "nid")).alias("e"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+    earliest = earliest.select("token", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "e")
+    star = held.join(earliest, ["token", "salt"]).filter((F.col("nid") != F.col("e.nid")) & _may_link(percent, F.col("n"), F.col("p"), F.col("e.n"), F.col("e.p")))
     star = cut(star.select(*ordered(F.col("nid"), F.col("e.nid"))).unionByName(few).distinct())
     roots = components(cut(_verified(star, nodes, text, words, percent)))
 
     marked = held.join(roots, held["nid"] == roots["node"], "left").select("token", "nid", "n", "p", F.coalesce("root", "nid").alias("root"))
-    open_ = marked.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("token")
-    rest = cut(marked.join(open_, "token", "left_semi"))
-    x, y = rest.alias("x"), rest.alias("y")
-    meet = (F.col("x.token") == F.col("y.token")) & (F.col("x.nid") < F.col("y.nid")) & (F.col("x.root") != F.col("y.root")) & _may_link(percent, F.col("x.n"), F.col("x.p"), F.col("y.n"), F.col("y.p"))
-    pairs = x.join(y, meet).select(F.col("x.nid").alias("a"), F.col("y.nid").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    pairs = cut(pairs)
+    pairs = cut(_across(marked, percent).join(star, ["a", "b"], "left_anti"))
     if not pairs.isEmpty():
         more = cut(_verified(pairs, nodes, text, words, percent))
         if not more.isEmpty():
             roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    return signed, nodes, roots
+
+
+def _text_of(docs: DataFrame) -> DataFrame:
+    return texts(docs).withColumn("text_key", F.xxhash64("text"))
+
+
+def ngram_join(docs: DataFrame, words: int = 3, percent: int = 90, links: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, and with links also n_links, for each row of docs (doc_id, text).
+
+    Two rows link when 100 * |intersection| >= percent * |union| of their shingle sets; component_id is the smallest doc_id that
+    links reach; n_links is how many other rows the row links with. A text without words, null included, has the empty set and links
+    with nothing. Repeated rows are equal texts, which link. Null doc_ids take part and count as no id. Texts are read whole, a very
+    long one (or a very long word) too; its set is held in one task. An empty table gives an empty result; other columns, whatever
+    their names, aren't looked at.
+    """
+    text = _text_of(docs)
+    signed, nodes, roots = _graph(text, words, percent)
     if not links:
         return _classed(signed, nodes.withColumn("n_links", F.lit(0)), roots).drop("n_links")
     return _classed(signed, nodes.join(_n_links(nodes, roots, text, words, percent), "nid", "left"), roots)
 
 
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, text_key (xxhash64 of the text, null as empty) of what stays when one text of each component does.
+
+    That is the text of the smallest doc_id (null ids last), of several under one id the one of the smallest text_key. Texts without
+    words link with nothing, so all of them stay. A pair that stands for several equal rows is given once.
+    """
+    signed, nodes, roots = _graph(_text_of(docs), words, percent)
+    classed = nodes.join(roots, nodes["nid"] == roots["node"], "left")
+    least = classed.groupBy(F.coalesce("root", "nid").alias("root")).agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "rep_key")).alias("x"))
+    return least.select(F.col("x.rep").alias("doc_id"), F.col("x.rep_key").alias("text_key")).unionByName(signed.filter("n = 0").select("doc_id", "text_key").distinct())
+
+
 def _classed(signed: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     classed = nodes.join(roots, nodes["nid"] == roots["node"], "left").select("na", "nb", "rep", F.coalesce("root", "nid").alias("root"), (F.col("w") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"))
     least = classed.groupBy("root").agg(F.min("rep").alias("component"))

@@ -12,6 +12,7 @@ on the states.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections.abc import Iterator
@@ -19,17 +20,19 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readqc_spark.llm.common import cut, texts
+from readqc_spark.llm.common import cut, parts_of, repeated, texts
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK, LEAST, PER_BLOCK = 32768, 64, 64
 SPACE = "▁"
 _HARD = re.compile(f"(?<=[^{SPACE}]){SPACE}")
 OUT = "doc_id long, chunk int, n_chunks int, ids array<int>"
+TOLD = ", n_tokens long, ids_crc32 long, n_chars long, text_sha256 string"
 
 
 class Pieces:
@@ -65,7 +68,7 @@ class Pieces:
         key = (a or "", b)
         found = self._fits.get(key)
         if found is None:
-            if len(self._fits) > 100_000:
+            if len(self._fits) > 20_000:
                 self._fits.clear()
             found = self._fits[key] = self.merged(key[0] + b) == ([a, b] if a else [b])
         return found
@@ -247,7 +250,10 @@ def _over_blocks(f: pd.DataFrame) -> pd.DataFrame:
 def _within_block(chunks: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
     f = chunks.sort_values("chunk")
     up, down = _both_ways([_shaped(r) for r in f.itertuples()], np.asarray(block["ahead"].iloc[0]), np.asarray(block["behind"].iloc[0]))
-    at = [int(np.argmax(u + d)) for u, d in zip(up, down, strict=True)]
+    best = [u + d for u, d in zip(up, down, strict=True)]
+    if not all(len(x) and np.isfinite(x.max()) for x in best):
+        raise RuntimeError("no path of pieces leads through this text")
+    at = [int(np.argmax(x)) for x in best]
     return pd.DataFrame({"key": f["key"], "chunk": f["chunk"], "into": at[:-1], "out": at[1:]})
 
 
@@ -270,69 +276,113 @@ def _backtraced(frames: Iterator[pd.DataFrame], model) -> Iterator[pd.DataFrame]
             yield pd.DataFrame({"key": [r.key], "chunk": [r.chunk], "n_chunks": [r.n_chunks], "ids": [ids]})
 
 
-def _encoded(frames: Iterator[pd.DataFrame], model) -> Iterator[pd.DataFrame]:
-    m = loaded(model)
-    for f in frames:
-        for k in range(0, len(f), 100):
-            part = f.iloc[k : k + 100]
-            yield pd.DataFrame({"doc_id": part["doc_id"], "chunk": 0, "n_chunks": 1, "ids": [np.asarray(x, np.int32) for x in m.sp.encode(part["text"].tolist(), num_threads=1)]})
+def _lists(values: list) -> pa.Array:
+    """An array of lists of int32, from lists or arrays of numbers."""
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in values])]).astype(np.int32)
+    flat = np.concatenate([np.asarray(x, np.int32) for x in values]) if values else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int32)))
 
 
-def model_of(spark, path: str = MODEL):
-    with open(path, "rb") as f:
-        return spark.sparkContext.broadcast(f.read())
+def _told(ids: list, texts_: list[str]) -> list[pa.Array]:
+    """The columns of TOLD."""
+    digest = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts_]
+    return [pa.array([len(x) for x in ids], pa.int64()), pa.array([_crc(x) for x in ids], pa.int64()), pa.array([len(t) for t in texts_], pa.int64()), pa.array(digest, pa.string())]
 
 
-def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, chunk, n_chunks, ids of docs (doc_id, text): a row for each row of docs, for giant texts one for each chunk.
+def _encoded(batches: Iterator[pa.RecordBatch], model, back: bool) -> Iterator[pa.RecordBatch]:
+    """Texts encoded whole; back: decoded again, too."""
+    m, names = loaded(model), [x.split()[0] for x in (OUT + TOLD * back).split(", ")]
+    for b in batches:
+        for some in parts_of(b["text"], 1 << 19):
+            ids, n = m.sp.encode([t.decode("utf-8", "replace") for _, t in some], num_threads=1), len(some)
+            columns = [b["doc_id"].slice(some[0][0], n), pa.array(np.zeros(n, np.int32)), pa.array(np.ones(n, np.int32)), _lists(ids)]
+            yield pa.RecordBatch.from_arrays(columns + (_told(ids, m.sp.decode(ids, num_threads=1)) if back else []), names)
 
-    The ids of a text's chunks, in order, are those that the library gives for the whole text. A null text counts as empty and has no
-    ids. Of repeated giant rows one is encoded and the result repeated. An empty table gives an empty result; other columns
-    aren't looked at. chunk: texts of more characters are giant.
-    """
-    proto, text = model_of(docs.sparkSession, model), texts(docs)
-    small = text.filter(F.length("text") <= chunk).mapInPandas(partial(_encoded, model=proto), OUT)
+
+def _crc(ids) -> int:
+    return zlib.crc32(np.asarray(ids, "<i4").tobytes())
+
+
+def _texts(m: Pieces, ids: list[list[int]], chunk: list[int], n_chunks: list[int]) -> list[str]:
+    """The text of each list of ids."""
+    return [m.sp.decode(x) if n == 1 else m.text(x, c == 0) for x, c, n in zip(ids, chunk, n_chunks, strict=True)]
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], model, digest: bool) -> Iterator[pa.RecordBatch]:
+    """Rows of encode's result with their texts, or with what TOLD says of them."""
+    m = loaded(model)
+    for b in batches:
+        for k in range(0, len(b), 100):
+            some = b.slice(k, 100)
+            ids = some["ids"].to_pylist()
+            found, keys = _texts(m, ids, some["chunk"].to_pylist(), some["n_chunks"].to_pylist()), [some[c] for c in ("doc_id", "chunk", "n_chunks")]
+            if digest:
+                names = [x.split()[0] for x in (OUT + TOLD).split(", ")]
+                yield pa.RecordBatch.from_arrays([*keys, some["ids"], *_told(ids, found)], names)
+            else:
+                n, crc, _, _ = _told(ids, found)
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(found, pa.string()), n, crc], ["doc_id", "chunk", "n_chunks", "text", "n_tokens", "ids_crc32"])
+
+
+def _giants(text: DataFrame, proto, chunk: int) -> DataFrame:
+    """OUT for the texts of more than chunk characters, by the parallel scan."""
     giant = text.filter(F.length("text") > chunk).groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("times")).withColumn("key", F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), "text"), 256))
     giant = cut(giant)
     names = giant.select("key", "doc_id", "times")
     parts = giant.select("key", "text").mapInPandas(partial(_split, longest=loaded(proto).longest, chunk=chunk), "key string, chunk int, n_chunks int, left string, body string, right string")
-    parts = cut(parts.repartition("key", "chunk"))
+    # By number, so that adaptive execution doesn't put chunks together by their bytes: a chunk costs far more than its bytes do.
+    parts = cut(parts.repartition(max(int(text.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1), "key", "chunk"))
     each = cut(parts.mapInPandas(partial(_matrices, model=proto), "key string, block int, chunk int, n_into int, cells array<double>"))
     blocks = each.groupBy("key", "block").applyInPandas(_product, "key string, block int, n_into int, cells array<double>")
     around = blocks.groupBy("key").applyInPandas(_over_blocks, "key string, block int, ahead array<double>, behind array<double>")
     at = each.groupBy("key", "block").cogroup(around.groupBy("key", "block")).applyInPandas(_within_block, "key string, chunk int, into int, out int")
-    traced = parts.join(at, ["key", "chunk"]).mapInPandas(partial(_backtraced, model=proto), "key string, chunk int, n_chunks int, ids array<int>")
-    large = traced.join(names, "key").withColumn("time", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("doc_id", "chunk", "n_chunks", "ids")
-    return small.unionByName(large)
+    traced = parts.join(F.broadcast(at) if _few(each) else at, ["key", "chunk"]).mapInPandas(partial(_backtraced, model=proto), "key string, chunk int, n_chunks int, ids array<int>")
+    return repeated(traced.join(names, "key"), "times", "time").select("doc_id", "chunk", "n_chunks", "ids")
 
 
-def _decoded(frames: Iterator[pd.DataFrame], model) -> Iterator[pd.DataFrame]:
-    m = loaded(model)
-    for f in frames:
-        out = [""] * len(f)
-        alone = np.flatnonzero((f["n_chunks"] == 1).to_numpy())
-        for k in range(0, len(alone), 100):
-            some = alone[k : k + 100]
-            for i, t in zip(some, m.sp.decode([f["ids"].iloc[i].tolist() for i in some]), strict=True):
-                out[i] = t
-        for i in np.flatnonzero((f["n_chunks"] > 1).to_numpy()):
-            out[i] = m.text(f["ids"].iloc[i].tolist(), f["chunk"].iloc[i] == 0)
-        yield pd.DataFrame({"doc_id": f["doc_id"], "chunk": f["chunk"], "n_chunks": f["n_chunks"], "text": out, "n_tokens": [len(x) for x in f["ids"]], "ids_crc32": [_crc(x) for x in f["ids"]]})
+def _few(chunks: DataFrame, most: int = 200_000) -> bool:
+    """Whether a row for each chunk (some 100 bytes) is small enough to go to every executor; the chunks then stay where they are."""
+    return chunks.count() <= most
 
 
-def _crc(ids) -> int:
-    return zlib.crc32(np.asarray(ids, "<i4").tobytes())
+def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, chunk, n_chunks, ids of docs (doc_id, text): a row for each row of docs, for giant texts one for each chunk.
+
+    The ids of a text's chunks, in order, are those that the library gives for the whole text. A null text counts as empty and has no
+    ids. Of repeated giant rows one is encoded and the result repeated. A text of any length is encoded whole; one that no path of
+    pieces leads through raises. An empty table gives an empty result; other columns, whatever their names, aren't looked at.
+    chunk: texts of more characters are giant.
+    """
+    proto, text = model_of(docs.sparkSession, model), texts(docs)
+    small = text.filter(F.length("text") <= chunk).mapInArrow(partial(_encoded, model=proto, back=False), OUT)
+    return small.unionByName(_giants(text, proto, chunk))
+
+
+def model_of(spark, path: str = MODEL):
+    with open(path, "rb") as f:
+        return spark.sparkContext.broadcast(f.read())
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     """doc_id, chunk, n_chunks, text, n_tokens, ids_crc32 (of the ids as little-endian int32) for each row of encode's result.
 
-    A document's text is its chunks' texts in order. U+2581 comes back as a space, as it does from the library.
+    A document's text is its chunks' texts in order. U+2581 comes back as a space, as it does from the library. No ids give an empty
+    text; an empty table gives an empty result.
     """
-    return encoded.mapInPandas(partial(_decoded, model=model_of(encoded.sparkSession, model)), "doc_id long, chunk int, n_chunks int, text string, n_tokens long, ids_crc32 long")
+    columns = encoded.select("doc_id", "chunk", "n_chunks", "ids")
+    return columns.mapInArrow(partial(_decoded, model=model_of(encoded.sparkSession, model), digest=False), "doc_id long, chunk int, n_chunks int, text string, n_tokens long, ids_crc32 long")
+
+
+def encode_and_back(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
+    """encode's columns with n_tokens, ids_crc32, and n_chars and text_sha256 of what decode gives for them.
+
+    Texts that are encoded whole are decoded where they were encoded, so a worker holds one model and no ids travel twice.
+    """
+    proto, text = model_of(docs.sparkSession, model), texts(docs)
+    small = text.filter(F.length("text") <= chunk).mapInArrow(partial(_encoded, model=proto, back=True), OUT + TOLD)
+    return small.unionByName(_giants(text, proto, chunk).mapInArrow(partial(_decoded, model=proto, digest=True), OUT + TOLD))
 
 
 def round_trip(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, chunk, n_chunks, n_tokens, ids_crc32, n_chars and text_sha256 of what decode gives for encode's result."""
-    back = decode(encode(docs, model, chunk), model)
-    return back.select("doc_id", "chunk", "n_chunks", "n_tokens", "ids_crc32", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+    """encode_and_back without the ids."""
+    return encode_and_back(docs, model, chunk).drop("ids")
