@@ -88,8 +88,11 @@ def fit(raw: list[bytes], labels: np.ndarray, epochs: int = 12, seed: int = 11)
         for some in np.array_split(rng.permutation(len(raw)), max(1, len(raw) // 64)):
             pairs, first = pairs_of([raw[i] for i in some])
             bounds, counts = chunks_of(first)
-            lookup = tables(model)
-            said = answers(lookup, pairs)
+            byte, n = pairs >> 8, len(pairs) - WIDE
+            small = (model["bytes"][None] @ model["filters"]).astype(np.float32)
+            said = small[0][byte[:n]]
+            for k in range(1, 2 * TAPS):
+                said += small[k][byte[k : k + n]]
             picks = np.stack([a + said[a:b].argmax(0) for a, b in bounds])
             most = np.take_along_axis(said, picks, 0)
             feat, act = features(model, most, counts)
