@@ -75,7 +75,7 @@ def scores(model: dict, lookup: np.ndarray, parts: list[bytes]) -> np.ndarray:
     return sigmoid(features(model, pooled(lookup, pairs, bounds), counts)[0] @ model["out"] + model["bias"])
 
 
-def fit(raw: list[bytes], labels: np.ndarray, epochs: int = 12, seed: int = 11) -> dict:
+def fit(raw: list[bytes], labels: np.ndarray, epochs: int = 7, seed: int = 11) -> dict:
     """The model as a dictionary of arrays. Without both labels, every score is the share of label 1."""
     rng, share = np.random.default_rng(seed), float(labels.mean()) if len(labels) else 0.0
     model = {"bytes": rng.normal(0, 0.5, (256, DIM)), "filters": rng.normal(0, 0.3, (2 * TAPS, DIM, FILTERS)), "shift": np.zeros(FILTERS), "out": rng.normal(0, 0.2, 2 * FILTERS), "bias": np.full(1, np.log((share + 1e-6) / (1 - share + 1e-6)))}
