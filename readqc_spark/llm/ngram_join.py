@@ -25,7 +25,6 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -99,29 +98,29 @@ def _signed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([*none(1), pa.array([i], pa.int32()), pa.array([salt], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], names)
 
 
-def _total(counts) -> np.ndarray:
-    total = np.zeros(SLICE, np.uint64)
-    for b in counts:
-        raw = zlib.decompress(b)
-        total += np.frombuffer(raw, np.uint32 if len(raw) == 4 * SLICE else np.uint64)
-    return total
+def _added(t: pa.Table) -> pa.Table:
+    return _summed(t, lambda total: zlib.compress(total.tobytes(), 1))
 
 
-def _added(f: pd.DataFrame) -> pd.DataFrame:
-    return f.iloc[:1].assign(counts=[zlib.compress(_total(f["counts"]).tobytes(), 1)])
+def _ranked(t: pa.Table) -> pa.Table:
+    """A slice's counters as ranks, four for each doubling, a byte each."""
+    return _summed(t, lambda total: np.floor(4 * np.log2(1 + total.astype(np.float64))).astype(np.uint8).tobytes())
 
 
-def _ranked(f: pd.DataFrame) -> pd.DataFrame:
-    """A slice's counters as ranks, four for each doubling, a byte each."""
-    return f.iloc[:1].assign(counts=[np.floor(4 * np.log2(1 + _total(f["counts"]).astype(np.float64))).astype(np.uint8).tobytes()])
+def _summed(t: pa.Table, form) -> pa.Table:
+    total = np.zeros(SLICE, np.uint64)
+    for b in t["counts"]:
+        raw = zlib.decompress(b.as_py())
+        total += np.frombuffer(raw, np.uint32 if len(raw) == 4 * SLICE else np.uint64)
+    return pa.table({"slice": t["slice"].slice(0, 1), "salt": t["salt"].slice(0, 1), "counts": pa.array([form(total)], pa.binary())})
 
 
 def _sketch(first: DataFrame) -> np.ndarray:
     """How frequent the shingles of each counter are, as ranks in bytes: SKETCH bytes, whatever the corpus."""
     kind = "slice int, salt int, counts binary"
-    some = first.filter("slice is not null").select("slice", "salt", "counts").groupBy("slice", "salt").applyInPandas(_added, kind)
+    some = first.filter("slice is not null").select("slice", "salt", "counts").groupBy("slice", "salt").applyInArrow(_added, kind)
     total = np.zeros((SKETCH // SLICE, SLICE), np.uint8)
-    for r in some.groupBy("slice").applyInPandas(_ranked, kind).collect():
+    for r in some.groupBy("slice").applyInArrow(_ranked, kind).collect():
         total[r["slice"]] = np.frombuffer(bytes(r["counts"]), np.uint8)
     return total.ravel()
 
@@ -215,12 +214,13 @@ def _texts_of(wanted: DataFrame, text: DataFrame) -> DataFrame:
     return some.select("doc_id", "text_key", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("text_key") == F.col("rep_key")))
 
 
-def _met(f: pd.DataFrame, words: int, percent: int, slab: int) -> pd.DataFrame:
+def _met(t: pa.Table, words: int, percent: int, slab: int) -> pa.Table:
     """nid, n_links: rows that the nodes of two parts (or of one with itself) link to in the other."""
-    low, high = int(f["low"].iloc[0]), int(f["high"].iloc[0])
-    keys, ids, parts, weights, sets = f[["na", "nb"]].to_numpy(), f["nid"].tolist(), f["part"].tolist(), f["w"].tolist(), {}
-    for i, tokens in shingle_sets(pa.array(f["text"], pa.string()), words):
-        if signature(tokens) == tuple(keys[i].tolist()):
+    low, high = t["low"][0].as_py(), t["high"][0].as_py()
+    na, nb, ids, parts, weights = (t[c].to_pylist() for c in ("na", "nb", "nid", "part", "w"))
+    sets: dict = {}
+    for i, tokens in shingle_sets(t["text"].combine_chunks(), words):
+        if signature(tokens) == (na[i], nb[i]):
             sets[ids[i]] = (parts[i], weights[i], tokens)
     nids, found = np.array(list(sets), np.int64), list(sets.values())
     part, w, n = (np.array(x, np.int64) for x in ([x[0] for x in found], [x[1] for x in found], [len(x[2]) for x in found]))
@@ -240,8 +240,8 @@ def _met(f: pd.DataFrame, words: int, percent: int, slab: int) -> pd.DataFrame:
     linked = 100 * shared >= percent * (n[left][:, None] + n[right][None, :] - shared)
     if low == high:
         np.fill_diagonal(linked, False)
-    out = pd.DataFrame({"nid": nids[left], "n_links": linked @ w[right]})
-    return out if low == high else pd.concat([out, pd.DataFrame({"nid": nids[right], "n_links": linked.T @ w[left]})])
+    out = [(nids[left], linked @ w[right])] + ([] if low == high else [(nids[right], linked.T @ w[left])])
+    return pa.table({"nid": np.concatenate([x for x, _ in out]), "n_links": np.concatenate([x for _, x in out])})
 
 
 def _n_links(nodes: DataFrame, roots: DataFrame, text: DataFrame, words: int, percent: int) -> DataFrame:
@@ -252,7 +252,13 @@ def _n_links(nodes: DataFrame, roots: DataFrame, text: DataFrame, words: int, pe
     dealt = member.join(size, "root").withColumn("part", F.pmod(F.xxhash64("nid"), F.col("parts"))).withColumn("q", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     wanted = cut(dealt.select("root", F.least("part", "q").alias("low"), F.greatest("part", "q").alias("high"), "part", "nid", "na", "nb", "w", "rep", "rep_key"))
     met = _texts_of(wanted, text).select("root", "low", "high", "part", "nid", "na", "nb", "w", "text").groupBy("root", "low", "high")
-    return met.applyInPandas(partial(_met, words=words, percent=percent, slab=SLAB), "nid long, n_links long").groupBy("nid").agg(F.sum("n_links").alias("n_links"))
+
+    slab = SLAB
+
+    def each(t: pa.Table) -> pa.Table:
+        return _met(t, words, percent, slab)
+
+    return met.applyInArrow(each, "nid long, n_links long").groupBy("nid").agg(F.sum("n_links").alias("n_links"))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -19,7 +19,6 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -162,13 +161,27 @@ def chunk_places(n: int, chunk: int = CHUNK) -> list[int]:
     return [*places, n]
 
 
-def _split(frames: Iterator[pd.DataFrame], longest: int, chunk: int) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        for doc, text in zip(f["key"], f["text"], strict=True):
-            text = normal(text)
-            places = chunk_places(len(text), chunk)
-            for k, (a, b) in enumerate(zip(places, places[1:], strict=False)):
-                yield pd.DataFrame({"key": [doc], "chunk": [k], "n_chunks": [len(places) - 1], "left": [text[max(0, a - longest) : a]], "body": [text[a:b]], "right": [text[b : b + longest]]})
+#: What the steps of the scan pass on, as Spark and as Arrow name it.
+PARTS = pa.schema([("key", pa.string()), ("chunk", pa.int32()), ("n_chunks", pa.int32()), ("left", pa.string()), ("body", pa.string()), ("right", pa.string())])
+MATRICES = pa.schema([("key", pa.string()), ("block", pa.int32()), ("chunk", pa.int32()), ("n_into", pa.int32()), ("cells", pa.list_(pa.float64()))])
+PRODUCTS = MATRICES.remove(2)
+AROUND = pa.schema([("key", pa.string()), ("block", pa.int32()), ("ahead", pa.list_(pa.float64())), ("behind", pa.list_(pa.float64()))])
+STATES = pa.schema([("key", pa.string()), ("chunk", pa.int32()), ("into", pa.int32()), ("out", pa.int32())])
+TRACED = pa.schema([("key", pa.string()), ("chunk", pa.int32()), ("n_chunks", pa.int32()), ("ids", pa.list_(pa.int32()))])
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for b in batches:
+        for k in range(len(b)):
+            yield b.slice(k, 1).to_pylist()[0]
+
+
+def _split(batches: Iterator[pa.RecordBatch], longest: int, chunk: int) -> Iterator[pa.RecordBatch]:
+    for r in _rows(batches):
+        text = normal(r["text"])
+        places = chunk_places(len(text), chunk)
+        for k, (a, b) in enumerate(zip(places, places[1:], strict=False)):
+            yield pa.RecordBatch.from_pylist([{"key": r["key"], "chunk": k, "n_chunks": len(places) - 1, "left": text[max(0, a - longest) : a], "body": text[a:b], "right": text[b : b + longest]}], PARTS)
 
 
 def _frame(m: Pieces, left: str, body: str, right: str):
@@ -211,23 +224,22 @@ def times(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (x[:, :, None] + y[None, :, :]).max(1) if x.size and y.size else np.full((x.shape[0], y.shape[1]), -np.inf)
 
 
-def _matrices(frames: Iterator[pd.DataFrame], model) -> Iterator[pd.DataFrame]:
+def _matrices(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     m = loaded(model)
-    for f in frames:
-        for r in f.itertuples():
-            got = matrix(m, r.left, r.body, r.right)
-            yield pd.DataFrame({"key": [r.key], "block": [r.chunk // PER_BLOCK], "chunk": [r.chunk], "n_into": [got.shape[0]], "cells": [got.ravel()]})
+    for r in _rows(batches):
+        got = matrix(m, r["left"], r["body"], r["right"])
+        yield pa.RecordBatch.from_pylist([{"key": r["key"], "block": r["chunk"] // PER_BLOCK, "chunk": r["chunk"], "n_into": got.shape[0], "cells": got.ravel()}], MATRICES)
 
 
-def _shaped(r) -> np.ndarray:
-    return np.asarray(r.cells, float).reshape(r.n_into, -1)
+def _shaped(r: dict) -> np.ndarray:
+    return np.asarray(r["cells"], float).reshape(r["n_into"], -1)
 
 
-def _product(f: pd.DataFrame) -> pd.DataFrame:
+def _product(t: pa.Table) -> pa.Table:
     total = None
-    for r in f.sort_values("chunk").itertuples():
+    for r in t.sort_by("chunk").to_pylist():
         total = _shaped(r) if total is None else times(total, _shaped(r))
-    return pd.DataFrame({"key": f["key"].iloc[:1].tolist(), "block": f["block"].iloc[:1].tolist(), "n_into": [total.shape[0]], "cells": [total.ravel()]})
+    return pa.Table.from_pylist([{"key": r["key"], "block": r["block"], "n_into": total.shape[0], "cells": total.ravel()}], PRODUCTS)
 
 
 def _both_ways(matrices: list[np.ndarray], ahead: np.ndarray, behind: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -240,40 +252,41 @@ def _both_ways(matrices: list[np.ndarray], ahead: np.ndarray, behind: np.ndarray
     return up, down[::-1]
 
 
-def _over_blocks(f: pd.DataFrame) -> pd.DataFrame:
-    f = f.sort_values("block")
-    each = [_shaped(r) for r in f.itertuples()]
+def _over_blocks(t: pa.Table) -> pa.Table:
+    rows = t.sort_by("block").to_pylist()
+    each = [_shaped(r) for r in rows]
     up, down = _both_ways(each, np.zeros(each[0].shape[0]), np.zeros(each[-1].shape[1]))
-    return pd.DataFrame({"key": f["key"], "block": f["block"], "ahead": up[:-1], "behind": down[1:]})
+    return pa.Table.from_pylist([{"key": r["key"], "block": r["block"], "ahead": a, "behind": b} for r, a, b in zip(rows, up, down[1:], strict=False)], AROUND)
 
 
-def _within_block(chunks: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-    f = chunks.sort_values("chunk")
-    up, down = _both_ways([_shaped(r) for r in f.itertuples()], np.asarray(block["ahead"].iloc[0]), np.asarray(block["behind"].iloc[0]))
+def _within_block(chunks: pa.Table, block: pa.Table) -> pa.Table:
+    rows, ends = chunks.sort_by("chunk").to_pylist(), block.to_pylist()
+    if not rows:
+        return STATES.empty_table()
+    up, down = _both_ways([_shaped(r) for r in rows], np.asarray(ends[0]["ahead"], float), np.asarray(ends[0]["behind"], float))
     best = [u + d for u, d in zip(up, down, strict=True)]
     if not all(len(x) and np.isfinite(x.max()) for x in best):
         raise RuntimeError("no path of pieces leads through this text")
     at = [int(np.argmax(x)) for x in best]
-    return pd.DataFrame({"key": f["key"], "chunk": f["chunk"], "into": at[:-1], "out": at[1:]})
+    return pa.Table.from_pylist([{"key": r["key"], "chunk": r["chunk"], "into": a, "out": b} for r, a, b in zip(rows, at, at[1:], strict=False)], STATES)
 
 
-def _backtraced(frames: Iterator[pd.DataFrame], model) -> Iterator[pd.DataFrame]:
+def _backtraced(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     m = loaded(model)
-    for f in frames:
-        for r in f.itertuples():
-            text, a, b, into, out, hard = _frame(m, r.left, r.body, r.right)
-            (back, over), (back2, over2) = into[r.into], out[r.out]
-            at, last, end, final = a + over, text[a - back : a + over] or None, b + over2, text[b - back2 : b + over2]
-            ids: list[int] = []
-            if hard:
-                seen = m.paths(text, at, last, hard[0])
-                if hard[0] > at:
-                    ids += m.to_ids(m.trace(seen, at, hard[0], max(seen[hard[0]], key=lambda p: seen[hard[0]][p][0])))
-                if hard[-1] > hard[0]:
-                    ids += m.whole(text[hard[0] : hard[-1]])
-                at, last = hard[-1], None
-            ids += m.to_ids(m.trace(m.paths(text, at, last, b), at, end, final))
-            yield pd.DataFrame({"key": [r.key], "chunk": [r.chunk], "n_chunks": [r.n_chunks], "ids": [ids]})
+    for r in _rows(batches):
+        text, a, b, into, out, hard = _frame(m, r["left"], r["body"], r["right"])
+        (back, over), (back2, over2) = into[r["into"]], out[r["out"]]
+        at, last, end, final = a + over, text[a - back : a + over] or None, b + over2, text[b - back2 : b + over2]
+        ids: list[int] = []
+        if hard:
+            seen = m.paths(text, at, last, hard[0])
+            if hard[0] > at:
+                ids += m.to_ids(m.trace(seen, at, hard[0], max(seen[hard[0]], key=lambda p: seen[hard[0]][p][0])))
+            if hard[-1] > hard[0]:
+                ids += m.whole(text[hard[0] : hard[-1]])
+            at, last = hard[-1], None
+        ids += m.to_ids(m.trace(m.paths(text, at, last, b), at, end, final))
+        yield pa.RecordBatch.from_pylist([{"key": r["key"], "chunk": r["chunk"], "n_chunks": r["n_chunks"], "ids": ids}], TRACED)
 
 
 def _lists(values: list) -> pa.Array:
@@ -329,14 +342,14 @@ def _giants(text: DataFrame, proto, chunk: int) -> DataFrame:
     giant = text.filter(F.length("text") > chunk).groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("times")).withColumn("key", F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), "text"), 256))
     giant = cut(giant)
     names = giant.select("key", "doc_id", "times")
-    parts = giant.select("key", "text").mapInPandas(partial(_split, longest=loaded(proto).longest, chunk=chunk), "key string, chunk int, n_chunks int, left string, body string, right string")
+    parts = giant.select("key", "text").mapInArrow(partial(_split, longest=loaded(proto).longest, chunk=chunk), "key string, chunk int, n_chunks int, left string, body string, right string")
     # By number, so that adaptive execution doesn't put chunks together by their bytes: a chunk costs far more than its bytes do.
     parts = cut(parts.repartition(max(int(text.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1), "key", "chunk"))
-    each = cut(parts.mapInPandas(partial(_matrices, model=proto), "key string, block int, chunk int, n_into int, cells array<double>"))
-    blocks = each.groupBy("key", "block").applyInPandas(_product, "key string, block int, n_into int, cells array<double>")
-    around = blocks.groupBy("key").applyInPandas(_over_blocks, "key string, block int, ahead array<double>, behind array<double>")
-    at = each.groupBy("key", "block").cogroup(around.groupBy("key", "block")).applyInPandas(_within_block, "key string, chunk int, into int, out int")
-    traced = parts.join(F.broadcast(at) if _few(each) else at, ["key", "chunk"]).mapInPandas(partial(_backtraced, model=proto), "key string, chunk int, n_chunks int, ids array<int>")
+    each = cut(parts.mapInArrow(partial(_matrices, model=proto), "key string, block int, chunk int, n_into int, cells array<double>"))
+    blocks = each.groupBy("key", "block").applyInArrow(_product, "key string, block int, n_into int, cells array<double>")
+    around = blocks.groupBy("key").applyInArrow(_over_blocks, "key string, block int, ahead array<double>, behind array<double>")
+    at = each.groupBy("key", "block").cogroup(around.groupBy("key", "block")).applyInArrow(_within_block, "key string, chunk int, into int, out int")
+    traced = parts.join(F.broadcast(at) if _few(each) else at, ["key", "chunk"]).mapInArrow(partial(_backtraced, model=proto), "key string, chunk int, n_chunks int, ids array<int>")
     return repeated(traced.join(names, "key"), "times", "time").select("doc_id", "chunk", "n_chunks", "ids")
 
 
