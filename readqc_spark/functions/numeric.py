@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,16 +28,27 @@ def concordance_qv(identity: Column, has_errors: Column) -> Column:
     return F.when(has_errors, F.when(identity == 1, F.lit(float("inf"))).otherwise(-10.0 * F.log10(1.0 - identity))).otherwise(F.lit(PERFECT_QV))
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), value computed once for the row however often use reads it, in lambdas too."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+_ERRORS = 10.0 ** (-np.arange(256) / 10)
+
+
+def mean_quals(quals: pa.Array) -> np.ndarray:
+    """Mean error of all bases of each list as a Phred value, rounded half up, 0 to 255; 0 for an empty list."""
+    q = quals.fill_null([]) if quals.null_count else quals
+    n = q.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    values = q.flatten().cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False)
+    inside = (values >= 0) & (values < 256)
+    error = _ERRORS[values] if inside.all() else 10.0 ** (-values / 10)
+    total, some = np.zeros(len(n)), n > 0
+    if some.any():
+        total[some] = np.add.reduceat(error, (np.cumsum(n) - n)[some])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        phred = np.floor(-10 * np.log10(total / n) + 0.5)
+    return np.where(np.isnan(phred), 0, np.clip(phred, 0, 255)).astype(np.int32)
 
 
 def mean_qual(quals: Column) -> Column:
-    """Mean error of all bases as a Phred value, rounded, 0 to 255."""
-    total = F.aggregate(quals, F.lit(0.0), lambda a, q: a + error_of(q))
-    whole = lambda q: F.when(F.isnan(q), F.lit(0)).otherwise(F.least(F.greatest(q, F.lit(0.0)), F.lit(255.0)).cast("int"))
-    return let(fdiv(total, F.size(quals)), lambda e: let(F.round(qual_of(e)), whole))
+    """mean_quals() of a column of arrays of numbers."""
+    return F.arrow_udf(lambda q: pa.array(mean_quals(q)), "int")(quals)
 
 
 def per(n: Column, d: Column, scale: float = 1.0) -> Column:

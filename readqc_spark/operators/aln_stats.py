@@ -12,13 +12,22 @@ from readqc_spark.operators.pileup import REVERSE, SUPPLEMENTARY, flag
 COUNTS = ("matches", "mismatches", "non_hp_ins", "non_hp_del", "hp_ins", "hp_del")
 
 
+META = ("aln_id", "read_name", "chr", "pos", "flags", "mapq", "ec", "np", "rq", "contig_length")
+
+
 def stats(rows: DataFrame) -> DataFrame:
     """The per-alignment table of rows of with_contig: identity columns, counts and what derives from them."""
-    counted, c = pileup.tallies(rows), F.col
+    counted = pileup.tallies(rows)
+    return derived(counted.withColumns({"q_len": F.length("seq"), "mean_qual": mean_qual(F.col("quals"))}))
+
+
+def derived(counted: DataFrame) -> DataFrame:
+    """stats() from META, q_len, mean_qual and the TALLIES."""
+    c = F.col
     errors = c("mismatches") + c("non_hp_ins") + c("non_hp_del") + c("hp_ins") + c("hp_del")
     read_len = c("matches") + c("mismatches") + c("non_hp_del") + c("hp_del")
     out = counted.withColumns({
-        "q_len": F.length("seq"), "mapq": F.coalesce("mapq", F.lit(255)), "mean_qual": mean_qual(c("quals")), "supplementary": flag(SUPPLEMENTARY), "strand": F.when(flag(REVERSE), "-").otherwise("+"),
+        "mapq": F.coalesce("mapq", F.lit(255)), "supplementary": flag(SUPPLEMENTARY), "strand": F.when(flag(REVERSE), "-").otherwise("+"),
         "alignment_type": F.when(flag(SUPPLEMENTARY), "supplementary").otherwise("primary"), "errors": errors, "read_len": read_len,
     })
     out = out.withColumns({"ref_cov": fdiv(c("read_len"), c("contig_length")), "gc_content": fdiv(c("gc_bases"), c("read_len")), "concordance": fdiv(c("matches"), c("matches") + c("errors")), "concordance_gc": fdiv(c("matches"), c("matches") + c("mismatches") + c("gap_ins") + c("gap_del"))})

@@ -19,8 +19,10 @@ from pyspark.sql import types as T
 from readqc_spark.operators import cigar
 
 UNMAPPED, REVERSE, SECONDARY, SUPPLEMENTARY = 0x4, 0x10, 0x100, 0x800
-#: Contigs of so many bases together are broadcast; larger assemblies are joined by a shuffle on the contig's name.
-BROADCAST_BASES = 64 << 20
+#: Contigs of so many bases together are broadcast; of larger assemblies, tiles of TILE bases and OVERLAP more are joined by place.
+BROADCAST_BASES, TILE, OVERLAP = 64 << 20, 1 << 18, 1 << 16
+#: The names and lengths of so many contigs are broadcast.
+BROADCAST_CONTIGS = 500_000
 SLAB = 1 << 20
 KINDS = ("match", "mismatch", "ins", "del")
 MATCH, MISMATCH, INS, DEL = range(4)
@@ -31,9 +33,13 @@ def flag(bit: int) -> Column:
     return F.col("flags").bitwiseAND(bit) != 0
 
 
+def _counted() -> Column:
+    return F.col("flags").bitwiseAND(UNMAPPED | SECONDARY) == 0
+
+
 def mapped_primary(alignments: DataFrame) -> DataFrame:
     """Without unmapped and secondary records; supplementary ones stay."""
-    return alignments.filter(F.col("flags").bitwiseAND(UNMAPPED | SECONDARY) == 0)
+    return alignments.filter(_counted())
 
 
 def primary(stats: DataFrame) -> DataFrame:
@@ -41,16 +47,49 @@ def primary(stats: DataFrame) -> DataFrame:
 
 
 def with_contig(alignments: DataFrame, contigs: DataFrame, total_bases: int | None = None) -> DataFrame:
-    """alignments with ops, aln_end, contig_length, slice_start and ref (the slice's bases). A contig that isn't there raises."""
+    """alignments with ops, aln_end, contig_length, slice_start and ref (the slice's bases). A contig that isn't there raises.
+
+    total_bases: of all contigs; where it is unknown or above BROADCAST_BASES, tiles are joined.
+    """
+    rows = alignments.withColumn("ops", cigar.ops(F.col("cigar"))).withColumn("aln_end", F.col("pos") + cigar.span(F.col("ops"))).withColumn("slice_start", F.greatest(F.col("pos") - 1, F.lit(1)))
+    if total_bases is None or total_bases > BROADCAST_BASES:
+        return _with_tiles(rows, contigs)
     c = contigs.select(F.col("chr").alias("_chr"), F.upper("seq").alias("_seq"))
-    c = F.broadcast(c) if total_bases is not None and total_bases <= BROADCAST_BASES else c
-    rows = alignments.withColumn("ops", cigar.ops(F.col("cigar"))).withColumn("aln_end", F.col("pos") + cigar.span(F.col("ops")))
-    joined = rows.join(c, F.col("chr") == F.col("_chr"), "left").withColumn("slice_start", F.greatest(F.col("pos") - 1, F.lit(1)))
-    checked = F.when(F.col("_seq").isNull(), F.raise_error(F.concat(F.lit("contig not in the reference: "), F.coalesce("chr", F.lit("null"))))).otherwise(F.col("_seq"))
-    piece = F.substring(checked, F.col("slice_start"), F.col("aln_end") - F.col("slice_start") + 3)
+    joined = rows.join(F.broadcast(c), F.col("chr") == F.col("_chr"), "left")
+    piece = F.substring(_there(F.col("_seq")), F.col("slice_start"), F.col("aln_end") - F.col("slice_start") + 3)
     return joined.withColumns({"ref": piece, "contig_length": F.length("_seq")}).drop("_chr", "_seq")
 
 
+def _there(found: Column) -> Column:
+    return F.when(found.isNull() & _counted(), F.raise_error(F.concat(F.lit("no such contig in the FASTA file: "), F.coalesce("chr", F.lit("null"))))).otherwise(found)
+
+
+def _with_tiles(rows: DataFrame, contigs: DataFrame) -> DataFrame:
+    """with_contig by an equality join on the contig and the tile in which a read's slice begins.
+
+    No contig is moved or held whole but where it is cut up. A tile goes OVERLAP bases into the next, so most reads need one; one that
+    goes further (long, or with a wide gap) gathers its pieces of all tiles by its aln_id.
+    """
+    names = contigs.select(F.col("chr").alias("_chr"), F.length("seq").alias("contig_length"))
+    names = F.broadcast(names) if names.limit(BROADCAST_CONTIGS + 1).count() <= BROADCAST_CONTIGS else names
+    cut = contigs.select(F.col("chr").alias("_chr"), "seq", F.explode(F.sequence(F.lit(0), F.floor((F.greatest(F.length("seq"), F.lit(1)) - 1) / TILE).cast("int"))).alias("_tile"))
+    tiles = cut.select("_chr", "_tile", F.upper(F.substring("seq", F.col("_tile") * TILE + 1, F.lit(TILE + OVERLAP))).alias("_seq"))
+    rows = rows.join(names, F.col("chr") == F.col("_chr"), "left").drop("_chr").withColumn("contig_length", _there(F.col("contig_length")))
+    first, last = F.floor((F.col("slice_start") - 1) / TILE).cast("int"), F.floor((F.least(F.col("aln_end") + 2, F.col("contig_length")) - 1) / TILE).cast("int")
+    rows = rows.withColumns({"_first": first, "_last": F.greatest(first, last)})
+    one = F.least(F.col("aln_end") + 2, F.col("contig_length")) <= (F.col("_first") + 1) * TILE + OVERLAP
+    size = F.col("aln_end") - F.col("slice_start") + 3
+    near = rows.filter(one).join(tiles, (F.col("chr") == F.col("_chr")) & (F.col("_first") == F.col("_tile")), "left")
+    near = near.withColumn("ref", F.coalesce(F.substring("_seq", F.col("slice_start") - F.col("_first") * TILE, size), F.lit("")))
+    far = rows.filter(~one)
+    parts = far.select("aln_id", "chr", "slice_start", "aln_end", F.explode(F.sequence("_first", "_last")).alias("_at")).join(tiles, (F.col("chr") == F.col("_chr")) & (F.col("_at") == F.col("_tile")))
+    low, high = F.greatest(F.col("slice_start"), F.col("_at") * TILE + 1), F.least(F.col("aln_end") + 2, (F.col("_at") + 1) * TILE)
+    parts = parts.select("aln_id", "_at", F.substring("_seq", low - F.col("_at") * TILE, high - low + 1).alias("_piece"))
+    whole = parts.groupBy("aln_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_piece"))), lambda x: x["_piece"]), "").alias("ref"))
+    far = far.join(whole, "aln_id", "left").withColumn("ref", F.coalesce("ref", F.lit("")))
+    return near.drop("_chr", "_tile", "_seq", "_first", "_last").unionByName(far.drop("_first", "_last"))
+
+
 class Walk(NamedTuple):
     """Events in the order of the reads: the read's index, kind, whether a homopolymer's, bases, place, place in the slab's quals (-1: none), GC."""
 
@@ -64,21 +103,9 @@ class Walk(NamedTuple):
     gaps: tuple[np.ndarray, np.ndarray]
 
 
-def _marks(letters: tuple[str, ...] | str) -> np.ndarray:
-    out = np.zeros(256, bool)
-    out[[ord(x) for x in letters]] = True
-    return out
-
-
-_ON_REFERENCE, _ON_READ, _COUNTED, _GC = _marks(cigar.ON_REFERENCE), _marks(cigar.ON_READ), _marks(cigar.COUNTED), _marks("CG")
-
-
-def _bytes(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(all bytes, where each string begins and the last ends); null as empty."""
-    a = strings.fill_null("").cast(pa.large_string())
-    _, offsets, data = a.buffers()
-    at = np.frombuffer(offsets, np.int64)[a.offset : a.offset + len(a) + 1]
-    return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), at
+_ON_REFERENCE, _ON_READ = cigar.MOVES
+_COUNTED, _GC = cigar.marks(cigar.COUNTED), cigar.marks("CG")
+_bytes = cigar.text_of
 
 
 def _longs(numbers: pa.Array) -> np.ndarray:
@@ -94,19 +121,6 @@ def _letter(data: np.ndarray, first: np.ndarray, end: np.ndarray, at: np.ndarray
     return np.where(good, data[np.where(good, place, 0)], np.uint8(missing))
 
 
-def _operations(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(read, letter, length) of each operation of CIGAR strings; * has none."""
-    base, text = at[0], text[at[0] : at[-1]]
-    letters = np.flatnonzero((text > ord("9")) | (text == ord("*")))
-    digits = np.flatnonzero((text >= ord("0")) & (text <= ord("9")))
-    of = np.searchsorted(letters, digits)
-    weight = 10.0 ** (letters[of] - digits - 1) if len(of) else np.zeros(0)
-    length = np.bincount(of, (text[digits] - ord("0")) * weight, minlength=len(letters)).astype(np.int64)
-    row, op = np.searchsorted(at[1:] - base, letters, "right"), text[letters]
-    real = op != ord("*")
-    return row[real], op[real], length[real]
-
-
 def walk(pos: pa.Array, cigars: pa.Array, seq: pa.Array, ref: pa.Array, slice_start: pa.Array) -> Walk:
     """The events of a slab of reads. seq and ref are in upper case; ref begins at slice_start.
 
@@ -116,14 +130,9 @@ def walk(pos: pa.Array, cigars: pa.Array, seq: pa.Array, ref: pa.Array, slice_st
     """
     rows = len(pos)
     (reads, read_at), (refs, ref_at) = _bytes(seq), _bytes(ref)
-    row, op, length = _operations(*_bytes(cigars))
+    row, op, length = cigar.operations(*_bytes(cigars))
     gaps = tuple(np.bincount(row[op == ord(x)], minlength=rows) for x in "ID")
-    starts = []
-    for moves in (_ON_REFERENCE, _ON_READ):
-        step = length * moves[op]
-        before = np.cumsum(step) - step
-        first = np.searchsorted(row, np.arange(rows))
-        starts.append(before - before[first[row]] if len(row) else before)
+    starts = [cigar.begins(row, length * moves[op], rows) for moves in (_ON_REFERENCE, _ON_READ)]
     place, query = starts[0] + _longs(pos)[row], starts[1]
 
     kept = _COUNTED[op] & (length > 0)
@@ -165,15 +174,19 @@ def _slabs(seq: pa.Array, ref: pa.Array) -> Iterator[slice]:
 
 def _present() -> Column:
     nothing = (F.coalesce(F.length("seq"), F.lit(0)) == 0) | (F.col("seq") == "*") | (F.coalesce(F.size("quals"), F.lit(0)) <= 0)
-    return F.when(nothing, F.raise_error(F.lit("Read sequence or quality scores do not exist!"))).otherwise(F.upper("seq"))
+    return F.when(nothing & _counted(), F.raise_error(F.lit("a mapped read without bases or without qualities"))).otherwise(F.upper("seq"))
+
+
+def _counts(w: Walk, rows: int) -> np.ndarray:
+    """The TALLIES of a slab's reads, a line for each."""
+    wanted = (w.kind == MATCH, w.kind == MISMATCH, (w.kind == INS) & ~w.hp, (w.kind == DEL) & ~w.hp, (w.kind == INS) & w.hp, (w.kind == DEL) & w.hp, w.gc)
+    return np.stack([np.bincount(w.row[x], w.n[x], rows) for x in wanted] + list(w.gaps)).astype(np.int64)
 
 
 def _tally(pos: pa.Array, cigars: pa.Array, seq: pa.Array, ref: pa.Array, slice_start: pa.Array) -> pa.Array:
     columns, parts = (pos, cigars, seq, ref, slice_start), []
     for some in _slabs(seq, ref):
-        w, rows = walk(*[c[some] for c in columns]), some.stop - some.start
-        wanted = (w.kind == MATCH, w.kind == MISMATCH, (w.kind == INS) & ~w.hp, (w.kind == DEL) & ~w.hp, (w.kind == INS) & w.hp, (w.kind == DEL) & w.hp, w.gc)
-        parts.append(np.stack([np.bincount(w.row[x], w.n[x], rows) for x in wanted] + list(w.gaps)).astype(np.int64))
+        parts.append(_counts(walk(*[c[some] for c in columns]), some.stop - some.start))
     all_rows = np.concatenate(parts, axis=1) if parts else np.zeros((len(TALLIES), 0), np.int64)
     return pa.StructArray.from_arrays([pa.array(x) for x in all_rows], list(TALLIES))
 
@@ -184,21 +197,35 @@ def tallies(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_t", count("pos", "cigar", _present(), "ref", "slice_start")).select("*", "_t.*").drop("_t")
 
 
+def _quals(w: Walk, quals: pa.Array) -> pa.Array:
+    """The quality of each event; null for gaps and where the read has none."""
+    q = quals.fill_null([]) if quals.null_count else quals
+    ends = np.concatenate([[0], np.cumsum(q.value_lengths().to_numpy(zero_copy_only=False))])
+    at = ends[w.row] + w.qual_at
+    return q.flatten().cast(pa.int32()).take(pa.array(at, mask=(w.qual_at < 0) | (at >= ends[w.row + 1])))
+
+
+def slabs(batch: pa.RecordBatch) -> Iterator[tuple[dict[str, pa.Array], Walk]]:
+    """The columns of each slab of a batch of walked() rows, and its events."""
+    for some in _slabs(batch["seq"], batch["ref"]):
+        c = {n: batch[n][some] for n in batch.schema.names}
+        yield c, walk(c["pos"], c["cigar"], c["seq"], c["ref"], c["slice_start"])
+
+
 def _classified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names, strings = ["aln_id", "kind", "hp", "n", "ref_pos", "qual", "gc"], pa.array(KINDS)
     for b in batches:
-        for some in _slabs(b["seq"], b["ref"]):
-            c = {n: b[n][some] for n in b.schema.names}
-            w = walk(c["pos"], c["cigar"], c["seq"], c["ref"], c["slice_start"])
-            q = c["quals"].fill_null([]) if c["quals"].null_count else c["quals"]
-            ends = np.concatenate([[0], np.cumsum(q.value_lengths().to_numpy(zero_copy_only=False))])
-            at = ends[w.row] + w.qual_at
-            qual = q.flatten().cast(pa.int32()).take(pa.array(at, mask=(w.qual_at < 0) | (at >= ends[w.row + 1])))
+        for c, w in slabs(b):
             kind = pa.DictionaryArray.from_arrays(pa.array(w.kind), strings).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([c["aln_id"].take(pa.array(w.row)), kind, pa.array(w.hp), pa.array(w.n.astype(np.int32)), pa.array(w.ref_pos.astype(np.int32)), qual, pa.array(w.gc.astype(np.int32))], names)
+            yield pa.RecordBatch.from_arrays([c["aln_id"].take(pa.array(w.row)), kind, pa.array(w.hp), pa.array(w.n.astype(np.int32)), pa.array(w.ref_pos.astype(np.int32)), _quals(w, c["quals"]), pa.array(w.gc.astype(np.int32))], names)
+
+
+def walked(rows: DataFrame, *more: str) -> DataFrame:
+    """The columns of rows of with_contig that a walk needs, checked, and those named in more."""
+    return rows.select("aln_id", "pos", "cigar", _present().alias("seq"), "ref", "slice_start", "quals", *more)
 
 
 def events(rows: DataFrame) -> DataFrame:
     """One row for each event of rows of with_contig: aln_id, kind, hp, n (bases), ref_pos, qual (null for gaps), gc (of the reference's base)."""
     shape = T.StructType([rows.schema["aln_id"], *T._parse_datatype_string("kind string, hp boolean, n int, ref_pos int, qual int, gc int").fields])
-    return rows.select("aln_id", "pos", "cigar", _present().alias("seq"), "ref", "slice_start", "quals").mapInArrow(_classified, shape)
+    return walked(rows).mapInArrow(_classified, shape)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from readqc_spark.functions.numeric import concordance_qv, error_of, fdiv, per, qual_of
-from readqc_spark.operators import intervals as iv
 from readqc_spark.operators.aln_stats import COUNTS
 
 BIN_COLUMNS = {"q_len": "q_len", "subread_passes": "np", "mapq": "mapq", "mean_qual": "mean_qual", "gc_content": "gc_content", "concordance_qv": "concordance_qv"}
@@ -44,50 +44,54 @@ def identity(stats: DataFrame, total: DataFrame) -> DataFrame:
 
 def cigars(rows: DataFrame) -> DataFrame:
     """cigar, length, count and its share of the operation's total. rows: with ops."""
-    each = rows.select(F.explode("ops").alias("o")).filter(F.col("o.op").isin("=", "X", "M", "I", "D")).groupBy(F.col("o.op").alias("cigar"), F.col("o.len").alias("length")).agg(F.count(F.lit(1)).alias("count"))
-    return each.withColumn("length_count_per_cigar", fdiv(F.col("count"), F.sum("count").over(W.partitionBy("cigar")))).orderBy("cigar", "length")
+    each = rows.select(F.explode("ops").alias("o")).filter(F.col("o.op").isin("=", "X", "M", "I", "D"))
+    return cigar_shares(each.groupBy(F.col("o.op").alias("cigar"), F.col("o.len").alias("length")).agg(F.count(F.lit(1)).alias("count")))
+
+
+def cigar_shares(counts: DataFrame) -> DataFrame:
+    """cigars() from counts: cigar, length, count."""
+    return counts.withColumn("length_count_per_cigar", fdiv(F.col("count"), F.sum("count").over(W.partitionBy("cigar")))).orderBy("cigar", "length")
+
+
+def bin_text(kind: str, step: float) -> str:
+    """A bin's specification as printed: whole numbers plainly, others by their shortest decimals, never with an exponent."""
+    return f"{kind}:{np.format_float_positional(step, trim='-')}" if kind in FLOAT_BINS else f"{kind}:{int(step)}"
 
 
 def bin_of(kind: str, step: float) -> Column:
     x = F.col(BIN_COLUMNS[kind])
     if kind in FLOAT_BINS:
-        return F.round(F.floor(x / F.lit(float(step))) * F.lit(float(step)), FLOAT_BINS[kind])
+        low = F.floor(F.when(~F.isnan(x), x) / F.lit(float(step))) * F.lit(float(step))
+        return F.when(F.isnan(x), x).otherwise(F.round(low, FLOAT_BINS[kind]))
     x = F.when(x.isNull(), F.raise_error(F.lit("Subread passes not found!"))).otherwise(x) if kind == "subread_passes" else x
     return (F.floor(x / F.lit(int(step))) * int(step)).cast("double")
 
 
 def bins(stats: DataFrame, specs: list[tuple[str, float]]) -> DataFrame:
     """bin_type, bin and rates for every spec (kind, step), all in one pass; ordered by spec, then by bin."""
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(f"{k}:{s:g}").alias("bin_type"), bin_of(k, s).alias("bin")) for i, (k, s) in enumerate(specs)]))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(bin_text(k, s)).alias("bin_type"), bin_of(k, s).alias("bin")) for i, (k, s) in enumerate(specs)]))
     g = stats.withColumn("b", each).groupBy("b.i", "b.bin_type", "b.bin").agg(F.count(F.lit(1)).alias("num_reads"), *_sums()).withColumn("identity", fdiv(F.col("matches"), F.col("matches") + _errors()))
     return g.orderBy("i", "bin").select("bin_type", "bin", "num_reads", _bases().alias("num_bases"), "identity", concordance_qv(F.col("identity"), F.col("identity") != 1.0).alias("identity_qv"), *[per(F.col(c), _bases(), 1000.0).alias(f"{c}_per_kbp") for c in COUNTS])
 
 
-def _kinds() -> list[Column]:
-    w = lambda cond: F.sum(F.when(cond, F.col("_n")))
-    k, hp = F.col("kind"), F.col("hp")
-    return [w(k == "match").alias("matches"), w(k == "mismatch").alias("mismatches"), w((k == "ins") & ~hp).alias("non_hp_ins"), w((k == "del") & ~hp).alias("non_hp_del"), w((k == "ins") & hp).alias("hp_ins"), w((k == "del") & hp).alias("hp_del")]
-
+def features(partials: DataFrame) -> DataFrame:
+    """One row for each feature. partials: of primary alignments, as intervals.attributed() gives them.
 
-def features(events: DataFrame, intervals: DataFrame) -> DataFrame:
-    """One row for each feature. events: of primary alignments; intervals: numbered."""
-    error = F.sum(F.when(F.col("kind").isin("match", "mismatch"), error_of(F.col("qual")))).alias("error")
-    each = iv.over_intervals(intervals, events, [*_kinds(), error])
-    weighted = lambda c: F.coalesce(F.sum(F.col(c) * F.col("n_same")), F.lit(0))
-    same = F.sum(F.when(F.col("identical"), F.col("n_same")).otherwise(0)).alias("same")
-    g = each.groupBy("feature_key").agg(F.sum("n_same").alias("intervals"), same, *[weighted(c).cast("long").alias(c) for c in COUNTS], weighted("error").alias("error"))
-    j = g.withColumn("identity", fdiv(F.col("matches"), F.col("matches") + _errors()))
+    Errors are summed up from integers by quality, in the order of the qualities, so the sum doesn't depend on the partitions.
+    """
+    mine = partials.filter("feature_key <> 'all_alignments' or not hist")
+    by = mine.filter("hist").groupBy("feature_key", "qual").agg(F.sum(F.col("matches") + F.col("mismatches")).alias("n"))
+    listed = by.filter("qual is not null").groupBy("feature_key").agg(F.array_sort(F.collect_list(F.struct("qual", "n"))).alias("hist"))
+    error = F.coalesce(F.aggregate("hist", F.lit(0.0), lambda a, x: a + x["n"] * error_of(x["qual"])), F.lit(0.0))
+    g = mine.filter("not hist").groupBy("feature_key").agg(F.sum("intervals").alias("intervals"), F.sum("identical").alias("same"), *_sums())
+    j = g.join(listed, "feature_key", "left").withColumns({"error": error, "identity": fdiv(F.col("matches"), F.col("matches") + _errors())})
     return j.orderBy("feature_key").select(
         F.trim("feature_key").alias("feature"), "intervals", fdiv(F.col("same"), F.col("intervals")).alias("identical_intervals"), "identity", concordance_qv(F.col("identity"), F.col("identity") != 1.0).alias("identity_qv"),
         qual_of(fdiv(F.col("error"), F.col("matches") + F.col("mismatches"))).alias("mean_qual"), per(_bases(), F.col("intervals")).alias("bases_per_interval"), *[per(F.col(c), F.col("intervals")).alias(f"{c}_per_interval") for c in COUNTS],
     )
 
 
-def qual_scores(events: DataFrame, intervals: DataFrame | None = None) -> DataFrame:
-    """feature, qual_score, empirical_qv: all alignments, and each feature where intervals (numbered) are given."""
-    aligned = events.filter(F.col("kind").isin("match", "mismatch"))
-    rows = aligned.select(F.lit("all_alignments").alias("feature_key"), "qual", "kind", F.lit(1).cast("long").alias("n"))
-    if intervals is not None:
-        rows = rows.unionByName(iv.stab(aligned, intervals).select("feature_key", "qual", "kind", F.col("n_same").alias("n")))
-    g = rows.groupBy("feature_key", "qual").agg(F.sum(F.when(F.col("kind") == "match", F.col("n")).otherwise(0)).alias("m"), F.sum("n").alias("t"))
+def qual_scores(partials: DataFrame) -> DataFrame:
+    """feature, qual_score, empirical_qv of all alignments and of each feature in partials (intervals.attributed())."""
+    g = partials.filter("hist").groupBy("feature_key", "qual").agg(F.sum("matches").alias("m"), F.sum(F.col("matches") + F.col("mismatches")).alias("t"))
     return g.orderBy("feature_key", "qual").select(F.trim("feature_key").alias("feature"), F.col("qual").alias("qual_score"), concordance_qv(fdiv(F.col("m"), F.col("t")), F.col("m") != F.col("t")).alias("empirical_qv"))

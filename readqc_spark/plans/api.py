@@ -6,10 +6,11 @@ import argparse
 import time
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readqc_spark.operators import aln_stats, pileup, summaries
+from readqc_spark.operators import aln_stats, onepass, pileup, summaries
 from readqc_spark.operators import intervals as iv
 from readqc_spark.sources import sinks, text
 from readqc_spark.sources.bam import bam
@@ -21,9 +22,9 @@ def bin_spec(s: str) -> tuple[str, float]:
     """kind:step; a third part is ignored."""
     parts = s.split(":")
     if len(parts) < 2:
-        raise ValueError("Step size not found! Expected <bin_type>:<step_size>")
+        raise ValueError(f"{s}: a kind and a step, joined by a colon, are wanted")
     if parts[0] not in BIN_KINDS:
-        raise ValueError("Invalid stat to bin across!")
+        raise ValueError(f"{parts[0]}: reads can be binned by {', '.join(BIN_KINDS)}")
     step = float(parts[1]) if parts[0] in summaries.FLOAT_BINS else int(parts[1])
     if step <= 0:
         raise ValueError("a step must be positive")
@@ -43,30 +44,35 @@ class Intervals:
         if any(w <= 0 for w in [*self.windows, *self.windows_pos, *self.borders]) or not all(self.matches):
             raise ValueError("widths must be positive and sequences not empty")
 
-    def of(self, rows: DataFrame) -> DataFrame | None:
-        kinds = [iv.homopolymers()] * self.homopolymers + [iv.windows(w) for w in self.windows] + [iv.windows(w, True) for w in self.windows_pos] + [iv.borders(w) for w in self.borders] + [iv.matches(m) for m in self.matches]
-        found = [iv.generated(rows, kinds)] if kinds else []
-        found += [iv.bed_overlap(rows, b) for b in self.beds]
-        out = None
-        for x in found:
-            out = x if out is None else out.unionByName(x)
-        return out
+    def kinds(self, rows: DataFrame) -> tuple[DataFrame, list]:
+        """(rows, generators); rows carry what large BED tables have for them."""
+        made = [iv.homopolymers()] if self.homopolymers else []
+        made += [iv.windows(w) for w in self.windows] + [iv.windows(w, True) for w in self.windows_pos] + [iv.borders(w) for w in self.borders] + [iv.matches(m) for m in self.matches]
+        rows, beds = iv.with_beds(rows, self.beds)
+        return rows, made + beds
 
 
 def analyze(alignments: DataFrame, contigs: DataFrame, intervals: Intervals | None = None, bins: list[str] | None = None) -> dict[str, DataFrame]:
-    """per_aln, yield, identity, cigar, qual_score; feature with intervals; bin with bins."""
+    """per_aln, yield, identity, cigar, qual_score; feature with intervals; bin with bins.
+
+    The alignments are read and walked once: all results come from one table of a row for each read and of integer sums, which Spark
+    keeps (in memory, else on disk) until the session ends or the caller clears its cache.
+    """
+    wanted = [bin_spec(b) for b in bins or []]
     bases = contigs.agg(F.sum("length")).first()[0] or 0
-    rows = pileup.with_contig(pileup.mapped_primary(alignments), contigs, bases)
-    stats = aln_stats.stats(rows)
-    main, mine = pileup.primary(stats), rows.filter(~pileup.flag(pileup.SUPPLEMENTARY))
-    events = pileup.events(mine)
-    within = intervals.of(mine) if intervals else None
-    numbered = iv.numbered(within) if within is not None else None
-    out = {"per_aln": stats, "yield": summaries.yields(main), "identity": summaries.identity(main, alignments.agg(F.count(F.lit(1)).alias("total_alns"))), "cigar": summaries.cigars(mine), "qual_score": summaries.qual_scores(events, numbered)}
-    if numbered is not None:
-        out["feature"] = summaries.features(events, numbered)
-    if bins:
-        out["bin"] = summaries.bins(main, [bin_spec(b) for b in bins])
+    counted = F.col("flags").bitwiseAND(pileup.UNMAPPED | pileup.SECONDARY) == 0
+    cleared = alignments.withColumns({"cigar": F.when(counted, F.col("cigar")), "chr": F.when(counted, F.col("chr"))})
+    rows, kinds = intervals.kinds(pileup.with_contig(cleared, contigs, bases)) if intervals else (pileup.with_contig(cleared, contigs, bases), [])
+    one = onepass.walked_once(rows, kinds).persist(StorageLevel.MEMORY_AND_DISK)
+    stats = aln_stats.derived(one.filter("aln is not null").select("aln.meta.*", "aln.q_len", "aln.mean_qual", *[f"aln.{t}" for t in pileup.TALLIES]))
+    main, partials = pileup.primary(stats), one.filter("feature_key is not null")
+    total = one.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total_alns"))
+    shares = one.filter("op is not null").groupBy(F.col("op").alias("cigar"), "length").agg(F.sum("count").alias("count"))
+    out = {"per_aln": stats, "yield": summaries.yields(main), "identity": summaries.identity(main, total), "cigar": summaries.cigar_shares(shares), "qual_score": summaries.qual_scores(partials)}
+    if kinds:
+        out["feature"] = summaries.features(partials)
+    if wanted:
+        out["bin"] = summaries.bins(main, wanted)
     return out
 
 
@@ -92,5 +98,5 @@ def main(args: list[str] | None = None) -> None:
         if name != "per_aln":
             sinks.one_file(sinks.named(df, a.name_column), f"{a.stats_prefix}.summary_{name}_stats.csv")
         elif not a.no_per_aln_stats:
-            sinks.one_file(sinks.named(sinks.per_aln(df), a.name_column), f"{a.stats_prefix}.per_aln_stats.csv.gz")
+            sinks.by_tasks(sinks.named(sinks.per_aln(df), a.name_column), f"{a.stats_prefix}.per_aln_stats.csv.gz")
     print(f"Run time (s): {int(time.monotonic() - began)}")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from readqc_spark.plans.simulated import BASES, CIGARS, LETTERS
+from readqc_spark.plans.simulated import BASES, CIGARS, LETTERS, SPANS
 
 _CIGAR = ", ".join(f"'{c}'" for c, _ in CIGARS)
-_LEN = ", ".join(str(n) for _, n in CIGARS)
+_LEN, _SPAN = ", ".join(str(n) for _, n in CIGARS), ", ".join(map(str, SPANS))
 _VIEWS = f"""
 contigs AS MATERIALIZED (SELECT 'ctg' || doc_id AS chr, doc_id, seq, length(seq)::INT AS length FROM (SELECT doc_id, regexp_replace(translate(lower(text), '{LETTERS}', '{BASES}'), '[^ACGTN]', '', 'g') AS seq FROM documents) WHERE length(seq) >= 200),
-a0 AS (SELECT *, doc_id * 4 + k AS aln_id, (1 + (doc_id * 13 + k * 37) % (length - 120))::INT AS pos, ([{_CIGAR}])[1 + (doc_id + k) % 4] AS cigar, ([{_LEN}])[1 + (doc_id + k) % 4]::INT AS n FROM contigs, (SELECT unnest([0, 1, 2, 3]) AS k)),
-alns AS MATERIALIZED (SELECT aln_id, 'read' || aln_id AS read_name, ((k % 2) * 16 + CASE WHEN aln_id % 11 = 0 THEN 2048 ELSE 0 END + CASE WHEN aln_id % 13 = 0 THEN 256 ELSE 0 END + CASE WHEN aln_id % 17 = 0 THEN 4 ELSE 0 END)::INT AS flags, chr, pos, CASE WHEN aln_id % 7 <> 0 THEN aln_id % 61 END::INT AS mapq, cigar, substr(seq, pos, n) AS seq, n,
+a0 AS (SELECT *, doc_id * 4 + k AS aln_id, CASE WHEN k = 3 THEN length - ([{_SPAN}])[1 + (doc_id + k) % {len(CIGARS)}] + 1 ELSE 1 + (doc_id * 13 + k * 37) % (length - 120) END::INT AS pos, ([{_CIGAR}])[1 + (doc_id + k) % {len(CIGARS)}] AS cigar, ([{_LEN}])[1 + (doc_id + k) % {len(CIGARS)}]::INT AS n FROM contigs, (SELECT unnest([0, 1, 2, 3]) AS k)),
+alns AS MATERIALIZED (SELECT aln_id, 'read' || aln_id AS read_name, ((k % 2) * 16 + CASE WHEN aln_id % 11 = 0 THEN 2048 ELSE 0 END + CASE WHEN aln_id % 13 = 0 THEN 256 ELSE 0 END + CASE WHEN aln_id % 17 = 0 THEN 4 ELSE 0 END)::INT AS flags, chr, pos, CASE WHEN aln_id % 7 <> 0 THEN aln_id % 61 END::INT AS mapq, cigar, rpad(substr(seq, pos, n), n, 'G') AS seq, n,
   CASE WHEN aln_id % 5 <> 0 THEN (aln_id % 40) / 4.0 END::DOUBLE AS ec, (1 + aln_id % 15)::INT AS np, CASE WHEN aln_id % 3 <> 0 THEN (aln_id % 1024) / 1024.0 END::DOUBLE AS rq FROM a0),
 bed AS (SELECT chr, (50 * j + 1)::INT AS start, (50 * j + 31 + 10 * (j % 3))::INT AS stop, 'f' || (j % 4) AS feature FROM contigs, range(0, 100000) r(j) WHERE 50 * j < length),
 toks AS (SELECT aln_id, pos, unnest(regexp_extract_all(cigar, '[0-9]+[A-Z=]')) AS t, generate_subscripts(regexp_extract_all(cigar, '[0-9]+[A-Z=]'), 1) - 1 AS op_i FROM alns),
@@ -19,22 +19,22 @@ spans AS (SELECT aln_id, sum(CASE WHEN op IN ('M', '=', 'X', 'D', 'N') THEN len
 m AS MATERIALIZED (SELECT a.*, c.seq AS contig, c.length AS contig_length, pos + span AS aln_end, (flags & 16) <> 0 AS rev, (flags & 2048) <> 0 AS supp FROM alns a JOIN spans USING (aln_id) JOIN contigs c USING (chr) WHERE (flags & 260) = 0),
 per_base AS (SELECT aln_id, op, ref_start + j AS p, query_start + j AS q FROM ops, range(0, 100) r(j) WHERE j < len AND op IN ('M', '=', 'X', 'D')),
 bases AS (SELECT b.*, m.supp, substr(contig, p::BIGINT, 1) AS r, CASE WHEN p > 1 THEN substr(contig, p - 1, 1) ELSE '' END AS r0, substr(contig, p + 1, 1) AS r1, substr(seq, q, 1) AS s, 2 + (aln_id * 7 + q * 13) % 40 AS qual FROM per_base b JOIN m USING (aln_id)),
-ins AS (SELECT o.aln_id, m.supp, ref_start AS p, len AS n, (x = repeat(substr(contig, ref_start, 1), len) OR x = repeat(substr(contig, ref_start + 1, 1), len)) AS hp FROM (SELECT o.*, substr(a.seq, query_start, len) AS x FROM ops o JOIN alns a USING (aln_id) WHERE op = 'I') o JOIN m USING (aln_id)),
+ins AS (SELECT o.aln_id, m.supp, ref_start AS p, len AS n, (x = repeat(substr(contig, ref_start, 1), len) OR x = repeat(substr(contig, ref_start + 1, 1), len)) AS hp FROM (SELECT o.*, substr(a.seq, query_start, len) AS x FROM ops o JOIN alns a USING (aln_id) WHERE op = 'I' AND len > 0) o JOIN m USING (aln_id)),
 ev AS MATERIALIZED (
   SELECT aln_id, supp, CASE WHEN op = '=' OR (op = 'M' AND r = s) THEN 'match' ELSE 'mismatch' END AS kind, false AS hp, 1 AS n, p::INT AS ref_pos, qual::INT AS qual, CASE WHEN r IN ('C', 'G') THEN 1 ELSE 0 END AS gc FROM bases WHERE op <> 'D'
   UNION ALL SELECT aln_id, supp, 'del', r = r0 OR r = r1, 1, p::INT, NULL, CASE WHEN r IN ('C', 'G') THEN 1 ELSE 0 END FROM bases WHERE op = 'D'
   UNION ALL SELECT aln_id, supp, 'ins', hp, n, p, NULL, 0 FROM ins),
 cnt AS (SELECT aln_id, sum(CASE WHEN kind = 'match' THEN n ELSE 0 END)::BIGINT AS matches, sum(CASE WHEN kind = 'mismatch' THEN n ELSE 0 END)::BIGINT AS mismatches, sum(CASE WHEN kind = 'ins' AND NOT hp THEN n ELSE 0 END)::BIGINT AS non_hp_ins, sum(CASE WHEN kind = 'del' AND NOT hp THEN n ELSE 0 END)::BIGINT AS non_hp_del, sum(CASE WHEN kind = 'ins' AND hp THEN n ELSE 0 END)::BIGINT AS hp_ins, sum(CASE WHEN kind = 'del' AND hp THEN n ELSE 0 END)::BIGINT AS hp_del, sum(gc)::BIGINT AS gc FROM ev GROUP BY 1),
 gaps AS (SELECT aln_id, count(*) FILTER (op = 'I') AS gap_ins, count(*) FILTER (op = 'D') AS gap_del FROM ops GROUP BY 1),
-mq AS (SELECT aln_id, round(-10 * log10(avg(pow(10.0, -(2 + (aln_id * 7 + i * 13) % 40) / 10.0))))::INT AS mean_qual FROM alns, range(1, 62) r(i) WHERE i <= n GROUP BY 1),
+mq AS (SELECT aln_id, round(-10 * log10(avg(pow(10.0, -(2 + (aln_id * 7 + i * 13) % 40) / 10.0))))::INT AS mean_qual FROM alns, range(1, 121) r(i) WHERE i <= n GROUP BY 1),
 st0 AS (SELECT m.*, c.* EXCLUDE (aln_id), gap_ins, gap_del, mean_qual, mismatches + non_hp_ins + non_hp_del + hp_ins + hp_del AS errors, matches + mismatches + non_hp_del + hp_del AS bases FROM m JOIN cnt c USING (aln_id) JOIN gaps USING (aln_id) JOIN mq USING (aln_id)),
 st AS MATERIALIZED (SELECT *, gc / bases AS gc_content, matches / (matches + errors) AS concordance, CASE WHEN errors > 0 THEN -10 * log10(1 - matches / (matches + errors)) ELSE 75.0 END AS qv FROM st0),
 pr AS (SELECT * FROM st WHERE NOT supp),
-iw(aln_id, supp, start, stop, feature_key) AS (SELECT aln_id, supp, (CASE WHEN rev THEN greatest(aln_end - o - 20, pos) ELSE pos + o END)::INT, (CASE WHEN rev THEN aln_end - o ELSE least(pos + o + 20, aln_end) END)::INT, 'window_20' FROM m, range(0, 100, 20) r(o) WHERE o < aln_end - pos),
-iwp(aln_id, supp, start, stop, feature_key) AS (SELECT aln_id, supp, (CASE WHEN rev THEN greatest(aln_end - o - 25, pos) ELSE pos + o END)::INT, (CASE WHEN rev THEN aln_end - o ELSE least(pos + o + 25, aln_end) END)::INT, 'window_25_pos_' || o FROM m, range(0, 100, 25) r(o) WHERE o < aln_end - pos),
-ib(aln_id, supp, start, stop, feature_key) AS (SELECT aln_id, supp, greatest(b - 2, pos)::INT, least(b + 2, aln_end)::INT, 'border_15' FROM (SELECT *, CASE WHEN rev THEN aln_end - o ELSE pos + o END AS b FROM m, range(15, 100, 15) r(o) WHERE o < aln_end - pos)),
-im(aln_id, supp, start, stop, feature_key) AS (SELECT aln_id, supp, i::INT, (i + 3)::INT, 'ACG' FROM m, range(0, 100) r(j), LATERAL (SELECT pos + j AS i) WHERE i + 3 <= aln_end AND substr(contig, i, 3) = CASE WHEN rev THEN 'CGT' ELSE 'ACG' END),
-hb AS (SELECT aln_id, supp, rev, pos + j AS p, substr(contig, pos + j, 1) AS r FROM m, range(0, 100) r(j) WHERE pos + j < aln_end),
+iw(aln_id, supp, start, stop, feature_key) AS (SELECT aln_id, supp, (CASE WHEN rev THEN greatest(aln_end - o - 20, pos) ELSE pos + o END)::INT, (CASE WHEN rev THEN aln_end - o ELSE least(pos + o + 20, aln_end) END)::INT, 'window_20' FROM m, range(0, 120, 20) r(o) WHERE o < aln_end - pos),
+iwp(aln_id, supp, start, stop, feature_key) AS (SELECT aln_id, supp, (CASE WHEN rev THEN greatest(aln_end - o - 25, pos) ELSE pos + o END)::INT, (CASE WHEN rev THEN aln_end - o ELSE least(pos + o + 25, aln_end) END)::INT, 'window_25_pos_' || o FROM m, range(0, 125, 25) r(o) WHERE o < aln_end - pos),
+ib(aln_id, supp, start, stop, feature_key) AS (SELECT aln_id, supp, greatest(b - 2, pos)::INT, least(b + 2, aln_end)::INT, 'border_15' FROM (SELECT *, CASE WHEN rev THEN aln_end - o ELSE pos + o END AS b FROM m, range(15, 120, 15) r(o) WHERE o < aln_end - pos)),
+im(aln_id, supp, start, stop, feature_key) AS (SELECT aln_id, supp, i::INT, (i + 3)::INT, 'ACG' FROM m, range(0, 120) r(j), LATERAL (SELECT pos + j AS i) WHERE i + 3 <= aln_end AND substr(contig, i, 3) = CASE WHEN rev THEN 'CGT' ELSE 'ACG' END),
+hb AS (SELECT aln_id, supp, rev, pos + j AS p, substr(contig, pos + j, 1) AS r FROM m, range(0, 120) r(j) WHERE pos + j < aln_end),
 hr AS (SELECT *, p - row_number() OVER (PARTITION BY aln_id, r ORDER BY p) AS run FROM hb),
 ih(aln_id, supp, start, stop, feature_key) AS (SELECT aln_id, any_value(supp), min(p)::INT, (max(p) + 1)::INT, lpad(count(*)::VARCHAR, 5, ' ') || CASE WHEN any_value(rev) THEN translate(r, 'ACGTN', 'TGCAN') ELSE r END FROM hr GROUP BY aln_id, r, run HAVING count(*) >= 2),
 io(aln_id, supp, start, stop, feature_key) AS (SELECT aln_id, supp, b.start, b.stop, feature FROM m JOIN bed b ON m.chr = b.chr AND b.start < aln_end AND b.stop > pos),
@@ -77,6 +77,10 @@ _SELECTS = {
     "aln_stats_table": "SELECT aln_id, bases AS read_len, round(bases / contig_length, 6) AS ref_cov, round(gc_content, 6) AS gc_content, round(concordance, 6) AS concordance, round(matches / (matches + mismatches + gap_ins + gap_del), 6) AS concordance_gc, round(qv, 6) AS concordance_qv, mean_qual, errors FROM st",
     "aln_mean_qual": "SELECT aln_id, mean_qual FROM mq",
     "join_contig": "SELECT aln_id, contig_length, substr(contig, greatest(pos - 1, 1), aln_end - greatest(pos - 1, 1) + 3) AS slice FROM m",
+    "join_contig_broadcast": "SELECT aln_id, contig_length, substr(contig, greatest(pos - 1, 1), aln_end - greatest(pos - 1, 1) + 3) AS slice FROM m",
+    **dict.fromkeys(("src_fasta", "src_fasta_gz"), "SELECT chr, length, md5(seq) AS seq_md5 FROM contigs"),
+    "src_bed_file": "SELECT * FROM bed",
+    **dict.fromkeys(("src_sam", "src_bam"), "SELECT read_name, flags, chr, pos, coalesce(mapq, 255) AS mapq, cigar, seq, array_to_string(list_transform(range(1, n + 1), lambda i: 2 + (aln_id * 7 + i * 13) % 40), ',') AS quals, coalesce(ec, -1) AS ec, np, coalesce(rq, -1) AS rq FROM alns"),
     "join_bed_overlap": f"SELECT {_IVCOLS} FROM io",
     "intervals_bed": "SELECT feature_key, count(*) AS intervals, sum(start)::BIGINT AS starts, sum(stop)::BIGINT AS stops FROM io GROUP BY 1",
     "join_base_interval": "SELECT feature_key, kind, count(*) AS hits, sum(ref_pos)::BIGINT AS places FROM stab GROUP BY 1, 2",

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from readqc_spark.functions import numeric as nm
 from readqc_spark.operators import aln_stats, cigar, pileup, summaries
 from readqc_spark.operators import intervals as iv
+from readqc_spark.plans import files
 from readqc_spark.plans import simulated as sim
+from readqc_spark.sources import bam, text
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,18 +51,21 @@ def events(spark, d):
     return pileup.events(rows(spark, d))
 
 
-def primary_events(spark, d):
-    return pileup.events(primary_rows(spark, d))
-
-
 def stats(spark, d):
     return aln_stats.stats(rows(spark, d))
 
 
-def all_intervals(spark, d, r=None):
-    r = rows(spark, d) if r is None else r
-    made = iv.generated(r, [iv.homopolymers(), iv.windows(20), iv.windows(25, True), iv.borders(15), iv.matches("acg")])
-    return made.unionByName(iv.bed_overlap(r, sim.bed(contigs(spark, d))))
+KINDS = (iv.homopolymers, lambda: iv.windows(20), lambda: iv.windows(25, True), lambda: iv.borders(15), lambda: iv.matches("acg"))
+
+
+def with_kinds(spark, d, r):
+    """(rows, all generators), the BED table among them."""
+    r, beds = iv.with_beds(r, [sim.bed(contigs(spark, d))])
+    return r, [k() for k in KINDS] + beds
+
+
+def all_intervals(spark, d):
+    return iv.generated(*with_kinds(spark, d, rows(spark, d)))
 
 
 @query
@@ -68,6 +73,35 @@ def src_contigs(spark, d):
     return contigs(spark, d).select("chr", "length", F.md5("seq").alias("seq_md5"))
 
 
+def _fasta(compression: str) -> Query:
+    return lambda spark, d: text.fasta(spark, files.fasta(contigs(spark, d), compression)).select("chr", "length", F.md5("seq").alias("seq_md5"))
+
+
+QUERIES |= {"src_fasta": _fasta("none"), "src_fasta_gz": _fasta("gzip")}
+
+
+@query
+def src_bed_file(spark, d):
+    return text.bed(spark, files.bed(sim.bed(contigs(spark, d))))
+
+
+def _shown(a: DataFrame) -> DataFrame:
+    quals = F.array_join(F.transform("quals", lambda q: q.cast("string")), ",").alias("quals")
+    float_ = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(-1.0)).alias(c)
+    return a.select("read_name", "flags", "chr", "pos", F.coalesce("mapq", F.lit(255)).alias("mapq"), "cigar", "seq", quals, float_("ec"), "np", float_("rq"))
+
+
+@query
+def src_sam(spark, d):
+    return _shown(text.sam(spark, files.sam(alns(spark, d))))
+
+
+@query
+def src_bam(spark, d):
+    """BAM files written from the alignments, read in splits of some 64 KB, so that records go from one into the next."""
+    return _shown(bam.bam(spark, files.bam(alns(spark, d), contigs(spark, d)), split=1 << 16))
+
+
 @query
 def src_alignments(spark, d):
     return alns(spark, d).select("aln_id", "read_name", "flags", "chr", "pos", F.coalesce("mapq", F.lit(255)).alias("mapq"), "cigar", "seq", F.array_join(F.transform("quals", lambda q: q.cast("string")), ",").alias("quals"))
@@ -111,7 +145,7 @@ def cigar_span(spark, d):
 
 @query
 def cigar_coords(spark, d):
-    return alns(spark, d).select("aln_id", F.posexplode(cigar.coords(cigar.ops(F.col("cigar")), F.col("pos"))).alias("op_i", "o")).select("aln_id", "op_i", "o.op", "o.len", "o.ref_start", "o.query_start")
+    return alns(spark, d).select("aln_id", F.posexplode(cigar.coords(F.col("cigar"), F.col("pos"))).alias("op_i", "o")).select("aln_id", "op_i", "o.op", "o.len", "o.ref_start", "o.query_start")
 
 
 @query
@@ -159,6 +193,11 @@ def join_contig(spark, d):
     return rows(spark, d).select("aln_id", "contig_length", F.col("ref").alias("slice"))
 
 
+@query
+def join_contig_broadcast(spark, d):
+    return pileup.with_contig(mapped(spark, d), contigs(spark, d), 0).select("aln_id", "contig_length", F.col("ref").alias("slice"))
+
+
 @query
 def join_bed_overlap(spark, d):
     return iv.bed_overlap(rows(spark, d), sim.bed(contigs(spark, d)))
@@ -169,14 +208,13 @@ QUERIES["intervals_bed"] = lambda spark, d: join_bed_overlap(spark, d).groupBy("
 
 @query
 def join_base_interval(spark, d):
-    hit = iv.stab(events(spark, d), iv.numbered(all_intervals(spark, d)))
-    return hit.groupBy("feature_key", "kind").agg(F.sum("n_same").cast("long").alias("hits"), F.sum(F.col("n_same") * F.col("ref_pos")).cast("long").alias("places"))
+    return iv.stabbed(*with_kinds(spark, d, rows(spark, d)))
 
 
 @query
 def identical_intervals(spark, d):
-    i = iv.identical(iv.numbered(all_intervals(spark, d)), events(spark, d))
-    return i.groupBy("feature_key").agg(F.sum("n_same").alias("intervals"), F.sum(F.when(F.col("identical"), F.col("n_same")).otherwise(0)).alias("identical"))
+    sums = iv.attributed(*with_kinds(spark, d, rows(spark, d)), everything=False).filter("not hist")
+    return sums.groupBy("feature_key").agg(F.sum("intervals").alias("intervals"), F.sum("identical").alias("identical"))
 
 
 def _made(kind) -> Query:
@@ -230,14 +268,12 @@ def summary_cigar(spark, d):
 
 @query
 def summary_feature(spark, d):
-    r = primary_rows(spark, d)
-    return _rounded(summaries.features(primary_events(spark, d), iv.numbered(all_intervals(spark, d, r))))
+    return _rounded(summaries.features(iv.attributed(*with_kinds(spark, d, primary_rows(spark, d)))))
 
 
 @query
 def summary_qual_score(spark, d):
-    r = primary_rows(spark, d)
-    return _rounded(summaries.qual_scores(primary_events(spark, d), iv.numbered(iv.generated(r, [iv.windows(20), iv.homopolymers()]))))
+    return _rounded(summaries.qual_scores(iv.attributed(primary_rows(spark, d), [iv.windows(20), iv.homopolymers()])))
 
 
 def _bins(kind: str, step: float) -> Query:

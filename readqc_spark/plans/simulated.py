@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 # What letters become, and the CIGAR strings with the lengths of the reads that fit them.
 LETTERS, BASES = "abcdefghijklmnopqrstuvwxyz", "AACCGGTTAACCGGTTAACCGGTTAN"
-CIGARS = [("60M", 60), ("5S20M2I20M3D10M4S", 61), ("20=1X19=", 40), ("10M30N10M1I10M", 31)]
+CIGARS = [("60M", 60), ("5S20M2I20M3D10M4S", 61), ("20=1X19=", 40), ("10M30N10M1I10M", 31), ("3H10M0I0D15M2H", 25), ("1=1X" * 55, 110), ("1M1I1M1D" * 30, 90), ("2S30M2I", 34)]
+SPANS = [60, 53, 40, 60, 25, 110, 90, 30]
 SHORTEST, COPIES = 200, 4
 
 
@@ -27,13 +28,13 @@ def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def alignments(contig: DataFrame) -> DataFrame:
     a = contig.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1)))).withColumn("aln_id", F.col("doc_id") * COPIES + F.col("k"))
-    which = ((F.col("doc_id") + F.col("k")) % 4).cast("int")
-    a = a.withColumns({"pos": (1 + (F.col("doc_id") * 13 + F.col("k") * 37) % (F.col("length") - 120)).cast("int"), "cigar": F.get(F.array(*[F.lit(c) for c, _ in CIGARS]), which), "q_len": F.get(F.array(*[F.lit(n) for _, n in CIGARS]), which)})
+    which = ((F.col("doc_id") + F.col("k")) % len(CIGARS)).cast("int")
+    a = a.withColumns({"pos": F.when(F.col("k") == 3, F.col("length") - F.get(F.array(*[F.lit(n) for n in SPANS]), which) + 1).otherwise(1 + (F.col("doc_id") * 13 + F.col("k") * 37) % (F.col("length") - 120)).cast("int"), "cigar": F.get(F.array(*[F.lit(c) for c, _ in CIGARS]), which), "q_len": F.get(F.array(*[F.lit(n) for _, n in CIGARS]), which)})
     i = F.col("aln_id")
     flags = F.when(F.col("k") % 2 == 1, 16).otherwise(0) + F.when(i % 11 == 0, 2048).otherwise(0) + F.when(i % 13 == 0, 256).otherwise(0) + F.when(i % 17 == 0, 4).otherwise(0)
     quals = F.transform(F.sequence(F.lit(1), F.col("q_len")), lambda x: (2 + (i * 7 + x * 13) % 40).cast("int"))
     return a.select(
-        "aln_id", F.concat(F.lit("read"), i.cast("string")).alias("read_name"), flags.alias("flags"), "chr", "pos", F.when(i % 7 != 0, i % 61).cast("int").alias("mapq"), "cigar", F.substring("seq", F.col("pos"), F.col("q_len")).alias("seq"), quals.alias("quals"),
+        "aln_id", F.concat(F.lit("read"), i.cast("string")).alias("read_name"), flags.alias("flags"), "chr", "pos", F.when(i % 7 != 0, i % 61).cast("int").alias("mapq"), "cigar", F.rpad(F.substring("seq", F.col("pos"), F.col("q_len")), F.col("q_len"), F.lit("G")).alias("seq"), quals.alias("quals"),
         F.when(i % 5 != 0, (i % 40) / 4.0).cast("float").alias("ec"), (1 + i % 15).cast("int").alias("np"), F.when(i % 3 != 0, (i % 1024) / 1024.0).cast("float").alias("rq"),
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -27,6 +27,12 @@ def sam(spark: SparkSession, path: str) -> DataFrame:
     # Header lines are filtered, but a cast may be planned ahead of that filter, so it must not see them.
     at = lambda k: F.when(~F.startswith("value", F.lit("@")), F.get(p, F.lit(k)))
     tags = F.slice(p, 12, F.greatest(F.size(p) - 11, F.lit(0)))
-    tag = lambda name: F.get(F.transform(F.filter(tags, lambda t: F.startswith(t, F.lit(name + ":"))), lambda t: F.substring(t, 6, 1_000_000)), F.lit(0))
+
+    def tag(name: str, kind: str) -> Column:
+        """A tag's value; one of another type raises."""
+        found = F.get(F.filter(tags, lambda t: F.startswith(t, F.lit(name + ":"))), F.lit(0))
+        wrong = F.raise_error(F.concat(F.lit("tag of another type than expected: "), found))
+        return F.when(F.startswith(found, F.lit(f"{name}:{kind}:")), F.substring(found, 6, 1_000_000)).when(found.isNotNull(), wrong)
+
     quals = F.when(at(10) == "*", F.expr("cast(array() as array<int>)")).otherwise(F.transform(F.filter(F.split(at(10), ""), lambda c: c != ""), lambda c: F.ascii(c) - 33))
-    return rows.select("aln_id", at(0).alias("read_name"), at(1).cast("int").alias("flags"), F.when(at(2) != "*", at(2)).alias("chr"), at(3).cast("int").alias("pos"), F.when(at(4) != "255", at(4)).cast("int").alias("mapq"), at(5).alias("cigar"), at(9).alias("seq"), quals.alias("quals"), tag("ec").cast("float").alias("ec"), tag("np").cast("int").alias("np"), tag("rq").cast("float").alias("rq"))
+    return rows.select("aln_id", at(0).alias("read_name"), at(1).cast("int").alias("flags"), F.when(at(2) != "*", at(2)).alias("chr"), at(3).cast("int").alias("pos"), F.when(at(4) != "255", at(4)).cast("int").alias("mapq"), at(5).alias("cigar"), at(9).alias("seq"), quals.alias("quals"), tag("ec", "f").cast("float").alias("ec"), tag("np", "i").cast("int").alias("np"), tag("rq", "f").cast("float").alias("rq"))

@@ -59,7 +59,7 @@ def test_reverse_windows_and_borders(spark, tables):
 def test_rejections(spark, tables):
     for flags_chr_cigar in ((0, "c9", "1M"), (0, "c1", "1P"),):
         one = spark.createDataFrame([(1, "x", flags_chr_cigar[0], flags_chr_cigar[1], 1, 60, flags_chr_cigar[2], "A", [30], None, None, None)], SCHEMA)
-        with pytest.raises(Exception, match="contig not in|Unexpected CIGAR"):
+        with pytest.raises(Exception, match="no such contig|operation that isn"):
             analyze(one, tables[1])["per_aln"].collect()
     for bad in ("q_len", "size:3", "q_len:0"):
         with pytest.raises(ValueError):
