@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from readqc_spark.functions.numeric import concordance_qv, fdiv, mean_qual
-from readqc_spark.operators import pileup
+from readqc_spark.functions.numeric import concordance_qv, fdiv, mean_quals
+from readqc_spark.operators import cigar, pileup
 from readqc_spark.operators.pileup import REVERSE, SUPPLEMENTARY, flag
 
 COUNTS = ("matches", "mismatches", "non_hp_ins", "non_hp_del", "hp_ins", "hp_del")
@@ -15,10 +20,18 @@ COUNTS = ("matches", "mismatches", "non_hp_ins", "non_hp_del", "hp_ins", "hp_del
 META = ("aln_id", "read_name", "chr", "pos", "flags", "mapq", "ec", "np", "rq", "contig_length")
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for c, w in pileup.slabs(b):
+            more = [pa.array(np.diff(cigar.text_of(c["seq"])[1]).astype(np.int32)), pa.array(mean_quals(c["quals"])), *[pa.array(x) for x in pileup._counts(w, len(c["pos"]))]]
+            yield pa.RecordBatch.from_arrays([c[m] for m in META] + more, [*META, "q_len", "mean_qual", *pileup.TALLIES])
+
+
 def stats(rows: DataFrame) -> DataFrame:
     """The per-alignment table of rows of with_contig: identity columns, counts and what derives from them."""
-    counted = pileup.tallies(rows)
-    return derived(counted.withColumns({"q_len": F.length("seq"), "mean_qual": mean_qual(F.col("quals"))}))
+    more = T._parse_datatype_string("q_len int, mean_qual int, " + ", ".join(f"{t} long" for t in pileup.TALLIES)).fields
+    shape = T.StructType([*rows.select(*META).schema.fields, *more])
+    return derived(pileup.walked(rows, *[m for m in META if m not in ("aln_id", "pos")]).mapInArrow(_counted, shape))
 
 
 def derived(counted: DataFrame) -> DataFrame:

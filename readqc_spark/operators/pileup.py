@@ -21,8 +21,6 @@ from readqc_spark.operators import cigar
 UNMAPPED, REVERSE, SECONDARY, SUPPLEMENTARY = 0x4, 0x10, 0x100, 0x800
 #: Contigs of so many bases together are broadcast; of larger assemblies, tiles of TILE bases and OVERLAP more are joined by place.
 BROADCAST_BASES, TILE, OVERLAP = 64 << 20, 1 << 18, 1 << 16
-#: The names and lengths of so many contigs are broadcast.
-BROADCAST_CONTIGS = 500_000
 SLAB = 1 << 20
 KINDS = ("match", "mismatch", "ins", "del")
 MATCH, MISMATCH, INS, DEL = range(4)
@@ -61,33 +59,30 @@ def with_contig(alignments: DataFrame, contigs: DataFrame, total_bases: int | No
 
 
 def _there(found: Column) -> Column:
-    return F.when(found.isNull() & _counted(), F.raise_error(F.concat(F.lit("no such contig in the FASTA file: "), F.coalesce("chr", F.lit("null"))))).otherwise(found)
+    return F.when(found.isNull() & _counted(), F.raise_error(F.concat(F.lit("no such contig (or no such place in it) in the FASTA file: "), F.coalesce("chr", F.lit("null"))))).otherwise(found)
 
 
 def _with_tiles(rows: DataFrame, contigs: DataFrame) -> DataFrame:
     """with_contig by an equality join on the contig and the tile in which a read's slice begins.
 
     No contig is moved or held whole but where it is cut up. A tile goes OVERLAP bases into the next, so most reads need one; one that
-    goes further (long, or with a wide gap) gathers its pieces of all tiles by its aln_id.
+    goes further (long, or with a wide gap) gathers its pieces of all tiles by its aln_id. For these the alignments are scanned again.
     """
-    names = contigs.select(F.col("chr").alias("_chr"), F.length("seq").alias("contig_length"))
-    names = F.broadcast(names) if names.limit(BROADCAST_CONTIGS + 1).count() <= BROADCAST_CONTIGS else names
     cut = contigs.select(F.col("chr").alias("_chr"), "seq", F.explode(F.sequence(F.lit(0), F.floor((F.greatest(F.length("seq"), F.lit(1)) - 1) / TILE).cast("int"))).alias("_tile"))
-    tiles = cut.select("_chr", "_tile", F.upper(F.substring("seq", F.col("_tile") * TILE + 1, F.lit(TILE + OVERLAP))).alias("_seq"))
-    rows = rows.join(names, F.col("chr") == F.col("_chr"), "left").drop("_chr").withColumn("contig_length", _there(F.col("contig_length")))
-    first, last = F.floor((F.col("slice_start") - 1) / TILE).cast("int"), F.floor((F.least(F.col("aln_end") + 2, F.col("contig_length")) - 1) / TILE).cast("int")
-    rows = rows.withColumns({"_first": first, "_last": F.greatest(first, last)})
-    one = F.least(F.col("aln_end") + 2, F.col("contig_length")) <= (F.col("_first") + 1) * TILE + OVERLAP
-    size = F.col("aln_end") - F.col("slice_start") + 3
+    tiles = cut.select("_chr", "_tile", F.upper(F.substring("seq", F.col("_tile") * TILE + 1, F.lit(TILE + OVERLAP))).alias("_seq"), F.length("seq").alias("contig_length"))
+    last = F.floor((F.col("aln_end") + 1) / TILE).cast("int")
+    rows = rows.withColumn("_first", F.floor((F.col("slice_start") - 1) / TILE).cast("int"))
+    one = F.coalesce(F.col("aln_end") + 2 <= (F.col("_first") + 1) * TILE + OVERLAP, F.lit(True))
     near = rows.filter(one).join(tiles, (F.col("chr") == F.col("_chr")) & (F.col("_first") == F.col("_tile")), "left")
-    near = near.withColumn("ref", F.coalesce(F.substring("_seq", F.col("slice_start") - F.col("_first") * TILE, size), F.lit("")))
+    near = near.withColumn("ref", F.substring("_seq", F.col("slice_start") - F.col("_first") * TILE, F.col("aln_end") - F.col("slice_start") + 3))
     far = rows.filter(~one)
-    parts = far.select("aln_id", "chr", "slice_start", "aln_end", F.explode(F.sequence("_first", "_last")).alias("_at")).join(tiles, (F.col("chr") == F.col("_chr")) & (F.col("_at") == F.col("_tile")))
+    parts = far.select("aln_id", "chr", "slice_start", "aln_end", F.explode(F.sequence("_first", last)).alias("_at")).join(tiles, (F.col("chr") == F.col("_chr")) & (F.col("_at") == F.col("_tile")))
     low, high = F.greatest(F.col("slice_start"), F.col("_at") * TILE + 1), F.least(F.col("aln_end") + 2, (F.col("_at") + 1) * TILE)
-    parts = parts.select("aln_id", "_at", F.substring("_seq", low - F.col("_at") * TILE, high - low + 1).alias("_piece"))
-    whole = parts.groupBy("aln_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_piece"))), lambda x: x["_piece"]), "").alias("ref"))
-    far = far.join(whole, "aln_id", "left").withColumn("ref", F.coalesce("ref", F.lit("")))
-    return near.drop("_chr", "_tile", "_seq", "_first", "_last").unionByName(far.drop("_first", "_last"))
+    parts = parts.select("aln_id", "_at", F.substring("_seq", low - F.col("_at") * TILE, high - low + 1).alias("_piece"), "contig_length")
+    gathered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_piece"))), lambda x: x["_piece"]), "")
+    far = far.join(parts.groupBy("aln_id").agg(F.max("contig_length").alias("contig_length"), gathered.alias("ref")), "aln_id", "left")
+    out = near.drop("_chr", "_tile", "_seq", "_first").unionByName(far.drop("_first"))
+    return out.withColumns({"contig_length": _there(F.col("contig_length")), "ref": _there(F.col("ref"))})
 
 
 class Walk(NamedTuple):
@@ -183,20 +178,6 @@ def _counts(w: Walk, rows: int) -> np.ndarray:
     return np.stack([np.bincount(w.row[x], w.n[x], rows) for x in wanted] + list(w.gaps)).astype(np.int64)
 
 
-def _tally(pos: pa.Array, cigars: pa.Array, seq: pa.Array, ref: pa.Array, slice_start: pa.Array) -> pa.Array:
-    columns, parts = (pos, cigars, seq, ref, slice_start), []
-    for some in _slabs(seq, ref):
-        parts.append(_counts(walk(*[c[some] for c in columns]), some.stop - some.start))
-    all_rows = np.concatenate(parts, axis=1) if parts else np.zeros((len(TALLIES), 0), np.int64)
-    return pa.StructArray.from_arrays([pa.array(x) for x in all_rows], list(TALLIES))
-
-
-def tallies(rows: DataFrame) -> DataFrame:
-    """rows of with_contig with each read's TALLIES; no shuffle, and only the bases go to Python."""
-    count = F.arrow_udf(_tally, ", ".join(f"{t} long" for t in TALLIES))
-    return rows.withColumn("_t", count("pos", "cigar", _present(), "ref", "slice_start")).select("*", "_t.*").drop("_t")
-
-
 def _quals(w: Walk, quals: pa.Array) -> pa.Array:
     """The quality of each event; null for gaps and where the read has none."""
     q = quals.fill_null([]) if quals.null_count else quals

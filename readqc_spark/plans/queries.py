@@ -40,7 +40,9 @@ def mapped(spark, d):
 
 
 def rows(spark, d):
-    return pileup.with_contig(mapped(spark, d), contigs(spark, d))
+    """Reads with their slices. Contigs have a base for each letter of a text at most, which bounds what may be broadcast."""
+    letters = spark.read.parquet(f"{d}/documents.parquet").agg(F.sum("n_chars")).first()[0] or 0
+    return pileup.with_contig(mapped(spark, d), contigs(spark, d), letters)
 
 
 def primary_rows(spark, d):
@@ -190,7 +192,7 @@ def aln_mean_qual(spark, d):
 
 @query
 def join_contig(spark, d):
-    return rows(spark, d).select("aln_id", "contig_length", F.col("ref").alias("slice"))
+    return pileup.with_contig(mapped(spark, d), contigs(spark, d)).select("aln_id", "contig_length", F.col("ref").alias("slice"))
 
 
 @query
