@@ -4,11 +4,14 @@ Base spans come from four patterns. Each protected value (an address, a number)
 entity, outside base spans, are its candidate terms; over the whole corpus, a term's pointwise mutual information with an entity is
 compared to the entity's own information content, log2(N / n(e)), all counts being of whole texts. Terms that disclose at least SHARE
 of it, in at least SUPPORT documents, are marked as spans wherever they stand in any text, and sanitise() puts a general word in their place or removes them. DataFrame functions alone are used:
-matches come from regexp_extract_all and their places from the lengths of what split() leaves between them.
+matches come from regexp_extract_all and their places from the lengths of what split() leaves between them. A text's matches are
+gone through in blocks of about the root of their number, as a fold copies what it has gathered for each of them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,18 +31,41 @@ NAME = r"\p{L}[\p{L}\p{M}'\x2d]{2,}+"
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), value computed once however often use reads it, in lambdas too."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def in_blocks(items: Column, step, join, use) -> Column:
+    """An array of use(block, before, after) for blocks of items. step and join fold numbers from 0: before and after are the folds of
+    all items before the block and through it."""
+
+    def blocked(x: Column) -> Column:
+        size = F.greatest(F.ceil(F.sqrt(F.size(x).cast("double"))), F.lit(1)).cast("int")
+        return let(size, lambda n: F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(x) - 1, F.lit(0)) / n).cast("int")), lambda k: F.slice(x, k * n + 1, n)))
+
+    def folded(blocks: Column) -> Column:
+        ends = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), step))
+        return let(ends, lambda e: F.transform(blocks, lambda b, k: use(b, F.aggregate(F.slice(e, F.lit(1), k), F.lit(0), join), F.aggregate(F.slice(e, F.lit(1), k + 1), F.lit(0), join))))
+
+    return let(items, lambda x: let(blocked(x), folded))
+
+
 def places(text: Column, pattern: str) -> Column:
     """start, end and value of the leftmost matches of pattern; code points, end exclusive."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     pairs = F.arrays_zip(F.transform(gaps, lambda g: F.length(g)).alias("gap"), found.alias("value"))
-    begun = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)").alias("out"))
+    none = F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.coalesce(x["gap"], F.lit(0))
         end = start + F.length(x["value"])
         return F.when(x["value"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"))).alias("out")))
 
-    return F.aggregate(pairs, begun, step)["out"]
+    def use(block: Column, before: Column, _: Column) -> Column:
+        return F.aggregate(block, F.struct(before.alias("at"), none.alias("out")), step)["out"]
+
+    return F.flatten(in_blocks(pairs, lambda a, x: a + F.coalesce(x["gap"], F.lit(0)) + F.coalesce(F.length(x["value"]), F.lit(0)), lambda a, b: a + b, use))
 
 
 def _luhn(value: Column) -> Column:
@@ -70,16 +96,43 @@ def _entities(spans: Column) -> Column:
     return F.array_distinct(F.transform(spans, lambda s: F.concat(s["kind"], F.lit(":"), F.when(s["kind"] == "email", F.lower(s["value"])).otherwise(F.regexp_replace(s["value"], "[^0-9.]", "")))))
 
 
+def _replaced(text: Column, spans: Column, put: Callable[[Column, Column, Column], Column], whole: bool) -> Column:
+    """text with put(span, its first and end) in place of spans (sorted by start). Where spans overlap, whole says whether the later
+    one is left out, or else only what lies before the end of those before it."""
+
+    def use(block: Column, before: Column, after: Column) -> Column:
+        def cut_up(chunk: Column) -> Column:
+            def step(a: Column, s: Column) -> Column:
+                low, high = F.greatest(a["at"], s["start"]), F.greatest(a["at"], s["end"])
+                kept = F.substring(chunk, a["at"] - before + 1, low - a["at"])
+                out = F.struct(high.alias("at"), F.concat(a["out"], F.array(kept, put(s, low, high))).alias("out"))
+                if not whole:
+                    return out
+                tail = F.struct(high.alias("at"), F.concat(a["out"], F.array(F.lit(""), F.lit(""))).alias("out"))
+                return F.when(s["start"] < a["at"], tail).otherwise(out)
+
+            begun = F.struct(before.alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+            return F.array_join(F.aggregate(block, begun, step)["out"], "")
+
+        return let(F.substring(text, before + 1, after - before), cut_up)
+
+    last = F.array_max(F.transform(spans, lambda s: s["end"]))
+    done = F.array_join(in_blocks(spans, lambda a, s: F.greatest(a, s["end"]), lambda a, b: F.greatest(a, b), use), "")
+    return F.when(F.size(spans) > 0, F.concat(done, F.substring(text, last + 1, F.length(text)))).otherwise(text)
+
+
 def _blanked(text: Column, spans: Column) -> Column:
     """text with spaces in place of base spans: what is left stays where it is."""
-    begun = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
+    return _replaced(text, spans, lambda s, low, high: F.repeat(F.lit(" "), high - low), whole=False)
+
 
-    def step(a: Column, s: Column) -> Column:
-        low, high = F.greatest(a["at"], s["start"]), F.greatest(a["at"], s["end"])
-        return F.struct(high.alias("at"), F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, low - a["at"]), F.repeat(F.lit(" "), high - low))).alias("out"))
+def cleaned(text: Column, spans: Column) -> Column:
+    """text with a general word in place of each span: base kinds by [EMAIL] and so on, capitalised terms by [NAME]; other terms go.
 
-    done = F.aggregate(spans, begun, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    Of overlapping spans the one that starts first is named, and what the later one covers beyond it goes.
+    """
+    general = lambda s: F.when(s["kind"] != "term", F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).when(F.rlike(s["value"], F.lit(r"^\p{Lu}")), F.lit("[NAME]")).otherwise(F.lit(""))
+    return _replaced(text, spans, lambda s, low, high: general(s), whole=True)
 
 
 def _words(text: Column) -> Column:
@@ -123,7 +176,10 @@ def disclosing(near: DataFrame, docs: DataFrame, n: int, support: int = SUPPORT,
 
 
 def _marked(text: DataFrame, rows: DataFrame, terms: DataFrame) -> DataFrame:
-    """key, terms: the places of terms outside base spans, for each text that has any. text: key, text. rows: key, spans."""
+    """key, marked (spans, terms outside base spans among them) and marked_sha256 (of the cleaned text), for each text with such terms.
+
+    text: key, text. rows: key, spans.
+    """
     listed = terms.select(F.col("term").alias("url_key"))
     clear = text.withColumn("spans", base_spans(F.col("text"))).select("key", _blanked(F.col("text"), F.col("spans")).alias("text"))
     # Inner joins with distinct columns: the optimizer would put a semi join before the filter.
@@ -131,26 +187,21 @@ def _marked(text: DataFrame, rows: DataFrame, terms: DataFrame) -> DataFrame:
     hits = cut(hits.groupBy("key").agg(F.collect_set("term").alias("told")))
     some = _let(text, "key", hits.select(F.col("key").alias("url_key"))).dropDuplicates(["key"])
     held = some.join(hits.join(rows.select("key", "spans").dropDuplicates(["key"]), "key"), "key")
-    held = held.select("key", "told", _blanked(F.col("text"), F.col("spans")).alias("text"))
-    found, gaps = F.regexp_extract_all("text", F.lit(NAME), F.lit(0)), F.split("text", NAME, -1)
-    begun = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {SPAN})").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["value"]), F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(4).alias("rank"), end.alias("end"), F.lit("term").alias("kind"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.when(F.array_contains("told", F.lower(x["value"])), F.array_append(a["out"], span)).otherwise(a["out"]).alias("out"))
-
-    return held.select("key", F.aggregate(F.arrays_zip(gaps.alias("gap"), found.alias("value")), begun, step)["out"].alias("terms"))
+    held = held.select("key", "told", "spans", "text", _blanked(F.col("text"), F.col("spans")).alias("clear"))
+    span = lambda x: F.struct(x["start"].alias("start"), F.lit(4).alias("rank"), x["end"].alias("end"), F.lit("term").alias("kind"), x["value"].alias("value"))
+    told = F.transform(F.filter(places(F.col("clear"), NAME), lambda x: F.array_contains("told", F.lower(x["value"]))), span)
+    held = held.withColumn("terms", told).withColumn("all", F.array_sort(F.concat("spans", "terms")))
+    return held.select("key", F.col("all").alias("marked"), F.sha2(cleaned(F.col("text"), F.col("all")), 256).alias("marked_sha256"))
 
 
 def find_private(docs: DataFrame, support: int = SUPPORT, share: float = SHARE) -> DataFrame:
-    """doc_id and spans (start, rank, end, kind, value; sorted) for each row of docs (doc_id, text).
+    """doc_id, spans (start, rank, end, kind, value; sorted) and clean_sha256 (of the cleaned text) for each row of docs (doc_id, text).
 
     Base spans are as the patterns say; spans of kind term come from the corpus. A null text is empty. Repeated rows each get their
-    row and each count as a document. An empty table gives an empty result; other columns aren't looked at.
+    row and each count as a document. Very long texts are read whole; the work grows with a text's length and the root of the number
+    of its matches. An empty table gives an empty result; other columns, whatever their names, aren't looked at.
     """
-    return _found(docs, support, share).select("doc_id", "spans")
+    return _found(docs, support, share).select("doc_id", "spans", "clean_sha256")
 
 
 def _key() -> Column:
@@ -162,7 +213,7 @@ def _found(docs: DataFrame, support: int, share: float) -> DataFrame:
     text = texts(docs)
     spanned = text.withColumn("spans", base_spans(F.col("text")))
     clear = spanned.withColumn("clear", _blanked(F.col("text"), F.col("spans")))
-    rows = clear.select("doc_id", _key().alias("key"), "spans", F.when(F.size("spans") > 0, _entities(F.col("spans"))).alias("entities"), F.when(F.size("spans") > 0, _words(F.col("clear"))).alias("words"))
+    rows = clear.select("doc_id", _key().alias("key"), "spans", F.sha2(cleaned(F.col("text"), F.col("spans")), 256).alias("clean"), F.when(F.size("spans") > 0, _entities(F.col("spans"))).alias("entities"), F.when(F.size("spans") > 0, _words(F.col("clear"))).alias("words"))
     rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
     n = rows.count()
     owned = rows.filter(F.size("entities") > 0).select("row", F.explode("entities").alias("entity"))
@@ -172,7 +223,7 @@ def _found(docs: DataFrame, support: int, share: float) -> DataFrame:
     near = cut(held.join(rows.select("row", "words"), "row")).select("row", "entities", F.explode("words").alias("term")).select("row", F.explode("entities").alias("entity"), "term")
     pairs = disclosing(near, clear.select(F.col("clear").alias("text")), max(n, 1), support, share, n_entity)
     marked = _marked(text.select(_key().alias("key"), "text"), rows, cut(pairs.select("term").distinct()))
-    return rows.select("doc_id", "key", "spans").join(marked, "key", "left").select("doc_id", "key", F.when(F.col("terms").isNull(), F.col("spans")).otherwise(F.array_sort(F.concat("spans", "terms"))).alias("spans"))
+    return rows.select("doc_id", "key", "spans", "clean").join(marked, "key", "left").select("doc_id", "key", F.coalesce("marked", "spans").alias("spans"), F.coalesce("marked_sha256", "clean").alias("clean_sha256"))
 
 
 def as_text(spans: Column) -> Column:
@@ -180,26 +231,14 @@ def as_text(spans: Column) -> Column:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """The counts and strings of op5 from the result of find_private."""
+    """The counts and strings of op5 from the result of find_private, and clean_sha256."""
     base = F.filter("spans", lambda s: s["kind"] != "term")
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(as_text(base), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"))
-
-
-def sanitise(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """doc_id, text of docs with each span replaced: base kinds by [EMAIL] and so on, capitalised terms by [NAME]; other terms go.
-
-    found: a row for each doc_id, as from find_private. Of overlapping spans, the one that starts first is replaced.
-    """
-    spans = found.select("doc_id", "spans").filter(F.size("spans") > 0).dropDuplicates(["doc_id"])
-    joined = texts(docs).join(spans, "doc_id", "left")
-    begun = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-    general = lambda s: F.when(s["kind"] != "term", F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).when(F.rlike(s["value"], F.lit(r"^\p{Lu}")), F.lit("[NAME]")).otherwise(F.lit(""))
+    return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(as_text(base), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"), "clean_sha256")
 
-    def step(a: Column, s: Column) -> Column:
-        kept = F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"])
-        return F.when(s["start"] < a["at"], a).otherwise(F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(kept, general(s))).alias("out")))
 
-    done = F.aggregate("spans", begun, step)
-    rest = F.substring(F.col("text"), F.col("done.at") + 1, F.length("text"))
-    return joined.withColumn("done", done).select("doc_id", F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.concat(F.array_join("done.out", ""), rest)).alias("text"))
+def sanitise(docs: DataFrame, support: int = SUPPORT, share: float = SHARE) -> DataFrame:
+    """doc_id and text, cleaned(), for each row of docs (doc_id, text), whatever their ids; null texts are empty. Other columns are left behind."""
+    spans = _found(docs, support, share).filter(F.size("spans") > 0).select("key", F.col("spans").alias("found")).dropDuplicates(["key"])
+    joined = texts(docs).withColumn("key", _key()).join(spans, "key", "left")
+    return joined.select("doc_id", F.when(F.col("found").isNull(), F.col("text")).otherwise(cleaned(F.col("text"), F.col("found"))).alias("text"))
