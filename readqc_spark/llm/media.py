@@ -145,7 +145,8 @@ def _describe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def store_media(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_bytes, media of docs (doc_id, text), written to path (a new folder in the shared one if None) and read back.
 
-    Null texts count as empty; an empty text is one block of padding. Repeated rows each get their row.
+    Null texts count as empty; an empty text is one block of padding. Repeated rows each get their row, very long texts one sample for
+    each byte. An empty table gives an empty one; other columns aren't looked at.
     """
     path = path or f"{shared_dir(docs.sparkSession)}/media-{uuid.uuid4().hex}"
     texts(docs).mapInPandas(_pack, "doc_id long, n_bytes long, media binary").write.option("compression", "zstd").parquet(path)
@@ -153,10 +154,37 @@ def store_media(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def media_columns(media: DataFrame) -> DataFrame:
-    """Digests and features of a table of stored media, and pcm: the samples at twice the rate, 16 bits, little-endian."""
+    """Digests and features of a table of stored media, and pcm: the samples at twice the rate, 16 bits, little-endian.
+
+    A row for each row of media; an empty table gives an empty result.
+    """
     return media.select("doc_id", "n_bytes", "media").mapInPandas(_describe, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm binary")
 
 
+PCM = "doc_id long, codec string, rate int, pcm binary"
+
+
+def _expanded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        for doc, media in zip(f["doc_id"], f["media"], strict=True):
+            _, rate, load = read_wav(media)
+            samples = np.frombuffer(load, np.uint8)
+            heard = (("mu", MU[samples]), ("a", A[samples]), ("adpcm", adpcm_decode(samples.reshape(-1, BLOCK)).ravel()))
+            yield pd.DataFrame([(doc, codec, 2 * rate, upsample(x).tobytes()) for codec, x in heard], columns=[x.split()[0] for x in PCM.split(", ")])
+
+
+def store_pcm(media: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, codec (mu, a, adpcm), rate, pcm of a table of stored media: 16-bit little-endian samples at twice the rate.
+
+    Written to path (a new folder in the shared one if None) and read back. Some sixteen bytes are stored for each byte of a text. Null
+    ids and repeated rows each get their three rows; an empty table gives an empty one.
+    """
+    spark = media.sparkSession
+    path = path or f"{shared_dir(spark)}/pcm-{uuid.uuid4().hex}"
+    media.select("doc_id", "media").mapInPandas(_expanded, PCM).write.option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path)
+
+
 def media_digest(docs: DataFrame) -> DataFrame:
     """The columns of media_columns for each row of docs, with pcm's size and SHA-256 in its place."""
     return media_columns(store_media(docs)).withColumn("pcm_bytes", F.length("pcm").cast("long")).withColumn("pcm_sha256", F.sha2("pcm", 256)).drop("pcm")

@@ -84,4 +84,27 @@ r AS (
 SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN url_key IN (SELECT url_key FROM l) THEN 'block' ELSE 'allow' END) AS verdict FROM r WHERE n = 1
 """
 
-ORACLE: dict[str, str] = {"op7_exact_dedup": _OP7, "op8_url_filter": _OP8}
+_OP4 = r"""
+WITH r AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS key, row_number() OVER () AS id
+  FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM r GROUP BY source),
+b AS (SELECT 1.5::DOUBLE * sum(n) AS budget FROM s),
+w AS (SELECT *, ([3.0, 1.0, 2.0])[1 + rank % 3]::DOUBLE AS weight, 2.0::DOUBLE * n AS cap FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY cap / weight, rank) AS i, sum(cap) OVER (ORDER BY cap / weight, rank ROWS UNBOUNDED PRECEDING) - cap AS before, sum(weight) OVER (ORDER BY cap / weight DESC, rank DESC ROWS UNBOUNDED PRECEDING) AS free FROM w WHERE n > 0),
+k AS (SELECT budget - before AS rest, free, i FROM o, b WHERE (budget - before) * weight / free < cap ORDER BY i LIMIT 1),
+t AS (
+  SELECT w.source, w.rank, w.n, CASE WHEN w.n = 0 THEN 0.0 WHEN o.i < coalesce(k.i, 1000000000) THEN w.cap ELSE k.rest * w.weight / k.free END::DOUBLE AS target
+  FROM w LEFT JOIN o ON w.rank = o.rank LEFT JOIN k ON true),
+q AS (
+  SELECT r.id, r.doc_id, r.size, r.key, t.rank, t.n AS source_size, t.target,
+    (sum(r.size) OVER (PARTITION BY t.rank ORDER BY r.key, r.doc_id NULLS FIRST, r.size ROWS UNBOUNDED PRECEDING))::DOUBLE / nullif(t.target, 0) AS first_finish
+  FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT id, size, rank, key, doc_id, e, first_finish + e * (source_size::DOUBLE / target) AS time FROM q, (VALUES (0), (1)) AS x(e) WHERE size > 0 AND target > 0),
+l AS (SELECT id, sum(size) OVER (ORDER BY time, rank, key, doc_id NULLS FIRST, size, e ROWS UNBOUNDED PRECEDING) AS run FROM c),
+n AS (SELECT id, count(*) AS copies FROM l, b WHERE run <= budget GROUP BY id)
+SELECT doc_id, size, source_size, target, (size * coalesce(copies, 0))::BIGINT AS taken, coalesce(copies, 0)::INT AS copies, first_finish FROM q LEFT JOIN n USING (id)
+"""
+
+ORACLE: dict[str, str] = {"op4_mixing": _OP4, "op7_exact_dedup": _OP7, "op8_url_filter": _OP8}

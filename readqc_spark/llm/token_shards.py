@@ -3,7 +3,7 @@
 1. The most sequences that a text can give follows from its bytes, so a scan that tokenises nothing numbers the places for all
    sequences, part by part. Each sequence has a place in [0, places).
 2. A keyed Feistel network, walked again while it leaves that range, permutes the places. A shard is a range of permuted places.
-3. Sequences are shuffled once, by shard; a task sorts a shard and writes it as records of one length to one file, under a temporary
+3. Sequences are shuffled once, by ranges of permuted places; a task sorts its shards and writes each as records of one length to one file, under a temporary
    name that is then moved, so that a task that runs again replaces its file whole.
 4. A manifest holds each shard's count. Places that no sequence took leave no gap: a record's global slot is its shard's first slot and
    its number there.
@@ -31,6 +31,8 @@ from readqc_spark.llm.common import cut, mix64, shared_dir, texts
 from readqc_spark.llm.pieces import MODEL, Pieces, loaded, model_of
 
 LENGTH, PER_SHARD, KEY, ROUNDS = 512, 32768, 20240229, 6
+#: Shards are written and read by so many tasks at most, each with a range of them.
+MOST_TASKS = 50_000
 HEAD = struct.Struct("<qiii")  # doc_id, 1 if it is null, number in its document, tokens
 
 
@@ -106,7 +108,7 @@ def materialise(docs: DataFrame, path: str | None = None, model: str = MODEL, le
     """Write the token sequences of docs (doc_id, text) to path (a new folder in the shared one if None); give the path.
 
     Texts without tokens (null, empty) have no sequence; an empty table gives a manifest without shards. Repeated rows are written as
-    often as they occur. Ids must be below 65,536. Shards are files of records of one length, HEAD and length little-endian uint16.
+    often as they occur. Very long texts are tokenised whole. Ids must be below 65,536. Shards are files of records of one length, HEAD and length little-endian uint16.
     """
     spark = docs.sparkSession
     uri = path or f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
@@ -125,7 +127,10 @@ def materialise(docs: DataFrame, path: str | None = None, model: str = MODEL, le
         raise ValueError("ids don't fit 16 bits")
     begin = sc.broadcast(dict.fromkeys(range(text.rdd.getNumPartitions()), (0, 0)) | first)
     rows = text.mapInPandas(partial(_cut_up, model=proto, length=length, places=max(places, 1), first=begin, per_shard=per_shard, key=key), "place long, doc_id long, part int, tokens binary, shard long")
-    dealt = rows.repartition(max(1, -(-places // per_shard)), "shard").sortWithinPartitions("shard", "place")
+    shards = max(1, -(-places // per_shard))
+    tasks = min(shards, MOST_TASKS)
+    # Ranges of shards, and so of permuted places, by number: nothing need be sampled to find their bounds.
+    dealt = rows.repartitionById(tasks, F.floor(F.col("shard") * tasks / F.lit(float(shards))).cast("int")).sortWithinPartitions("shard", "place")
     done = cut(dealt.mapInPandas(partial(_write, uri=uri, length=length), "shard long, records long, crc32 long")).orderBy("shard").collect()
     manifest = {"length": length, "stride": HEAD.size + 2 * length, "key": key, "places": places, "shards": [[r["shard"], r["records"], r["crc32"]] for r in done]}
     with store.open_output_stream(f"{local}/manifest.json") as f:
@@ -154,7 +159,10 @@ def _read(frames: Iterator[pd.DataFrame], uri: str, stride: int) -> Iterator[pd.
 
 
 def read_shards(spark: SparkSession, uri: str, start: int = 0, stop: int | None = None) -> DataFrame:
-    """slot, shard, offset, doc_id, part, tokens (little-endian uint16) of the slots from start to stop, in order within a shard."""
+    """slot, shard, offset, doc_id, part, tokens (little-endian uint16) of the slots from start to stop, in order within a shard.
+
+    Shards without a slot in that range aren't opened; a manifest without shards gives an empty result.
+    """
     uri = uri if "://" in uri else f"file://{uri}"
     m, rows, first = manifest_of(uri), [], 0
     for shard, n, _ in m["shards"]:
@@ -162,7 +170,7 @@ def read_shards(spark: SparkSession, uri: str, start: int = 0, stop: int | None
         if a < b:
             rows.append((shard, first, a, b))
         first += n
-    todo = spark.createDataFrame(rows, "shard long, first long, start long, stop long").repartition(max(1, len(rows)), "shard")
+    todo = spark.createDataFrame(rows, "shard long, first long, start long, stop long").repartition(max(1, min(len(rows), MOST_TASKS)))
     return todo.mapInPandas(partial(_read, uri=uri, stride=m["stride"]), "slot long, shard long, offset long, doc_id long, part int, tokens binary")
 
 

@@ -2,6 +2,7 @@ import hashlib
 import os
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -155,6 +156,9 @@ def test_url_filter(spark):
     got = [(r["host"], r["rule"], r["verdict"]) for r in url_filter.url_verdicts(pages, listed).orderBy("page_id").collect()]
     assert got == [("www.example.com", "www.example.com/en/", "allow"), ("a.example.com", "example.com/en/", "block"), ("", None, "allow"), ("b.net", "net/es/", "block"), ("", None, "allow"), ("x.org", None, "block"), ("x.org", None, "block"), ("x.org", None, "allow")]
     assert url_filter.url_verdicts(pages.limit(0), listed.limit(0)).count() == 0
+    twice = url_filter.url_verdicts(pages.unionByName(pages).withColumns({"block": F.lit(1), "listed": F.lit("x")}), listed)
+    assert twice.count() == 2 * len(urls) and twice.filter("verdict = 'block'").count() == 8
+    assert [url_filter.blocks_for(n) for n in (0, 10_000, 10**9)] == [1024, 2048, 1 << 18]
 
 
 def test_media(docs, empty):
@@ -164,7 +168,23 @@ def test_media(docs, empty):
         raw = (t or "").encode()
         load = raw + b"\xff" * ((-len(raw)) % 576 if raw else 576)
         assert (got[i]["n_bytes"], got[i]["payload_sha256"]) == (len(raw), hashlib.sha256(load).hexdigest())
+        assert got[i]["tail_crc32"] == zlib.crc32(load[-32:]) and got[i]["media_sha256"] == hashlib.sha256(media.wav(load)).hexdigest() and got[i]["media_bytes"] == len(media.wav(load))
+        samples = [int(media.MU[b]) for b in load]
+        level = [sum(int(t[b]) ** 2 for b in load) // len(load) for t in (media.MU, media.A)]
+        decoded = media.adpcm_decode(np.frombuffer(load, np.uint8).reshape(-1, 576)).astype(int)
+        crossings = sum((a < 0) != (b < 0) for line in decoded.tolist() for a, b in zip(line, line[1:], strict=False))
+        assert got[i]["feature"] == f"mu_power={level[0]};a_power={level[1]};adpcm_mean={int(np.abs(decoded).sum()) // (2 * len(load))};adpcm_peak={int(np.abs(decoded).max())};adpcm_crossings={crossings}"
+        pad = [samples[0], *samples, samples[-1], samples[-1]]
+        half = [max(-32768, min(32767, (9 * (pad[k + 1] + pad[k + 2]) - pad[k] - pad[k + 3] + 8) >> 4)) for k in range(len(samples))]
+        assert got[i]["pcm_sha256"] == hashlib.sha256(np.array([x for pair in zip(samples, half, strict=True) for x in pair], "<i2").tobytes()).hexdigest()
     assert media.media_digest(empty).count() == 0
+    stored = media.store_pcm(media.store_media(docs.filter("doc_id in (4, 10)"))).collect()
+    assert sorted((r["doc_id"], r["codec"], r["rate"]) for r in stored) == [(i, c, 16000) for i in (4, 10) for c in ("a", "adpcm", "mu")]
+    for r in stored:
+        load = next(t for i, t, *_ in rows() if i == r["doc_id"]).encode()
+        load += b"\xff" * (-len(load) % 576)
+        assert r["codec"] != "mu" or hashlib.sha256(r["pcm"]).hexdigest() == got[r["doc_id"]]["pcm_sha256"]
+        assert np.frombuffer(r["pcm"], "<i2")[::2].tolist() == {"mu": media.MU[list(load)], "a": media.A[list(load)], "adpcm": media.adpcm_decode(np.frombuffer(load, np.uint8).reshape(-1, 576)).ravel()}[r["codec"]].tolist()
     block = np.random.default_rng(0).integers(0, 256, (3, 576), dtype=np.uint8)
     out = media.adpcm_decode(block)
     for b, samples in zip(block, out, strict=True):
@@ -213,6 +233,14 @@ def test_token_shards(spark, docs, empty, tmp_path):
     m = pieces.Pieces(open(pieces.MODEL, "rb").read())
     assert [r["slot"] for r in got] == list(range(len(got))) and sum(len(r["tokens"]) // 2 for r in got) == sum(len(m.sp.encode(t or "")) for _, t, *_ in rows())
     assert token_shards.read_shards(spark, uri, 3, 9).count() == 6
+    # One partition, so the places before the permutation are those of a loop over the texts.
+    places, order = 0, []
+    for i, t, *_ in rows():
+        ids = m.sp.encode(t or "")
+        order += [(places + j, i, j, ids[64 * j : 64 * j + 64]) for j in range(-(-len(ids) // 64))]
+        places += -(-(len((t or "").encode()) + 1) // 64)
+    order.sort(key=lambda x: int(token_shards.permuted(np.array([x[0]]), places)[0]))
+    assert [(r["doc_id"], r["part"], np.frombuffer(r["tokens"], "<u2").tolist()) for r in got] == [x[1:] for x in order]
     long = b"".join(bytes(r["tokens"]) for r in sorted((r for r in got if r["doc_id"] == 6), key=lambda r: r["part"]))
     assert np.frombuffer(long, "<u2").tolist() == m.sp.encode(LONG)
     assert token_shards.shard_digest(empty).count() == 0
