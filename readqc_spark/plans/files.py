@@ -60,13 +60,16 @@ def block(data: bytes) -> bytes:
 
 
 def record(r: dict, numbers: dict[str, int]) -> bytes:
-    """A BAM record of an alignment."""
+    """A BAM record of an alignment; a CIGAR of more operations than fit goes to tag CG."""
     cigar = [(int(n), _OPS.index(op)) for n, op in re.findall(r"([0-9]+)([MIDNSHP=X])", r["cigar"] or "")]
     name, seq = r["read_name"].encode() + b"\0", r["seq"] or ""
     codes = [_BASES.index(x) for x in seq] + [0] * (len(seq) % 2)
     packed = bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2], strict=True))
     quals = bytes(r["quals"]) if r["quals"] else b"\xff" * len(seq)
     tags = b"XXZtext\0XBBC\x02\0\0\0\x01\x02" + b"".join(t + struct.pack(f, r[k]) for k, t, f in (("ec", b"ecf", "<f"), ("np", b"npC", "<B"), ("rq", b"rqf", "<f")) if r[k] is not None)
+    if len(cigar) > 65535:
+        tags += b"CGBI" + struct.pack(f"<I{len(cigar)}I", len(cigar), *[n << 4 | op for n, op in cigar])
+        cigar = [(len(seq), _OPS.index("S")), (sum(n for n, op in cigar if _OPS[op] in "MDN=X"), _OPS.index("N"))]
     core = struct.pack("<iiBBHHHiiii", numbers.get(r["chr"], -1), r["pos"] - 1, len(name), 255 if r["mapq"] is None else r["mapq"], 0, len(cigar), r["flags"], len(seq), -1, -1, 0)
     body = core + name + struct.pack(f"<{len(cigar)}I", *[n << 4 | op for n, op in cigar]) + packed + quals + tags
     return struct.pack("<i", len(body)) + body

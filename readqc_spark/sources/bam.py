@@ -43,7 +43,10 @@ def _tags(data: bytes, at: int, end: int) -> dict:
             stop = data.index(b"\0", at)
             at = stop + 1
         elif kind == "B":
-            at += 5 + _SIZES[chr(data[at])] * struct.unpack_from("<I", data, at + 1)[0]
+            n = struct.unpack_from("<I", data, at + 1)[0]
+            if name == "CG" and chr(data[at]) == "I":
+                out[name] = struct.unpack_from(f"<{n}I", data, at + 5)
+            at += 5 + _SIZES[chr(data[at])] * n
         else:
             if name in _KINDS and kind not in _KINDS[name]:
                 raise ValueError(f"tag {name} of another type than expected: {kind}")
@@ -70,19 +73,22 @@ def _header(data: bytes) -> tuple[list[str], int]:
 
 
 def record(data, at: int, names: list[str]) -> tuple[tuple, int]:
-    """(a record in SCHEMA's order, where it ends)."""
+    """(a record in SCHEMA's order, where it ends). A CIGAR too long for its field, which then clips all bases, stands in tag CG."""
     end = at + 4 + struct.unpack_from("<i", data, at)[0]
     ref, pos, name_size, mapq, _, n_ops, flags, n_bases = struct.unpack_from("<iiBBHHHi", data, at + 4)
     p = at + 36
     name = bytes(data[p : p + name_size - 1]).decode()
     p += name_size
-    cigar = "".join(f"{x >> 4}{_OPS[x & 15]}" for x in struct.unpack_from(f"<{n_ops}I", data, p)) or "*"
+    ops = struct.unpack_from(f"<{n_ops}I", data, p)
     p += 4 * n_ops
     packed = bytes(data[p : p + (n_bases + 1) // 2])
     seq = "".join(map(_PAIRS.__getitem__, packed))[:n_bases]
     p += len(packed)
     quals = bytes(data[p : p + n_bases])
     tags = _tags(bytes(data[p + n_bases : end]), 0, end - p - n_bases)
+    if n_ops == 2 and ops[0] == n_bases << 4 | _OPS.index("S") and ops[1] & 15 == _OPS.index("N"):
+        ops = tags.get("CG", ops)
+    cigar = "".join(f"{x >> 4}{_OPS[x & 15]}" for x in ops) or "*"
     row = name, flags, names[ref] if ref >= 0 else None, pos + 1, None if mapq == 255 else mapq, cigar, seq, [] if quals.count(255) == len(quals) else list(quals), tags.get("ec"), tags.get("np"), tags.get("rq")
     return row, end
 

@@ -148,6 +148,14 @@ def test_types_of_tags(spark, tmp_path):
         bam.record(good.replace(b"npC\x02", b"npA\x02"), 0, ["c"])
 
 
+def test_cigar_in_a_tag():
+    row = {"read_name": "r", "flags": 0, "chr": "c", "pos": 1, "mapq": 9, "seq": "ACGT" * 20_000, "quals": [3] * 80_000, "ec": None, "np": 2, "rq": None}
+    for cigar in ("1M1I" * 40_000, "80000S5N", "1=" * 65_535 + "14465S"):
+        data = files.record(row | {"cigar": cigar}, {"c": 0})
+        got, end = bam.record(data, 0, ["c"])
+        assert got[5] == cigar and got[6] == row["seq"] and got[9] == 2 and end == len(data)
+
+
 def test_gzip_fasta_and_repeated_names(spark, tmp_path):
     for name, opened in (("a.fa", open), ("b.fa.gz", gzip.open)):
         with opened(tmp_path / name, "wt") as f:
