@@ -27,8 +27,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from readqc_spark.llm.byte_pairs import byte_pairs
 from readqc_spark.llm.common import cut, mix64, shared_dir, texts
-from readqc_spark.llm.pieces import MODEL, Pieces, loaded, model_of
+from readqc_spark.llm.pieces import MODEL, loaded, model_of
 
 LENGTH, PER_SHARD, KEY, ROUNDS = 512, 32768, 20240229, 6
 #: Shards are written and read by so many tasks at most, each with a range of them.
@@ -63,13 +64,12 @@ def _room(text_bytes: int, length: int) -> int:
 
 
 def _cut_up(frames: Iterator[pd.DataFrame], model, length: int, places: int, first, per_shard: int, key: int) -> Iterator[pd.DataFrame]:
-    m: Pieces = loaded(model)
+    m = byte_pairs(loaded(model))
     at, end = first.value[TaskContext.get().partitionId()]
     for f in frames:
         for k in range(0, len(f), 300):
             part, rows = f.iloc[k : k + 300], []
-            for doc, text, ids in zip(part["doc_id"].astype(object), part["text"], m.sp.encode(part["text"].tolist(), num_threads=1), strict=True):
-                tokens = np.asarray(ids, "<u2")
+            for doc, text, tokens in zip(part["doc_id"].astype(object), part["text"], m.encode(part["text"].tolist()), strict=True):
                 rows += [(at + j, None if pd.isna(doc) else int(doc), j, tokens[j * length : (j + 1) * length].tobytes()) for j in range(-(-len(tokens) // length))]
                 at += _room(len(text.encode("utf-8", "surrogatepass")), length)
             out = pd.DataFrame(rows, columns=["place", "doc_id", "part", "tokens"])
@@ -108,7 +108,7 @@ def materialise(docs: DataFrame, path: str | None = None, model: str = MODEL, le
     """Write the token sequences of docs (doc_id, text) to path (a new folder in the shared one if None); give the path.
 
     Texts without tokens (null, empty) have no sequence; an empty table gives a manifest without shards. Repeated rows are written as
-    often as they occur. Very long texts are tokenised whole. Ids must be below 65,536. Shards are files of records of one length, HEAD and length little-endian uint16.
+    often as they occur. The ids are the SentencePiece model's for the whole text, however long (byte_pairs). Ids must be below 65,536. Shards are files of records of one length, HEAD and length little-endian uint16.
     """
     spark = docs.sparkSession
     uri = path or f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
