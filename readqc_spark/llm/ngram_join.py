@@ -45,6 +45,8 @@ FEW = 16
 LEAVES = 256
 #: A part of a component has about so many nodes and so many shingles at most; SLAB shingles are compared at once.
 PART, PART_SHINGLES, SLAB = 128, 1 << 20, 8192
+#: Up to so many edges are joined into components in one task (two MB for each 2^17), more of them in rounds over the cluster.
+AT_ONCE = 1 << 18
 _A, _B = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB)
 
 
@@ -261,9 +263,31 @@ def _n_links(nodes: DataFrame, roots: DataFrame, text: DataFrame, words: int, pe
     return met.applyInArrow(each, "nid long, n_links long").groupBy("nid").agg(F.sum("n_links").alias("n_links"))
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, root of all edges (v, u) of the batches, but those of the roots themselves."""
+    ends = [np.stack([b["v"].to_numpy(), b["u"].to_numpy()]) for b in batches if b.num_rows]
+    ids, at = np.unique(np.concatenate(ends, 1) if ends else np.empty((2, 0), np.int64), return_inverse=True)
+    v, u = at.reshape(2, -1)
+    root = np.arange(len(ids))
+    while len(v):  # ids are sorted, so the smallest place is the smallest node
+        x, y = root[v], root[u]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (above := root[root] < root).any():
+            root[above] = root[root[above]]
+        apart = root[v] != root[u]
+        v, u = v[apart], u[apart]
+    some = root < np.arange(len(ids))
+    yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[root[some]])], ["node", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, root (the component's smallest node) of every node of edges (a, b) but the roots: large and small stars in turn, until nothing changes."""
+    """node, root (the component's smallest node) of every node of edges (a, b) but the roots.
+
+    Up to AT_ONCE edges are joined in one task. More take large and small stars in turn, until nothing changes: a dozen shuffles each.
+    """
     now, last = cut(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).filter("u <> v").distinct()), None
+    if now.count() <= AT_ONCE:
+        return cut(now.coalesce(1).mapInArrow(_joined, "node long, root long"))
     while True:
         both = now.unionByName(now.select(F.col("u").alias("v"), F.col("v").alias("u")))
         lowest = both.groupBy(F.col("v").alias("k")).agg(F.min("u").alias("m")).select("k", F.least("k", "m").alias("m"))

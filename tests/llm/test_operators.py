@@ -109,6 +109,23 @@ def test_near_copies_that_share_an_id(spark):
     assert sorted(got, key=str) == sorted([(5, 98, 3), (5, 98, 3), (None, 98, 3), (None, 98, 3), (3, 98, 3), (5, 2, 5)], key=str)
 
 
+def test_components_at_once_and_in_rounds(spark, monkeypatch):
+    r = random.Random(2)
+    edges = [(k, k + 1) for k in range(100, 160)] + [(9000 - k, 8999 - k) for k in range(50)] + [(7, 500), (500, 3), (3, 3), (1 << 40, 7), (7, 500)] + [(r.randrange(1000, 1300), r.randrange(1000, 1300)) for _ in range(130)]
+    root = {x: x for e in edges for x in e}
+    for _ in root:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    want, df = {(x, y) for x, y in root.items() if x != y}, spark.createDataFrame(edges, "a long, b long").repartition(5)
+    spark.sparkContext.setJobGroup("components-at-once", "")
+    assert sorted(tuple(x) for x in ngram_join.components(df).collect()) == sorted(want)
+    assert ngram_join.components(df.filter("a = b")).count() == 0
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("components-at-once")) <= 20  # each of several rounds would take a dozen
+    spark.sparkContext.setJobGroup("other", "")
+    monkeypatch.setattr(ngram_join, "AT_ONCE", 0)
+    assert sorted(tuple(x) for x in ngram_join.components(df).collect()) == sorted(want)
+
+
 def test_disclosing_terms_against_brute_force(spark):
     r, names = random.Random(5), "anna bert carl dora emil fritz gerda".split()
     texts = [" ".join(r.choice([names[i % 7], r.choice(names), "the", "and", "house"]) for _ in range(6)) for i in range(60)]
