@@ -197,7 +197,8 @@ def join_contig(spark, d):
 
 @query
 def join_contig_broadcast(spark, d):
-    return pileup.with_contig(mapped(spark, d), contigs(spark, d), 0).select("aln_id", "contig_length", F.col("ref").alias("slice"))
+    """By a broadcast of contigs up to BROADCAST_BASES; larger ones can't be held by every executor and are joined."""
+    return rows(spark, d).select("aln_id", "contig_length", F.col("ref").alias("slice"))
 
 
 @query

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from readqc_spark.operators import aln_stats, pileup, summaries
 from readqc_spark.operators import intervals as iv
-from readqc_spark.plans import files
+from readqc_spark.plans import files, queries
 from readqc_spark.plans.api import Intervals, analyze, main
 from readqc_spark.sources import bam, sinks, text
 from readqc_spark.streaming import incremental
@@ -57,6 +57,18 @@ def test_tiles(spark, genome, monkeypatch):
     assert sorted(pileup.with_contig(alns, contigs).select("aln_id", "ref", "contig_length").collect()) == sorted(whole.collect())
 
 
+def test_broadcast_query_is_bounded(spark, monkeypatch):
+    """Contigs above the bound aren't broadcast by the query either."""
+    d = "/root/testdata/sf0.001"
+    query = lambda: queries.QUERIES["join_contig_broadcast"](spark, d)
+    hinted = lambda df: "strategy=broadcast" in df._jdf.queryExecution().optimizedPlan().toString()
+    small = query()
+    assert hinted(small)
+    monkeypatch.setattr(pileup, "BROADCAST_BASES", 1000)
+    large = query()
+    assert not hinted(large) and sorted(large.collect()) == sorted(small.collect())
+
+
 def test_intervals_against_events(spark, genome, monkeypatch):
     alns, contigs = genome
     r = random.Random(3)
