@@ -44,16 +44,19 @@ def primary(stats: DataFrame) -> DataFrame:
     return stats.filter(~F.col("supplementary"))
 
 
-def with_contig(alignments: DataFrame, contigs: DataFrame, total_bases: int | None = None) -> DataFrame:
+def with_contig(alignments: DataFrame, contigs: DataFrame, total_bases: int | None = None, longest: int | None = None) -> DataFrame:
     """alignments with ops, aln_end, contig_length, slice_start and ref (the slice's bases). A contig that isn't there raises.
 
-    total_bases: of all contigs; where it is unknown or above BROADCAST_BASES, tiles are joined.
+    total_bases: of all contigs; where it is unknown or above BROADCAST_BASES, they are joined. longest: of the longest contig; where it is
+    known and no more than TILE, contigs are joined whole, so that no read needs a second piece and the alignments are scanned once; else
+    tiles are joined. Both bound memory alone: results don't depend on them.
     """
     rows = alignments.withColumn("ops", cigar.ops(F.col("cigar"))).withColumn("aln_end", F.col("pos") + cigar.span(F.col("ops"))).withColumn("slice_start", F.greatest(F.col("pos") - 1, F.lit(1)))
-    if total_bases is None or total_bases > BROADCAST_BASES:
+    small = total_bases is not None and total_bases <= BROADCAST_BASES
+    if not small and (longest is None or longest > TILE):
         return _with_tiles(rows, contigs)
     c = contigs.select(F.col("chr").alias("_chr"), F.upper("seq").alias("_seq"))
-    joined = rows.join(F.broadcast(c), F.col("chr") == F.col("_chr"), "left")
+    joined = rows.join(F.broadcast(c) if small else c, F.col("chr") == F.col("_chr"), "left")
     piece = F.substring(_there(F.col("_seq")), F.col("slice_start"), F.col("aln_end") - F.col("slice_start") + 3)
     return joined.withColumns({"ref": piece, "contig_length": F.length("_seq")}).drop("_chr", "_seq")
 

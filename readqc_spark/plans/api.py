@@ -59,10 +59,11 @@ def analyze(alignments: DataFrame, contigs: DataFrame, intervals: Intervals | No
     keeps (in memory, else on disk) until the session ends or the caller clears its cache.
     """
     wanted = [bin_spec(b) for b in bins or []]
-    bases = contigs.agg(F.sum("length")).first()[0] or 0
+    bases, longest = (n or 0 for n in contigs.agg(F.sum("length"), F.max("length")).first())
     counted = F.col("flags").bitwiseAND(pileup.UNMAPPED | pileup.SECONDARY) == 0
     cleared = alignments.withColumns({"cigar": F.when(counted, F.col("cigar")), "chr": F.when(counted, F.col("chr"))})
-    rows, kinds = intervals.kinds(pileup.with_contig(cleared, contigs, bases)) if intervals else (pileup.with_contig(cleared, contigs, bases), [])
+    joined = pileup.with_contig(cleared, contigs, bases, longest)
+    rows, kinds = intervals.kinds(joined) if intervals else (joined, [])
     one = onepass.walked_once(rows, kinds).persist(StorageLevel.MEMORY_AND_DISK)
     stats = aln_stats.derived(one.filter("aln is not null").select("aln.meta.*", "aln.q_len", "aln.mean_qual", *[f"aln.{t}" for t in pileup.TALLIES]))
     main, partials = pileup.primary(stats), one.filter("feature_key is not null")

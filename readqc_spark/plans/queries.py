@@ -39,10 +39,14 @@ def mapped(spark, d):
     return pileup.mapped_primary(alns(spark, d))
 
 
+def bounds(spark, d):
+    """(bases of all contigs, of the longest one) at most: contigs have a base for each letter of a text at most."""
+    return tuple(n or 0 for n in spark.read.parquet(f"{d}/documents.parquet").agg(F.sum("n_chars"), F.max("n_chars")).first())
+
+
 def rows(spark, d):
-    """Reads with their slices. Contigs have a base for each letter of a text at most, which bounds what may be broadcast."""
-    letters = spark.read.parquet(f"{d}/documents.parquet").agg(F.sum("n_chars")).first()[0] or 0
-    return pileup.with_contig(mapped(spark, d), contigs(spark, d), letters)
+    """Reads with their slices."""
+    return pileup.with_contig(mapped(spark, d), contigs(spark, d), *bounds(spark, d))
 
 
 def primary_rows(spark, d):
@@ -192,7 +196,8 @@ def aln_mean_qual(spark, d):
 
 @query
 def join_contig(spark, d):
-    return pileup.with_contig(mapped(spark, d), contigs(spark, d)).select("aln_id", "contig_length", F.col("ref").alias("slice"))
+    """By a join, whatever the size."""
+    return pileup.with_contig(mapped(spark, d), contigs(spark, d), None, bounds(spark, d)[1]).select("aln_id", "contig_length", F.col("ref").alias("slice"))
 
 
 @query

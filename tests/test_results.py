@@ -57,6 +57,17 @@ def test_tiles(spark, genome, monkeypatch):
     assert sorted(pileup.with_contig(alns, contigs).select("aln_id", "ref", "contig_length").collect()) == sorted(whole.collect())
 
 
+def test_contigs_joined_whole(spark, genome, monkeypatch):
+    """Contigs above the broadcast and up to a tile: no broadcast, and each table is scanned once."""
+    alns, contigs = genome
+    whole = pileup.with_contig(alns, contigs, 0).select("aln_id", "ref", "contig_length")
+    monkeypatch.setattr(pileup, "BROADCAST_BASES", 1000)
+    joined = pileup.with_contig(alns, contigs, 3901, 3000).select("aln_id", "ref", "contig_length")
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(joined.collect()) == sorted(whole.collect())
+    assert plan.count("InMemoryRelation") == 2 and "strategy=broadcast" not in plan
+
+
 def test_broadcast_query_is_bounded(spark, monkeypatch):
     """Contigs above the bound aren't broadcast by the query either."""
     d = "/root/testdata/sf0.001"
