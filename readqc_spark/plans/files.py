@@ -7,9 +7,11 @@ import struct
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Mapping
 from functools import partial
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -59,7 +61,7 @@ def block(data: bytes) -> bytes:
     return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(data), len(data))
 
 
-def record(r: dict, numbers: dict[str, int]) -> bytes:
+def record(r: dict, numbers: Mapping[str, int]) -> bytes:
     """A BAM record of an alignment; a CIGAR of more operations than fit goes to tag CG."""
     cigar = [(int(n), _OPS.index(op)) for n, op in re.findall(r"([0-9]+)([MIDNSHP=X])", r["cigar"] or "")]
     name, seq = r["read_name"].encode() + b"\0", r["seq"] or ""
@@ -75,13 +77,13 @@ def record(r: dict, numbers: dict[str, int]) -> bytes:
     return struct.pack("<i", len(body)) + body
 
 
-def bam_bytes(rows: Iterator[dict], names: list[tuple[str, int]], size: int = 20_000) -> Iterator[bytes]:
-    """The blocks of a BAM file, of size bytes each before compression, wherever records end."""
+def bam_bytes(rows: Iterator[dict], names: Iterable[tuple[str, int]], size: int = 20_000, numbers: Mapping[str, int] | None = None) -> Iterator[bytes]:
+    """The blocks of a BAM file, of size bytes each before compression, wherever records end. numbers: the place of each name in names."""
     head = b"@HD\tVN:1.6\n"
     out = bytearray(b"BAM\1" + struct.pack("<i", len(head)) + head + struct.pack("<i", len(names)))
     for name, n in names:
         out += struct.pack("<i", len(name) + 1) + name.encode() + b"\0" + struct.pack("<i", n)
-    numbers = {name: k for k, (name, _) in enumerate(names)}
+    numbers = {name: k for k, (name, _) in enumerate(names)} if numbers is None else numbers
     for r in rows:
         out += record(r, numbers)
         while len(out) >= size:
@@ -90,22 +92,45 @@ def bam_bytes(rows: Iterator[dict], names: list[tuple[str, int]], size: int = 20
     yield block(bytes(out)) + _EMPTY
 
 
+class _Sorted:
+    """References in the order of their names, as arrays: (name, length) pairs, and a name's place by binary search."""
+
+    def __init__(self, table: pa.Table):
+        names = np.array([x.encode() for x in table["chr"].to_pylist()], np.bytes_)
+        order = np.argsort(names)
+        self.names, self.lengths = names[order], table["length"].to_numpy()[order]
+
+    def __len__(self) -> int:
+        return len(self.names)
+
+    def __iter__(self) -> Iterator[tuple[str, int]]:
+        return ((name.decode(), n) for name, n in zip(self.names, self.lengths.tolist(), strict=True))
+
+    def get(self, name: str | None, missing: int) -> int:
+        key = b"" if name is None else name.encode()
+        if not 0 < len(key) <= self.names.itemsize:  # a longer one would have all names copied
+            return missing
+        k = int(np.searchsorted(self.names, key))
+        return k if k < len(self.names) and self.names[k] == key else missing
+
+
 def _written(batches: Iterator[pa.RecordBatch], path: str, names) -> Iterator[pa.RecordBatch]:
-    rows = [r for b in batches for r in b.to_pylist()]
-    if rows:
+    rows = (r for b in batches for some in range(0, len(b), 1000) for r in b.slice(some, 1000).to_pylist())
+    if (first := next(rows, None)) is not None:
         store, name = fs.FileSystem.from_uri(f"{path}/{uuid.uuid4().hex}.bam")
         with store.open_output_stream(name) as f:
-            for part in bam_bytes(iter(rows), names.value):
+            for part in bam_bytes(chain([first], rows), names.value, numbers=names.value):
                 f.write(part)
         yield pa.RecordBatch.from_pydict({"path": [name]})
 
 
 def bam(alignments: DataFrame, contigs: DataFrame) -> str:
-    """A folder of BAM files, one for each partition of alignments."""
+    """A folder of BAM files, one for each of a few partitions of alignments: each has all contigs in its header, so their number is bounded."""
     spark = alignments.sparkSession
     path = folder(spark, "bam")
     store, name = fs.FileSystem.from_uri(path)
     store.create_dir(name, recursive=True)
-    names = sorted((r["chr"], r["length"]) for r in contigs.select("chr", "length").collect())
-    alignments.repartition(4).mapInArrow(partial(_written, path=path, names=spark.sparkContext.broadcast(names)), "path string").collect()
+    names = _Sorted(contigs.select("chr", "length").toArrow())
+    tasks = min(max(4, spark.sparkContext.defaultParallelism), 16)
+    alignments.repartition(tasks).mapInArrow(partial(_written, path=path, names=spark.sparkContext.broadcast(names)), "path string").collect()
     return path

@@ -11,11 +11,13 @@ rows, each under 2 GB.
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -56,23 +58,43 @@ def _tags(data: bytes, at: int, end: int) -> dict:
     return out
 
 
-def _header(data: bytes) -> tuple[list[str], int]:
-    """(names of the references, where the records begin) of a decompressed BAM file."""
-    if data[:4] != b"BAM\1":
+class Names:
+    """Names of references by their numbers, as bytes and ends, so that millions of them are no load."""
+
+    def __init__(self, text: bytes, ends: np.ndarray):
+        self.text, self.ends = text, ends
+
+    def __len__(self) -> int:
+        return len(self.ends)
+
+    def __getitem__(self, k: int) -> str:
+        return self.text[int(self.ends[k - 1]) if k else 0 : int(self.ends[k])].decode()
+
+
+def _header(b: Blocks) -> tuple[Names, int]:
+    """(names of the references, where the records begin) of a file's blocks from its first one on. Each byte is gone through once."""
+
+    def number(at: int) -> int:
+        if not b.has(at + 4):
+            raise ValueError("not a BAM file: the header goes on")
+        return struct.unpack_from("<i", b.data, at)[0]
+
+    if not b.has(8) or b.data[:4] != b"BAM\1":
         raise ValueError("not a BAM file")
-    at = 8 + struct.unpack_from("<i", data, 4)[0]
-    names, n = [], struct.unpack_from("<i", data, at)[0]
+    at = 8 + number(4)
+    n, text, ends = number(at), bytearray(), []
     at += 4
     for _ in range(n):
-        size = struct.unpack_from("<i", data, at)[0]
-        names.append(data[at + 4 : at + 3 + size].decode())
+        size = number(at)
+        if not b.has(at + 8 + size):
+            raise ValueError("not a BAM file: the header goes on")
+        text += b.data[at + 4 : at + 3 + size]
+        ends.append(len(text))
         at += 8 + size
-    if at > len(data):
-        raise IndexError("the header goes on")
-    return names, at
+    return Names(bytes(text), np.array(ends, np.int64)), at
 
 
-def record(data, at: int, names: list[str]) -> tuple[tuple, int]:
+def record(data, at: int, names: Sequence[str]) -> tuple[tuple, int]:
     """(a record in SCHEMA's order, where it ends). A CIGAR too long for its field, which then clips all bases, stands in tag CG."""
     end = at + 4 + struct.unpack_from("<i", data, at)[0]
     ref, pos, name_size, mapq, _, n_ops, flags, n_bases = struct.unpack_from("<iiBBHHHi", data, at + 4)
@@ -200,16 +222,7 @@ def _begun(file, size: int, start: int, n_refs: int, exact: tuple[int, int] | No
         b.has(exact[1] + 1)
         return b, exact[1]
     b = Blocks(file, size, first_block(file, size, start) if start else 0)
-    if start:
-        return b, guess(b, n_refs)
-    if not b.has(8):
-        raise ValueError("not a BAM file")
-    while True:
-        try:
-            return b, _header(bytes(b.data))[1]
-        except (struct.error, IndexError):
-            if not b.more():
-                raise
+    return (b, guess(b, n_refs)) if start else (b, _header(b)[1])
 
 
 def _walk(b: Blocks, at: int, stop: int) -> Iterator[int]:
@@ -293,8 +306,7 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(len(batch)):
                 content = batch["content"][k].as_py()
-                b, at = _begun(_Held(content), len(content), 0, 0, None)
-                names = _header(bytes(b.data))[0]
+                names, at = _header(b := Blocks(_Held(content), len(content), 0))
                 for at in _walk(b, at, len(content) + 1):
                     if at >= 0:
                         yield record(b.data, at, names)[0]
@@ -302,10 +314,22 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _batches(rows())
 
 
-def _names(path: str, size: int) -> list[str]:
-    with _opened(path) as file:
-        b, _ = _begun(file, size, 0, 0, None)
-        return _header(bytes(b.data))[0]
+def _heads(files: list[tuple[str, int]]) -> tuple[dict[str, Names], dict[str, tuple[int, int]]]:
+    """(names of the references, place of the first record) by file. Equal lists of names are held once."""
+    names, firsts, held = {}, {}, {}
+    for path, size in files:
+        with _opened(path) as file:
+            mine, at = _header(b := Blocks(file, size, 0))
+            b.has(at + 1)
+        names[path] = held.setdefault((hashlib.sha256(mine.text).digest(), mine.ends.tobytes()), mine)
+        firsts[path] = b.place(at)
+    return names, firsts
+
+
+def _tasks(spark: SparkSession, splits: list[tuple]) -> int:
+    """So many tasks go through splits: of SPLIT bytes each, but some for every core; never more than splits."""
+    total = sum(x[4] - x[3] for x in splits)
+    return max(1, min(len(splits), max(-(-total // SPLIT), 4 * spark.sparkContext.defaultParallelism)))
 
 
 def bam(spark: SparkSession, path: str, split: int | None = None) -> DataFrame:
@@ -314,26 +338,24 @@ def bam(spark: SparkSession, path: str, split: int | None = None) -> DataFrame:
     files = [(r["path"], r["length"]) for r in spark.read.format("binaryFile").load(path).select("path", "length").collect()]
     files = [(f"file://{p[5:]}" if p.startswith("file:/") and not p.startswith("file://") else p, n) for p, n in files]
     try:
-        names = {p: _names(p, n) for p, n in files}
+        names, firsts = _heads(files)
     except (pa.ArrowException, OSError, ValueError) as e:
         if "BAM" in str(e) or "block" in str(e):
             raise
         return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_whole, SCHEMA).withColumn("aln_id", F.monotonically_increasing_id())
     shape = "path string, size long, n_refs int, start long, stop long, block long, byte long"
-    exact: dict[tuple[str, int], tuple[int, int]] = {}
-    splits = [(p, n, len(names[p]), a, min(a + split, n), None, None) for p, n in files for a in range(0, max(n, 1), split)]
-    todo = splits
+    # Splits that lie in a header have no records; the one in which the first record begins is read from there.
+    starts = {p: range(min(firsts[p][0], n - 1) // split * split, n, split) for p, n in files}
+    exact = {(p, starts[p][0]): firsts[p] for p, _ in files}
+    splits = [(p, n, len(names[p]), a, min(a + split, n), None, None) for p, n in files for a in starts[p]]
+    todo, ends = splits, {}
     while todo:
-        frame = spark.createDataFrame([(*x[:5], *exact.get((x[0], x[3]), (None, None))) for x in todo], shape).repartition(min(len(todo), 4096))
-        found = {(r["path"], r["start"]): r for r in frame.mapInArrow(_ends, "path string, start long, first_block long, first_byte long, next_block long, next_byte long").collect()}
-        if todo is splits:
-            ends = found
-        else:
-            ends |= found
+        frame = spark.createDataFrame([(*x[:5], *exact.get((x[0], x[3]), (None, None))) for x in todo], shape).repartition(_tasks(spark, todo))
+        ends |= {(r["path"], r["start"]): r for r in frame.mapInArrow(_ends, "path string, start long, first_block long, first_byte long, next_block long, next_byte long").collect()}
         todo = []
         for p, n in files:
             due = None
-            for a in range(0, max(n, 1), split):
+            for a in starts[p]:
                 r = ends[p, a]
                 if due is not None and (r["first_block"], r["first_byte"]) != due:
                     exact[p, a] = due
@@ -341,5 +363,5 @@ def bam(spark: SparkSession, path: str, split: int | None = None) -> DataFrame:
                     break  # what follows depends on this one
                 due = (r["next_block"], r["next_byte"])
     known = [(*x[:5], ends[x[0], x[3]]["first_block"], ends[x[0], x[3]]["first_byte"]) for x in splits]
-    frame = spark.createDataFrame(known, shape).repartition(min(len(known), 100_000))
+    frame = spark.createDataFrame(known, shape).repartition(_tasks(spark, known))
     return frame.mapInArrow(partial(_decoded, names=spark.sparkContext.broadcast(names)), SCHEMA).withColumn("aln_id", F.monotonically_increasing_id())

@@ -147,6 +147,19 @@ def test_bam_in_splits(spark, genome, tmp_path, monkeypatch, split):
         assert shown(whole) == sorted(want)
 
 
+def test_bam_of_many_references(spark, genome, tmp_path, monkeypatch):
+    """A header of many blocks: its bytes are gone through once, no split is looked for in it, and tasks don't grow in number with small splits."""
+    rows = [r.asDict() for r in genome[0].orderBy("aln_id").limit(50).collect()]
+    names = [(f"c{k}", 3000) for k in range(40_000)]
+    data = b"".join(files.bam_bytes(iter(rows), names, size=1000))
+    (tmp_path / "x.bam").write_bytes(data)
+    heads = []
+    monkeypatch.setattr(spark, "createDataFrame", lambda rows, shape, f=spark.createDataFrame: (heads.append(len(rows)), f(rows, shape))[1])
+    got = bam.bam(spark, str(tmp_path), 700)
+    assert sorted((r["read_name"], r["chr"], r["seq"]) for r in got.collect()) == sorted((r["read_name"], r["chr"], r["seq"]) for r in rows)
+    assert max(heads) * 700 < len(data) / 2 and got.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+
+
 def test_wrong_guesses_are_replaced(spark, genome):
     """Names that look like records don't mislead: what a guess gives is held against where the split before ends."""
     alns, _ = genome
