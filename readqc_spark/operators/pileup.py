@@ -7,7 +7,8 @@ once, so a base costs no row, struct or function call. A slab holds about SLAB b
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import partial
 from typing import NamedTuple
 
 import numpy as np
@@ -196,7 +197,13 @@ def slabs(batch: pa.RecordBatch) -> Iterator[tuple[dict[str, pa.Array], Walk]]:
         yield c, walk(c["pos"], c["cigar"], c["seq"], c["ref"], c["slice_start"])
 
 
-def _classified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _only(w: Walk, wanted: np.ndarray) -> Walk:
+    """The events of wanted kinds."""
+    kept = wanted[w.kind]
+    return Walk(*[x[kept] for x in w[:-1]], w.gaps)
+
+
+def _classified(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
     names, strings = ["aln_id", "kind", "hp", "n", "ref_pos", "qual", "gc"], pa.array(KINDS)
     for b in batches:
         for c, w in slabs(b):
@@ -205,11 +212,12 @@ def _classified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def walked(rows: DataFrame, *more: str) -> DataFrame:
+            w = w if wanted.all() else _only(w, wanted)
     """The columns of rows of with_contig that a walk needs, checked, and those named in more."""
     return rows.select("aln_id", "pos", "cigar", _present().alias("seq"), "ref", "slice_start", "quals", *more)
 
 
-def events(rows: DataFrame) -> DataFrame:
-    """One row for each event of rows of with_contig: aln_id, kind, hp, n (bases), ref_pos, qual (null for gaps), gc (of the reference's base)."""
+def events(rows: DataFrame, kinds: Sequence[str] = KINDS) -> DataFrame:
+    """One row for each event of kinds of rows of with_contig: aln_id, kind, hp, n (bases), ref_pos, qual (null for gaps), gc (of the reference's base)."""
     shape = T.StructType([rows.schema["aln_id"], *T._parse_datatype_string("kind string, hp boolean, n int, ref_pos int, qual int, gc int").fields])
-    return walked(rows).mapInArrow(_classified, shape)
+    return walked(rows).mapInArrow(partial(_classified, wanted=np.isin(KINDS, kinds)), shape)

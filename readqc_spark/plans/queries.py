@@ -53,8 +53,8 @@ def primary_rows(spark, d):
     return rows(spark, d).filter(~pileup.flag(pileup.SUPPLEMENTARY))
 
 
-def events(spark, d):
-    return pileup.events(rows(spark, d))
+def events(spark, d, *kinds):
+    return pileup.events(rows(spark, d), kinds)
 
 
 def stats(spark, d):
@@ -156,17 +156,17 @@ def cigar_coords(spark, d):
 
 @query
 def base_match_mismatch(spark, d):
-    return events(spark, d).filter(F.col("kind").isin("match", "mismatch")).groupBy("aln_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("ref_pos").alias("places"), F.sum("qual").alias("quals"))
+    return events(spark, d, "match", "mismatch").groupBy("aln_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("ref_pos").alias("places"), F.sum("qual").alias("quals"))
 
 
 @query
 def ins_homopolymer(spark, d):
-    return events(spark, d).filter("kind = 'ins'").select("aln_id", "ref_pos", "n", "hp")
+    return events(spark, d, "ins").select("aln_id", "ref_pos", "n", "hp")
 
 
 @query
 def del_homopolymer(spark, d):
-    return events(spark, d).filter("kind = 'del'").select("aln_id", "ref_pos", "hp")
+    return events(spark, d, "del").select("aln_id", "ref_pos", "hp")
 
 
 @query

@@ -112,6 +112,14 @@ def test_intervals_against_events(spark, genome, monkeypatch):
         assert {(x["feature_key"], x["qual"]): [x["matches"], x["mismatches"]] for x in sums if x["hist"]} == hists
 
 
+def test_events_of_a_kind(spark, genome):
+    """Only what is asked for leaves the walk."""
+    rows = pileup.with_contig(pileup.mapped_primary(genome[0]), genome[1], 0)
+    every = pileup.events(rows)
+    for kinds in (("del",), ("match", "mismatch"), ("ins",)):
+        assert sorted(pileup.events(rows, kinds).collect(), key=str) == sorted(every.filter(F.col("kind").isin(*kinds)).collect(), key=str)
+
+
 def test_one_pass_against_single_ones(spark, genome):
     alns, contigs = genome
     skipped = spark.createDataFrame([(1000, "u", 4, None, 0, None, "*", "", [], None, None, None), (1001, "s", 256, "nowhere", 1, 3, "1P", "A", [1], None, None, None)], SCHEMA)
