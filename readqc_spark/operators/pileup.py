@@ -45,6 +45,11 @@ def primary(stats: DataFrame) -> DataFrame:
     return stats.filter(~F.col("supplementary"))
 
 
+def placed(alignments: DataFrame) -> DataFrame:
+    """alignments with ops, aln_end and slice_start: what their own columns say of their place, without a contig."""
+    return alignments.withColumn("ops", cigar.ops(F.col("cigar"))).withColumn("aln_end", F.col("pos") + cigar.span(F.col("ops"))).withColumn("slice_start", F.greatest(F.col("pos") - 1, F.lit(1)))
+
+
 def with_contig(alignments: DataFrame, contigs: DataFrame, total_bases: int | None = None, longest: int | None = None) -> DataFrame:
     """alignments with ops, aln_end, contig_length, slice_start and ref (the slice's bases). A contig that isn't there raises.
 
@@ -52,7 +57,7 @@ def with_contig(alignments: DataFrame, contigs: DataFrame, total_bases: int | No
     known and no more than TILE, contigs are joined whole, so that no read needs a second piece and the alignments are scanned once; else
     tiles are joined. Both bound memory alone: results don't depend on them.
     """
-    rows = alignments.withColumn("ops", cigar.ops(F.col("cigar"))).withColumn("aln_end", F.col("pos") + cigar.span(F.col("ops"))).withColumn("slice_start", F.greatest(F.col("pos") - 1, F.lit(1)))
+    rows = placed(alignments)
     small = total_bases is not None and total_bases <= BROADCAST_BASES
     if not small and (longest is None or longest > TILE):
         return _with_tiles(rows, contigs)

@@ -112,6 +112,12 @@ def test_intervals_against_events(spark, genome, monkeypatch):
         assert {(x["feature_key"], x["qual"]): [x["matches"], x["mismatches"]] for x in sums if x["hist"]} == hists
 
 
+def test_overlap_query_needs_no_contig(spark):
+    """Contigs are derived twice, for the reads and for the BED table, and not a third time for bases."""
+    plan = queries.QUERIES["intervals_bed"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(lower(") <= 2
+
+
 def test_events_of_a_kind(spark, genome):
     """Only what is asked for leaves the walk."""
     rows = pileup.with_contig(pileup.mapped_primary(genome[0]), genome[1], 0)
