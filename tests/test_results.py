@@ -118,6 +118,13 @@ def test_overlap_query_needs_no_contig(spark):
     assert plan.count("regexp_replace(lower(") <= 2
 
 
+def test_union_gathers_nothing(spark):
+    d = "/root/testdata/sf0.001"
+    rows, kinds = queries.with_kinds(spark, d, queries.rows(spark, d))
+    assert sorted(queries.all_intervals(spark, d).collect()) == sorted(iv.generated(rows, kinds).collect())
+    assert "collect_list" not in queries.all_intervals(spark, d)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_events_of_a_kind(spark, genome):
     """Only what is asked for leaves the walk."""
     rows = pileup.with_contig(pileup.mapped_primary(genome[0]), genome[1], 0)
