@@ -162,17 +162,21 @@ def _listed(s: Slab, column: str) -> Found:
     return Found(spread(n)[0], start, stop, label.indices.to_numpy(zero_copy_only=False), label.dictionary.to_pylist())
 
 
-def with_beds(rows: DataFrame, beds: Sequence[DataFrame]) -> tuple[DataFrame, list[Callable[[Slab], Found]]]:
-    """(rows, generators) of BED tables (chr, start, stop, feature). A table of up to BROADCAST_BED rows goes to all tasks as an index."""
+def with_beds(rows: DataFrame, beds: Sequence[DataFrame], placed: DataFrame | None = None) -> tuple[DataFrame, list[Callable[[Slab], Found]]]:
+    """(rows, generators) of BED tables (chr, start, stop, feature). A table of up to BROADCAST_BED rows goes to all tasks as an index.
+
+    placed: pileup.placed() of the same alignments, by which a larger table is joined, so that rows aren't joined with the contigs for it too.
+    Tables are counted first: a limit would bring all rows to one task.
+    """
     kinds: list = []
     for k, bed in enumerate(beds):
-        some = bed.select("chr", "start", "stop", "feature").limit(BROADCAST_BED + 1).toArrow()
-        if len(some) > BROADCAST_BED:
-            mine = bed_overlap(rows, bed).groupBy("aln_id").agg(F.collect_list(F.struct("start", "stop", "feature_key")).alias(f"_bed{k}"))
+        bed = bed.select("chr", "start", "stop", "feature")
+        if bed.count() > BROADCAST_BED:
+            mine = bed_overlap(rows if placed is None else placed, bed).groupBy("aln_id").agg(F.collect_list(F.struct("start", "stop", "feature_key")).alias(f"_bed{k}"))
             rows = rows.join(mine, "aln_id", "left")
             kinds.append(partial(_listed, column=f"_bed{k}"))
             continue
-        some = some.sort_by([("chr", "ascending"), ("start", "ascending")]).combine_chunks()
+        some = bed.toArrow().sort_by([("chr", "ascending"), ("start", "ascending")]).combine_chunks()
         chr_, label = some["chr"].combine_chunks().dictionary_encode(), some["feature"].combine_chunks().dictionary_encode()
         start, stop = (some[x].to_numpy().astype(np.int64) for x in ("start", "stop"))
         number, tables = label.indices.to_numpy(zero_copy_only=False), {}

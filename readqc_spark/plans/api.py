@@ -44,11 +44,11 @@ class Intervals:
         if any(w <= 0 for w in [*self.windows, *self.windows_pos, *self.borders]) or not all(self.matches):
             raise ValueError("widths must be positive and sequences not empty")
 
-    def kinds(self, rows: DataFrame) -> tuple[DataFrame, list]:
-        """(rows, generators); rows carry what large BED tables have for them."""
+    def kinds(self, rows: DataFrame, placed: DataFrame | None = None) -> tuple[DataFrame, list]:
+        """(rows, generators); rows carry what large BED tables have for them. placed: as intervals.with_beds takes it."""
         made = [iv.homopolymers()] if self.homopolymers else []
         made += [iv.windows(w) for w in self.windows] + [iv.windows(w, True) for w in self.windows_pos] + [iv.borders(w) for w in self.borders] + [iv.matches(m) for m in self.matches]
-        rows, beds = iv.with_beds(rows, self.beds)
+        rows, beds = iv.with_beds(rows, self.beds, placed)
         return rows, made + beds
 
 
@@ -63,7 +63,7 @@ def analyze(alignments: DataFrame, contigs: DataFrame, intervals: Intervals | No
     counted = F.col("flags").bitwiseAND(pileup.UNMAPPED | pileup.SECONDARY) == 0
     cleared = alignments.withColumns({"cigar": F.when(counted, F.col("cigar")), "chr": F.when(counted, F.col("chr"))})
     joined = pileup.with_contig(cleared, contigs, bases, longest)
-    rows, kinds = intervals.kinds(joined) if intervals else (joined, [])
+    rows, kinds = intervals.kinds(joined, pileup.placed(cleared)) if intervals else (joined, [])
     one = onepass.walked_once(rows, kinds).persist(StorageLevel.MEMORY_AND_DISK)
     stats = aln_stats.derived(one.filter("aln is not null").select("aln.meta.*", "aln.q_len", "aln.mean_qual", *[f"aln.{t}" for t in pileup.TALLIES]))
     main, partials = pileup.primary(stats), one.filter("feature_key is not null")

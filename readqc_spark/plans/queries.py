@@ -66,7 +66,7 @@ KINDS = (iv.homopolymers, lambda: iv.windows(20), lambda: iv.windows(25, True),
 
 def with_kinds(spark, d, r):
     """(rows, all generators), the BED table among them."""
-    r, beds = iv.with_beds(r, [sim.bed(contigs(spark, d))])
+    r, beds = iv.with_beds(r, [sim.bed(contigs(spark, d))], pileup.placed(mapped(spark, d)))
     return r, [k() for k in KINDS] + beds
 
 

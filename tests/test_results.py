@@ -112,6 +112,21 @@ def test_intervals_against_events(spark, genome, monkeypatch):
         assert {(x["feature_key"], x["qual"]): [x["matches"], x["mismatches"]] for x in sums if x["hist"]} == hists
 
 
+def test_large_bed_is_joined_by_place(spark, genome, monkeypatch):
+    """A table above the broadcast: what a read overlaps is found without its contig, and no limit brings the table to one task."""
+    alns, contigs = genome
+    bed = spark.createDataFrame([("c0", a, a + 30, f"f{a % 3}") for a in range(1, 2900, 17)], "chr string, start int, stop int, feature string").cache()
+    mapped = pileup.mapped_primary(alns)
+    rows = pileup.with_contig(mapped, contigs, 0)
+    sums = lambda r, kinds: sorted(iv.stabbed(r, kinds).collect())
+    want = sums(*iv.with_beds(rows, [bed]))
+    monkeypatch.setattr(iv, "BROADCAST_BED", 10)
+    monkeypatch.setattr(type(bed), "limit", lambda self, n: pytest.fail("a limit"))
+    carried, kinds = iv.with_beds(rows, [bed], pileup.placed(mapped))
+    plan = carried._jdf.queryExecution().optimizedPlan().toString()
+    assert sums(carried, kinds) == want and plan.count("strategy=broadcast") == 1
+
+
 def test_overlap_query_needs_no_contig(spark):
     """Contigs are derived twice, for the reads and for the BED table, and not a third time for bases."""
     plan = queries.QUERIES["intervals_bed"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
