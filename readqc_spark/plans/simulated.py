@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from readqc_spark.operators import cigar
+
 # What letters become, and the CIGAR strings with the lengths of the reads that fit them.
 LETTERS, BASES = "abcdefghijklmnopqrstuvwxyz", "AACCGGTTAACCGGTTAACCGGTTAN"
 CIGARS = [("60M", 60), ("5S20M2I20M3D10M4S", 61), ("20=1X19=", 40), ("10M30N10M1I10M", 31), ("3H10M0I0D15M2H", 25), ("1=1X" * 55, 110), ("1M1I1M1D" * 30, 90), ("2S30M2I", 34)]
@@ -18,9 +23,36 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
+_BASE_OF = np.zeros(256, np.uint8)
+for _letters in (LETTERS, LETTERS.upper()):
+    _BASE_OF[list(_letters.encode())] = list(BASES.encode())
+#: Besides A-Z, what Unicode lower-cases to a letter of a-z (with a dot above, or alone).
+_LOWERED = {"\u0130": "i", "\u212a": "k"}
+#: So many bytes of text are looked up at once.
+_AT_ONCE = 1 << 20
+
+
+def _bases(texts: pa.Array) -> pa.Array:
+    """translate(regexp_replace(lower(text), '[^a-z]+', ''), LETTERS, BASES) of each text, by a table of bytes; null as empty."""
+    for letter, low in _LOWERED.items():
+        if pc.any(pc.match_substring(texts, letter)).as_py():
+            texts = pc.replace_substring(texts, letter, low)
+    data, at = cigar.text_of(texts)
+    parts, ends, i = [], [np.zeros(1, np.int64)], 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(at, at[i] + _AT_ONCE, "right")) - 1)
+        found = _BASE_OF[data[at[i] : at[j]]]
+        kept = found != 0
+        parts.append(found[kept])
+        ends.append(ends[-1][-1] + np.concatenate([[0], np.cumsum(kept)])[at[i + 1 : j + 1] - at[i]])
+        i = j
+    whole = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(np.concatenate(ends).astype(np.int64)), pa.py_buffer(whole)).cast(pa.string())
+
+
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), "doc_id")
-    seq = F.translate(F.regexp_replace(F.lower("text"), "[^a-z]+", ""), LETTERS, BASES)
+    seq = F.arrow_udf(_bases, "string")("text")
     # Through explode, as a filter on a length pushed to the scan would derive the bases again.
     d = d.select("doc_id", F.explode(F.filter(F.array(seq), lambda s: F.length(s) >= SHORTEST)).alias("seq"))
     return d.select(F.concat(F.lit("ctg"), F.col("doc_id").cast("string")).alias("chr"), "doc_id", "seq", F.length("seq").alias("length"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from readqc_spark.operators import aln_stats, pileup, summaries
 from readqc_spark.operators import intervals as iv
-from readqc_spark.plans import files, queries
+from readqc_spark.plans import files, queries, simulated
 from readqc_spark.plans.api import Intervals, analyze, main
 from readqc_spark.sources import bam, sinks, text
 from readqc_spark.streaming import incremental
@@ -68,6 +68,22 @@ def test_contigs_joined_whole(spark, genome, monkeypatch):
     assert plan.count("InMemoryRelation") == 2 and "strategy=broadcast" not in plan
 
 
+def test_bases_by_a_table_of_bytes(spark, monkeypatch):
+    """As lower-casing, taking out and translating by Spark's functions give them, for every character and for slices of any size."""
+    texts = ["".join(chr(k) for k in range(a, a + 4096) if not 0xD800 <= k < 0xE000) for a in range(0, 0x110000, 4096)] + ["", "İK aZ\u212a", None, "ÅßΣς ABC xyz", "z" * 5000]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    want = [r[0] or "" for r in df.select(F.translate(F.regexp_replace(F.lower("text"), "[^a-z]+", ""), simulated.LETTERS, simulated.BASES)).collect()]
+    for size in (1 << 20, 7):
+        monkeypatch.setattr(simulated, "_AT_ONCE", size)
+        assert simulated._bases(pa.array(texts)).to_pylist() == want
+        assert simulated._bases(pa.array(texts).slice(3, 270)).to_pylist() == want[3:273]
+    assert simulated._bases(pa.array([], pa.string())).to_pylist() == []
+    seqs = {r["seq"] for r in simulated.contigs(spark, "/root/testdata/sf0.001").collect()}
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.translate(F.regexp_replace(F.lower("text"), "[^a-z]+", ""), simulated.LETTERS, simulated.BASES).alias("s"))
+    assert seqs == {r[0] for r in docs.filter(F.length("s") >= simulated.SHORTEST).collect()}
+    assert "regexp_replace" not in simulated.contigs(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_broadcast_query_is_bounded(spark, monkeypatch):
     """Contigs above the bound aren't broadcast by the query either."""
     d = "/root/testdata/sf0.001"
@@ -130,7 +146,7 @@ def test_large_bed_is_joined_by_place(spark, genome, monkeypatch):
 def test_overlap_query_needs_no_contig(spark):
     """Contigs are derived twice, for the reads and for the BED table, and not a third time for bases."""
     plan = queries.QUERIES["intervals_bed"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("regexp_replace(lower(") <= 2
+    assert plan.count("_bases(text") == 2
 
 
 def test_union_gathers_nothing(spark):
