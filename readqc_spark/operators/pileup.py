@@ -208,7 +208,7 @@ def _only(w: Walk, wanted: np.ndarray) -> Walk:
     return Walk(*[x[kept] for x in w[:-1]], w.gaps)
 
 
-def _classified(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _classified(batches: Iterator[pa.RecordBatch], wanted: np.ndarray = np.ones(len(KINDS), bool)) -> Iterator[pa.RecordBatch]:
     names, strings = ["aln_id", "kind", "hp", "n", "ref_pos", "qual", "gc"], pa.array(KINDS)
     for b in batches:
         for c, w in slabs(b):
